@@ -1,0 +1,21 @@
+"""Joining points to integer intervals by an equi-join on coarse buckets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A yyyymmdd key divided by this is its year.
+YEAR = 10000
+
+
+def join_in_range(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, bucket: int = YEAR) -> DataFrame:
+    """Inner join where ``point`` lies in [``start``, ``end``].
+
+    Each interval is repeated once per bucket it touches, so Spark can hash or broadcast on the bucket
+    instead of comparing every pair. The two frames must not share column names.
+    """
+    first, last = (F.floor(F.col(c) / bucket) for c in (start, end))
+    spread = intervals.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    placed = points.withColumn("_bucket", F.floor(F.col(point) / bucket))
+    return placed.join(spread, "_bucket").where(F.col(point).between(F.col(start), F.col(end))).drop("_bucket")
