@@ -115,22 +115,15 @@ def week_key(day: dt.date) -> int:
 def period_start_col(value: Column | str) -> Column:
     """Column form of :func:`period_start` for integer periods."""
     p = _col(value)
-    return (
-        F.when(p < 10000, F.make_date(p, F.lit(1), F.lit(1)))
-        .when(p < 1000000, F.make_date((p / 100).cast("int"), (p % 100).cast("int"), F.lit(1)))
-        .otherwise(F.make_date((p / 10000).cast("int"), ((p / 100).cast("int") % 100).cast("int"), (p % 100).cast("int")))
-    )
+    day = F.when(p < 10000, p * 10000 + 101).when(p < 1000000, p * 100 + 1).otherwise(p)
+    return F.to_date(day.cast("string"), "yyyyMMdd")
 
 
 def period_end_col(value: Column | str) -> Column:
     """Column form of :func:`period_end` for integer periods."""
     p = _col(value)
-    start = period_start_col(p)
-    return (
-        F.when(p < 10000, F.make_date(p, F.lit(12), F.lit(31)))
-        .when(p < 1000000, F.last_day(start))
-        .otherwise(start)
-    )
+    day = F.to_date(F.when(p < 10000, p * 10000 + 1231).when(p < 1000000, p * 100 + 1).otherwise(p).cast("string"), "yyyyMMdd")
+    return F.when(p.between(10000, 999999), F.last_day(day)).otherwise(day)
 
 
 # ---- shifting --------------------------------------------------------------------------------

@@ -26,7 +26,7 @@ ORACLE: dict[str, str] = {}
 
 FIRST_MONTH, LAST_MONTH = 199501, 200112
 FIRST_WEEK, LAST_WEEK = 19950106, 20020104
-UNIT_SHARE, PATIENT_SHARE = 60, 55
+UNIT_SHARE, PATIENT_SHARE = 60, 58
 MAX_WORDS, MAX_LENGTH, MAX_FEATURES, VECTOR_DIM = 200, 16, 500, 64
 
 
@@ -364,12 +364,12 @@ def _sql_extract(keys: tuple[str, ...], rx: bool) -> str:
             "in_months",
             key_list=_SQL_LISTS[keys],
             listed=f"SELECT * FROM in_months c WHERE {listed}",
-            both=f"""SELECT {_OWN}, order_dt AS ndw_load_dt, {age}, {gap_history}{rest} FROM listed WHERE l_returnflag = 'A'
+            merged=f"""SELECT {_OWN}, order_dt AS ndw_load_dt, {age}, {gap_history}{rest} FROM listed WHERE l_returnflag = 'A'
             UNION SELECT {own}, coalesce(b.order_dt, a.svc_dt), CAST(year(b.order_dt) - 1930 AS INT), {main_history}a.svc_crgd_amt, a.week_id, a.month_id
             FROM (SELECT * FROM listed WHERE l_returnflag <> 'A') a
             LEFT JOIN (SELECT * FROM listed WHERE l_returnflag <> 'A' AND l_linestatus = 'O') b ON {match}""",
         )
-        + f"SELECT {out} FROM both"
+        + f"SELECT {out} FROM merged"
     )
 
 
