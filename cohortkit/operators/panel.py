@@ -77,7 +77,7 @@ def stable_units(
 
     active = _active_weeks(weekly, calendar, overrides, first_week, last_week, unit)
     needed = calendar.where(F.col("week_id").between(first_week, last_week)).agg(
-        F.floor(F.countDistinct("week_id") * F.lit(_share(time_share)) / 100)
+        F.floor(F.countDistinct("week_id") * F.lit(_share(time_share)) / 100).cast("bigint")
     )
     stable = (
         active.groupBy(unit)
@@ -98,14 +98,20 @@ def cohort_windows(cohorts: DataFrame) -> DataFrame:
     """First and last day and week of each cohort's window, from period ``lookback`` to ``start``."""
     begin, finish = cal.period_start_col("lookback"), cal.period_end_col("start")
     swapped = finish < begin
+    # Each step goes through a one-element array, or Spark would copy the date arithmetic into every use.
     days = cohorts.select(
         F.col("cohort").cast("bigint").alias("cohort_id"),
-        F.when(swapped, cal.period_start_col("start")).otherwise(begin).alias("stable_period_start"),
-        F.when(swapped, cal.period_end_col("lookback")).otherwise(finish).alias("stable_period_end"),
-    )
-    return days.withColumns(
-        {"_first_week": cal.week_id("stable_period_start"), "_last_week": cal.week_id("stable_period_end")}
+        F.inline(
+            F.array(
+                F.struct(
+                    F.when(swapped, cal.period_start_col("start")).otherwise(begin).alias("stable_period_start"),
+                    F.when(swapped, cal.period_end_col("lookback")).otherwise(finish).alias("stable_period_end"),
+                )
+            )
+        ),
     )
+    weeks = F.struct(cal.week_id("stable_period_start").alias("_first_week"), cal.week_id("stable_period_end").alias("_last_week"))
+    return days.select("*", F.inline(F.array(weeks)))
 
 
 def stable_units_bulk(
@@ -130,7 +136,7 @@ def stable_units_bulk(
         .join(in_window.groupBy("cohort_id").agg(F.count("week_id").alias("_weeks")), "cohort_id", "left")
         .select(
             F.col("cohort_id"),
-            F.floor(F.coalesce("_weeks", F.lit(0)) * F.lit(_share(time_share)) / 100).alias("_needed"),
+            F.floor(F.coalesce("_weeks", F.lit(0)) * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed"),
         )
     )
 

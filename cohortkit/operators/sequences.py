@@ -38,9 +38,9 @@ def _tokens(texts: DataFrame, order: str, text: str) -> DataFrame:
 
 
 def _counts(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("_doc", "_pos")).alias("_first")
-    )
+    # Document and position in one number, since a hash aggregate cannot hold the least of a pair.
+    place = F.col("_doc").cast("decimal(38,0)") * F.lit(2**31) + F.col("_pos")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(place.cast("decimal(38,0)")).alias("_first"))
 
 
 def build_vocab(texts: DataFrame, order: str, text: str = "text", slices: int | None = None) -> DataFrame:
@@ -70,18 +70,20 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
         known = known.where(F.col("index") < max_words)
         if max_words <= BROADCAST_TOKENS:
             known = F.broadcast(known)
+    # Position 0 holds a mark that keeps documents without known tokens; unknown tokens go at once.
+    marked = F.concat(F.array(F.lit("")), F.split(F.lower(text), r"\|"))
+    parts = texts.select(order, F.posexplode(F.coalesce(marked, F.array(F.lit("")))).alias("_pos", "token"))
+    placed = F.when(F.col("index").isNotNull(), F.shiftleft(F.col("_pos").cast("bigint"), 32) + F.col("index"))
     # The tokens of one document come from one row, so the regrouped array is no larger than that row.
-    # Unknown tokens and empty documents stay until the grouping, so no document is lost.
-    parts = texts.select(order, F.posexplode_outer(F.split(F.lower(text), r"\|")).alias("_pos", "token"))
-    found = F.when(F.col("index").isNotNull(), F.struct("_pos", "index"))
-    encoded = (
+    found = (
         parts.join(known, "token", "left")
+        .where((F.col("_pos") == 0) | F.col("index").isNotNull())
         .groupBy(order)
-        .agg(F.array_sort(F.collect_list(found)).alias("_found"))
-        .select(order, F.col("_found.index").alias("_seq"))
+        .agg(F.sort_array(F.collect_list(placed)).alias("_seq"))
     )
     tail = F.slice("_seq", F.greatest(F.size("_seq") - max_length + 1, F.lit(1)), F.lit(max_length))
-    padded = encoded.select(order, F.concat(tail, F.array_repeat(F.lit(0), max_length)).alias("_padded"))
+    indexes = F.transform(tail, lambda v: v.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
+    padded = found.select(order, F.concat(indexes, F.array_repeat(F.lit(0), max_length)).alias("_padded"))
     return padded.select(order, *[F.col("_padded")[i].alias(f"seq_{i}") for i in range(max_length)])
 
 

@@ -14,8 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def date_bounds(spark, d) -> DataFrame:
     """First and last day of the years with shipments, in one row."""
-    day = F.to_date("l_shipdate")
-    found = table(spark, d, "lineitem").agg(F.year(F.min(day)).alias("a"), F.year(F.max(day)).alias("b"))
+    found = table(spark, d, "lineitem").agg(F.year(F.min("l_shipdate")).alias("a"), F.year(F.max("l_shipdate")).alias("b"))
     return found.select(
         F.make_date("a", F.lit(1), F.lit(1)).alias("first_dt"), F.make_date("b", F.lit(12), F.lit(31)).alias("last_dt")
     )
@@ -170,7 +169,7 @@ def scores(spark, d) -> DataFrame:
 
 def word_sequences(spark, d) -> DataFrame:
     """Whole document texts with their words as tokens."""
-    return table(spark, d, "documents").select("doc_id", F.translate("text", " \n", "||").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.replace(F.replace("text", F.lit(" "), F.lit("|")), F.lit("\n"), F.lit("|")).alias("text"))
 
 
 def event_sequences(spark, d) -> DataFrame:

@@ -323,12 +323,12 @@ def panel_eligible_patients(spark, d):
     + "SELECT * FROM stable UNION ALL SELECT pharmacy_id, elig_period_cnt, chnl_cd, store_typ_cd, stable_period_start, stable_period_end, CAST(7 AS BIGINT) FROM stable",
 )
 def panel_saved_cohorts(spark, d):
-    """Cohort 7 is saved twice, first from a looser panel; the other cohort stays as saved in between."""
+    """Cohort 7 is saved twice, first with other counts; the first cohort stays as it was saved."""
     name = work_table(spark, "saved_cohorts")
-    strict = _panel(spark, d, UNIT_SHARE)
-    collect.save_cohorts(_panel(spark, d, PATIENT_SHARE).withColumn("cohort_id", F.lit(7).cast("bigint")), name)
-    collect.save_cohorts(strict, name)
-    return _dates_as_text(collect.save_cohorts(strict.withColumn("cohort_id", F.lit(7).cast("bigint")), name))
+    first = collect.save_cohorts(_panel(spark, d, UNIT_SHARE), name)
+    seventh = first.where(F.col("cohort_id") == FIRST_MONTH).withColumn("cohort_id", F.lit(7).cast("bigint"))
+    collect.save_cohorts(seventh.withColumn("elig_period_cnt", F.col("elig_period_cnt") + 1), name)
+    return _dates_as_text(collect.save_cohorts(seventh, name))
 
 
 # ---- extraction --------------------------------------------------------------------------------
