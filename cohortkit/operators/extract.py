@@ -47,7 +47,7 @@ BY_PATIENT = ("patient_id",)
 
 def filter_by_keys(feed: DataFrame, key_list: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are in the list. Repeated list entries do not repeat rows."""
-    return feed.join(key_list.select(*keys).distinct(), list(keys), "left_semi")
+    return feed.join(key_list.select(*keys).distinct(), list(keys), "left_semi").select(*feed.columns)
 
 
 def in_months(feed: DataFrame, calendar: DataFrame, month_from: int, month_to: int) -> DataFrame:

@@ -223,4 +223,4 @@ def eligible_patients(
         begin_month = end_month - 2 if end_month % 100 > 2 else end_month - 90
         recent = activity.where(F.col("month_id").between(begin_month, end_month)).select(patient).distinct()
         result = result.join(recent, patient, "left_semi")
-    return result
+    return result.select(*patients.columns)

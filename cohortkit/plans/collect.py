@@ -29,7 +29,7 @@ def period_filter(df: DataFrame, calendar: DataFrame, period: str, first: int, l
     if period == "month_id" and match_column(df, "week_id"):
         return in_months(df, calendar, first, last)
     known = F.broadcast(cal.periods(calendar, period, first, last))
-    return df.where(F.col(period).between(int(first), int(last))).join(known, period, "left_semi")
+    return df.where(F.col(period).between(int(first), int(last))).join(known, period, "left_semi").select(*df.columns)
 
 
 def collect_periods(

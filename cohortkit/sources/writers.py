@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def replace_partitions(
     watched = df.observe(written, F.collect_set(partition).alias("values"))
     insert_by_name(spread_for_write(watched, partition, files), table, overwrite=True)
     if requested is not None:
-        filled = {str(v) for v in written.get["values"]}
+        filled = _observed(written, df)
         stale = [v for v in requested if str(v) not in filled]
         for value in stale:
             literal = f"'{value}'" if isinstance(value, str) else value
@@ -118,6 +119,20 @@ def replace_partitions(
         spark.catalog.refreshTable(table)
 
 
+def _observed(written: Observation, df: DataFrame) -> set[str]:
+    """The partition values a finished write saw.
+
+    Spark leaves the observation out of a plan it knows to be empty. Only a frame that is found to have
+    no rows may then count as having written nothing.
+    """
+    try:
+        return {str(v) for v in written.get["values"]}
+    except Py4JJavaError:
+        if not df.isEmpty():
+            raise
+        return set()
+
+
 def write_jdbc(df: DataFrame, url: str, dbtable: str, mode: str = "overwrite", upper: bool | None = None, **options) -> None:
     """Write to a JDBC table. Overwriting drops and recreates it, with upper-cased columns by default."""
     if mode not in ("overwrite", "append"):
