@@ -19,6 +19,9 @@ PERCENTILES = (75, 80, 90, 95, 98)
 # A vocabulary of up to this many tokens is sent to every task; beyond it Spark picks the join.
 BROADCAST_TOKENS = 200_000
 
+# Up to this many tokens are picked by a plain top-k, which hands each task's best rows to one task.
+TOP_K_TOKENS = 50_000
+
 
 def length_percentiles(texts: DataFrame, text: str = "text", percents: Sequence[float] = PERCENTILES, truncate: bool = False) -> DataFrame:
     """Length percentiles over all sequences, interpolated; ``truncate`` cuts them to whole numbers."""
@@ -52,6 +55,8 @@ def build_vocab(texts: DataFrame, order: str, text: str = "text", slices: int |
 
 def top_vocab(texts: DataFrame, order: str, max_words: int, text: str = "text") -> DataFrame:
     """The vocabulary entries with an index below ``max_words``."""
+    if max_words > TOP_K_TOKENS:
+        return build_vocab(texts, order, text).where(F.col("index") < max_words)
     ordering = [F.col("count").desc(), F.col("_first").asc()]
     kept = _counts(_tokens(texts, order, text)).orderBy(*ordering).limit(max(max_words - 1, 0))
     # At most max_words - 1 rows reach this window.

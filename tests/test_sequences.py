@@ -54,6 +54,7 @@ def test_encode(spark):
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(sequences, "BROADCAST_TOKENS", limit)
+    monkeypatch.setattr(sequences, "TOP_K_TOKENS", limit)
     dice = random.Random(5)
     items = ["|".join(dice.choice("abcdefghij") * dice.choice([1, 1, 2]) for _ in range(dice.randint(0, 30))) for _ in range(40)]
     counts = Counter(t for text in items for t in text.split("|") if t)
