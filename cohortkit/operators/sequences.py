@@ -16,9 +16,6 @@ from cohortkit.functions.running import running_totals
 # The reported length percentiles.
 PERCENTILES = (75, 80, 90, 95, 98)
 
-# A vocabulary of up to this many tokens is sent to every task; beyond it Spark picks the join.
-BROADCAST_TOKENS = 200_000
-
 # Up to this many tokens are picked by a plain top-k, which hands each task's best rows to one task.
 TOP_K_TOKENS = 50_000
 
@@ -73,8 +70,6 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
     known = vocab.select("token", F.col("index").cast("int").alias("index"))
     if max_words is not None:
         known = known.where(F.col("index") < max_words)
-        if max_words <= BROADCAST_TOKENS:
-            known = F.broadcast(known)
     # Position 0 holds a mark that keeps documents without known tokens; unknown tokens go at once.
     marked = F.concat(F.array(F.lit("")), F.split(F.lower(text), r"\|"))
     parts = texts.select(order, F.posexplode(F.coalesce(marked, F.array(F.lit("")))).alias("_pos", "token"))

@@ -143,10 +143,15 @@ def unit_dimension(spark, d) -> DataFrame:
     )
 
 
-def patient_data(spark, d) -> DataFrame:
+def patient_weeks(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("patient_id"))
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("pharmacy_id"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("patient_id", "pharmacy_id")
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("pharmacy_id"), "l_shipdate")
+    placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return placed.select("patient_id", "pharmacy_id", cal.week_id("l_shipdate").alias("week_id"))
+
+
+def patient_data(spark, d) -> DataFrame:
+    return patient_weeks(spark, d).select("patient_id", "pharmacy_id")
 
 
 def patient_starts(spark, d) -> DataFrame:

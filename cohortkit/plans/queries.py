@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
 from cohortkit.functions import frames
+from cohortkit.functions.ranges import join_in_range
 from cohortkit.operators import extract, metrics, panel, quality, sequences
 from cohortkit.plans import bindings as b
 from cohortkit.plans import collect
@@ -306,6 +307,34 @@ def panel_stable_patients(spark, d):
     return _patients(spark, d)
 
 
+_QUARTERS = {
+    **_BULK,
+    "cohorts": f"""SELECT CAST(row_number() OVER (ORDER BY day) AS INT) AS cohort, {sql_month('day')} AS start, {sql_month("(day - INTERVAL 2 MONTH)")} AS lookback FROM ({_QUARTER_ENDS})""",
+    "stable": "SELECT t.pharmacy_id, t.cohort_id, s, e, left(trim(coalesce(chnl_cd, 'z')), 1) AS chnl_cd FROM counted t JOIN needed n ON t.cohort_id = n.cohort_id AND elig_period_cnt >= n.n LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id",
+    "seen": f"SELECT DISTINCT o_custkey AS patient_id, l_suppkey AS pharmacy_id, cohort_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN windows ON {sql_week(SHIP)} BETWEEN first_week AND last_week",
+    "unstable": "SELECT patient_id, cohort_id FROM seen p WHERE NOT EXISTS (SELECT 1 FROM stable s WHERE s.pharmacy_id = p.pharmacy_id AND s.cohort_id = p.cohort_id)",
+    "kept": "SELECT * FROM seen p WHERE NOT EXISTS (SELECT 1 FROM unstable u WHERE u.patient_id = p.patient_id AND u.cohort_id = p.cohort_id)",
+}
+
+
+@register(
+    "panel_stable_patients_bulk",
+    with_roles(*_PANEL_ROLES, **_QUARTERS)
+    + """SELECT k.cohort_id, patient_id, CAST(s AS VARCHAR) AS stable_period_start, CAST(e AS VARCHAR) AS stable_period_end,
+    string_agg(DISTINCT chnl_cd, ',' ORDER BY chnl_cd) AS cnls_cds FROM kept k JOIN stable s ON k.pharmacy_id = s.pharmacy_id AND k.cohort_id = s.cohort_id GROUP BY ALL""",
+)
+def panel_stable_patients_bulk(spark, d):
+    """One cohort per quarter; a patient is judged by the units used in that quarter."""
+    cohorts = cal.cohort_periods_between(b.date_bounds(spark, d), "Q", lookback=3)
+    units = panel.stable_units_bulk(
+        b.weekly_panel(spark, d), b.calendar(spark, d), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
+    )
+    windows = panel.cohort_windows(cohorts).select("cohort_id", "_first_week", "_last_week")
+    seen = join_in_range(b.patient_weeks(spark, d), windows, "week_id", "_first_week", "_last_week")
+    found = panel.stable_patients(seen, units, by_cohort=True)
+    return _dates_as_text(found).withColumn("cnls_cds", F.array_join("cnls_cds", ","))
+
+
 @register(
     "panel_eligible_patients",
     with_roles("patient_data")

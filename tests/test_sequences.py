@@ -51,10 +51,19 @@ def test_encode(spark):
     assert sequences.encode(small, "doc", 3, 2).columns == ["doc", "seq_0", "seq_1"]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(sequences, "BROADCAST_TOKENS", limit)
-    monkeypatch.setattr(sequences, "TOP_K_TOKENS", limit)
+@pytest.fixture(params=["small vocabulary", "large vocabulary"])
+def vocabulary_size(request, spark, monkeypatch):
+    """The second case ranks by slices and joins without broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    if request.param.startswith("large"):
+        monkeypatch.setattr(sequences, "TOP_K_TOKENS", 0)
+        spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, usual)
+
+
+def test_against_brute_force(spark, vocabulary_size):
     dice = random.Random(5)
     items = ["|".join(dice.choice("abcdefghij") * dice.choice([1, 1, 2]) for _ in range(dice.randint(0, 30))) for _ in range(40)]
     counts = Counter(t for text in items for t in text.split("|") if t)

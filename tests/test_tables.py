@@ -223,6 +223,37 @@ def test_jdbc_options():
         readers.jdbc_options("u", "t", partition_column="k")
 
 
+class Recorder:
+    """Stands in for a reader or writer and notes the calls."""
+
+    def __init__(self, result=None):
+        self.calls, self.result = {}, result
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.calls[name] = kwargs or args
+            return self.result if name in ("load", "save") else self
+
+        return call
+
+
+def test_jdbc_read_lower_cases(spark):
+    class Session:
+        read = Recorder(frame(spark, [(1, 2)], "ID long, M int"))
+
+    assert readers.read_jdbc(Session, "u", "t", fetchsize=7).columns == ["id", "m"]
+    assert Session.read.calls["format"] == ("jdbc",) and Session.read.calls["options"] == {"url": "u", "dbtable": "t", "fetchsize": "7"}
+    assert readers.read_jdbc(Session, "u", "t", lowercase=False).columns == ["ID", "M"]
+
+
+def test_copy_table(spark, rows, monkeypatch):
+    monkeypatch.setattr(writers, "read_jdbc", lambda session, url, source, **options: frame(spark, [(1, 5), (2, 6)]))
+    for _ in range(2):
+        assert writers.copy_table(spark, "u", "OWNER.COPIED", "t", partition="m") == "t.copied"
+    assert rows(spark.table("t.copied")) == [(1, 5), (2, 6)]
+    assert [r[0] for r in spark.sql("SHOW PARTITIONS t.copied").collect()] == ["m=5", "m=6"]
+
+
 def test_jdbc_write_mode(spark):
     with pytest.raises(ValueError):
         writers.write_jdbc(frame(spark, []), "u", "t", mode="refresh")
