@@ -1,6 +1,7 @@
 """Ranking metrics. Scores are grouped first, so ties share one curve point and one threshold.
 
-Every function takes rows of (y_true 0/1, score) and an optional ``by`` column that names the model.
+Every function takes rows of (y_true 0/1, score) and an optional ``by`` column that names the model. The
+grouped scores are written once when a function is called, so the call itself runs a job.
 """
 
 from __future__ import annotations
@@ -63,14 +64,6 @@ def pr_curve(scores: DataFrame, by: str | None = None, slices: int | None = None
     return table.select(*group, F.explode(points).alias("point")).select(*group, "point.*")
 
 
-def average_precision(scores: DataFrame, by: str | None = None, slices: int | None = None, **columns) -> DataFrame:
-    """Sum of precision times the rise in recall. Without positives it is 0."""
-    table = score_table(scores, by, slices=slices, **columns)
-    share = F.col("tp") / F.when(F.col("all_tp") > 0, F.col("all_tp"))
-    step = share * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    return table.groupBy(*([by] if by else [])).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
-
-
 def roc_curve(scores: DataFrame, by: str | None = None, drop_intermediate: bool = True, slices: int | None = None, **columns) -> DataFrame:
     """False and true positive rate per distinct score, and the start point (0, 0) without threshold.
 
@@ -95,12 +88,27 @@ def roc_curve(scores: DataFrame, by: str | None = None, drop_intermediate: bool
     return table.where(kept).select(*group, F.explode(points).alias("point")).select(*group, "point.*")
 
 
-def roc_auc(scores: DataFrame, by: str | None = None, slices: int | None = None, **columns) -> DataFrame:
-    """Area under the ROC curve by trapezoids; NULL when a group lacks one of the classes."""
+def areas(scores: DataFrame, by: str | None = None, slices: int | None = None, **columns) -> DataFrame:
+    """Average precision and area under the ROC curve from one score table.
+
+    Average precision is the sum of precision times the rise in recall, 0 without positives. The ROC area
+    is taken by trapezoids, NULL when a group lacks one of the classes.
+    """
     table = score_table(scores, by, slices=slices, **columns)
-    # Doubled areas stay whole numbers, so they add up exactly.
+    rise = F.col("tp") / F.when(F.col("all_tp") > 0, F.col("all_tp"))
+    step = rise * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+    # Doubled trapezoids stay whole numbers, so they add up exactly.
     doubled = F.col("fp").cast("decimal(38,0)") * (2 * F.col("cum_tp") - F.col("tp"))
-    pairs = F.max(F.col("all_tp")).cast("double") * F.max(F.col("all_fp"))
+    pairs = F.max("all_tp").cast("double") * F.max("all_fp")
     return table.groupBy(*([by] if by else [])).agg(
-        (F.sum(doubled).cast("double") / F.when(pairs > 0, 2 * pairs)).alias("roc_auc")
+        F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"),
+        (F.sum(doubled).cast("double") / F.when(pairs > 0, 2 * pairs)).alias("roc_auc"),
     )
+
+
+def average_precision(scores: DataFrame, by: str | None = None, slices: int | None = None, **columns) -> DataFrame:
+    return areas(scores, by, slices, **columns).drop("roc_auc")
+
+
+def roc_auc(scores: DataFrame, by: str | None = None, slices: int | None = None, **columns) -> DataFrame:
+    return areas(scores, by, slices, **columns).drop("average_precision")

@@ -23,11 +23,13 @@ def expand_intervals(overrides: DataFrame, calendar: DataFrame, first_week: int,
     """One row per unit and calendar week covered by an override interval, inside the window."""
     # At most a few dozen week keys per year of the window, so always small enough to broadcast.
     weeks = F.broadcast(cal.periods(calendar, "week_id", first_week, last_week))
-    clipped = overrides.select(
+    # An open interval matches no week, but greatest and least would skip its missing bound.
+    closed = overrides.where(F.col("start_week_id").isNotNull() & F.col("end_week_id").isNotNull())
+    clipped = closed.select(
         unit,
         F.greatest("start_week_id", F.lit(first_week)).alias("_start"),
         F.least("end_week_id", F.lit(last_week)).alias("_end"),
-    ).where(F.col("start_week_id").isNotNull() & F.col("end_week_id").isNotNull())
+    )
     return join_in_range(weeks, clipped, "week_id", "_start", "_end").select(unit, "week_id")
 
 

@@ -453,7 +453,7 @@ def collect_months(spark, d):
 @register("collect_weeks", _SHIPPED + f" WHERE week_id BETWEEN {FIRST_WEEK} AND {LAST_WEEK}")
 def collect_weeks(spark, d):
     return collect.collect_periods(
-        spark, b.shipments(spark, d), work_table(spark, "weeks"), FIRST_WEEK, LAST_WEEK, b.calendar(spark, d), period="week_id", files=1
+        spark, b.shipments(spark, d), work_table(spark, "weeks"), FIRST_WEEK, LAST_WEEK, b.calendar(spark, d), period="week_id", files=4
     )
 
 
@@ -702,9 +702,7 @@ def metric_multi_roc(spark, d):
 
 @register("metric_multi_area", with_roles("score_table") + f"SELECT model, {_AP}, {_AUC} FROM score_table GROUP BY model")
 def metric_multi_area(spark, d):
-    scores = b.scores(spark, d)
-    both = metrics.average_precision(scores, by="model").join(metrics.roc_auc(scores, by="model"), "model")
-    return _rounded(both, "average_precision", "roc_auc")
+    return _rounded(metrics.areas(b.scores(spark, d), by="model"), "average_precision", "roc_auc")
 
 
 # ---- sequences ---------------------------------------------------------------------------------
