@@ -39,8 +39,7 @@ def year_id(value: Column | str) -> Column:
 
 def week_end(value: Column | str) -> Column:
     """The Friday on or after the date."""
-    day = F.to_date(_col(value))
-    return F.date_add(day, F.pmod(F.lit(4) - F.weekday(day), F.lit(7)).cast("int"))
+    return F.next_day(F.date_sub(F.to_date(_col(value)), 1), "FRI")
 
 
 def week_id(value: Column | str) -> Column:
@@ -175,15 +174,15 @@ def today_eastern_text() -> Column:
 
 
 def days_since_friday(today: Column | str, weeks: int = 1) -> Column:
-    """Days back to the last Friday strictly before ``today``, ``weeks`` - 1 weeks earlier."""
+    """Days from :func:`last_friday` to ``today``."""
     day = F.to_date(_col(today))
-    return (F.pmod(F.weekday(day) - F.lit(5), F.lit(7)) + F.lit(1 + (weeks - 1) * 7)).cast("int")
+    return F.date_diff(day, last_friday(day, weeks))
 
 
 def last_friday(today: Column | str | None = None, weeks: int = 1) -> Column:
     """The last completed Friday; on a Friday it is the one before. Default today: US Eastern."""
     day = today_eastern() if today is None else F.to_date(_col(today))
-    return F.date_sub(day, days_since_friday(day, weeks))
+    return F.date_sub(F.next_day(F.date_sub(day, 8), "FRI"), (weeks - 1) * 7)
 
 
 # ---- calendar tables -------------------------------------------------------------------------

@@ -447,13 +447,13 @@ _SHIPPED_IN_MONTHS = (
 
 @register("collect_months", _SHIPPED_IN_MONTHS)
 def collect_months(spark, d):
-    return collect.collect_periods(spark, b.shipments(spark, d), work_table(spark, "months"), FIRST_MONTH, LAST_MONTH, b.calendar(spark, d))
+    return collect.collect_periods(spark, b.shipments(spark, d), work_table(spark, "months"), FIRST_MONTH, LAST_MONTH, b.calendar(spark, d), files=2)
 
 
 @register("collect_weeks", _SHIPPED + f" WHERE week_id BETWEEN {FIRST_WEEK} AND {LAST_WEEK}")
 def collect_weeks(spark, d):
     return collect.collect_periods(
-        spark, b.shipments(spark, d), work_table(spark, "weeks"), FIRST_WEEK, LAST_WEEK, b.calendar(spark, d), period="week_id", files=4
+        spark, b.shipments(spark, d), work_table(spark, "weeks"), FIRST_WEEK, LAST_WEEK, b.calendar(spark, d), period="week_id"
     )
 
 
