@@ -53,11 +53,13 @@ def filter_by_keys(feed: DataFrame, key_list: DataFrame, keys: Sequence[str]) ->
 def in_months(feed: DataFrame, calendar: DataFrame, month_from: int, month_to: int) -> DataFrame:
     """Rows of the months in the range whose week is one of their month's weeks.
 
-    The month range is a plain filter, so it prunes partitions; the calendar side has one row per month.
+    The month range is a plain filter and the outer week range a scalar subquery, so feeds partitioned by
+    either key are pruned; the calendar side has one row per month.
     """
     bounds = cal.month_week_bounds(calendar, month_from, month_to)
+    first_week, last_week = bounds.agg(F.min("begin_week_id")).scalar(), bounds.agg(F.max("end_week_id")).scalar()
     return (
-        feed.where(F.col("month_id").between(int(month_from), int(month_to)))
+        feed.where(F.col("month_id").between(int(month_from), int(month_to)) & F.col("week_id").between(first_week, last_week))
         .join(F.broadcast(bounds), "month_id")
         .where(F.col("week_id").between(F.col("begin_week_id"), F.col("end_week_id")))
         .select(*feed.columns)

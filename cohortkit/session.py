@@ -31,13 +31,15 @@ def get_session(app_name: str = "cohortkit", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (plain local runs and tests) a folder is made and set.
+    Only a local session that names none (plain runs and tests) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured is None:
         configured = context.getCheckpointDir()
     if configured is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="cohortkit-")
         context.setCheckpointDir(configured)
     elif context.getCheckpointDir() is None:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -99,3 +100,30 @@ def test_hot_record_is_not_paired_copy_by_copy(run):
     """Many copies of one record in both feeds stay one output row."""
     got = run([], [main_row(1)] * 500, [added_row(1)] * 500)
     assert got.count() == 1
+
+
+def test_against_brute_force(run):
+    """Random feeds with repeated keys, codes outside the list and several months."""
+    dice = random.Random(2)
+    weeks = {200001: (20000107, 20000204), 200002: (20000204, 20000303)}
+
+    def row(kind):
+        month = dice.choice([200001, 200002])
+        claim, code = dice.randint(1, 6), dice.choice("AAB")
+        week = dice.choice([20000107, 20000204, 20000303])
+        if kind == "main":
+            return (claim, 1, 1, code, 9, 7, dice.choice("xy"), OLD, week, month)
+        return (claim, 1, 1, code, 9, 7, dice.choice("xy"), dice.choice([OLD, NEW, None]), dice.randint(1, 2), week, month)
+
+    gap, main, added = ([row(k) for _ in range(40)] for k in ("gap", "main", "added"))
+
+    def kept(rows):
+        return [r for r in rows if r[3] == "A" and weeks[r[-1]][0] <= r[-2] <= weeks[r[-1]][1]]
+
+    want = set(kept(gap))
+    for m in kept(main):
+        matches = [a for a in kept(added) if (a[0], a[1], a[2], a[-1]) == (m[0], m[1], m[2], m[-1])]
+        for load, age in [(a[7], a[8]) for a in matches] or [(None, None)]:
+            want.add((*m[:7], load or m[7], age, *m[8:]))
+    got = [tuple(r) for r in run(gap, main, added, last=200002).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

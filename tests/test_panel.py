@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,22 @@ def test_patients_judged_by_their_cohort(spark):
     assert [(r.cohort_id, r.patient_id, r.cnls_cds) for r in got] == [(2, "a", ["M", "R"])]
 
 
+def test_stable_patients_against_brute_force(spark):
+    dice = random.Random(11)
+    pairs = [(dice.choice([None, *"abcdefgh"]), dice.choice([None, 1, 1, 1, 2, 2, 3])) for _ in range(60)]
+    members = {1: "R", 2: "M"}
+    want = set()
+    unstable = {p for p, u in pairs if u not in members}
+    for p in {p for p, _ in pairs if p is not None} - unstable:
+        want.add((1, p, tuple(sorted({members[u] for q, u in pairs if q == p}))))
+    nobody = [u for p, u in pairs if p is None]
+    want |= {(1, None, tuple(sorted({members[u] for u in nobody if u in members})))} if any(u in members for u in nobody) else set()
+    want |= {(None, None, ())} if any(u not in members for u in nobody) else set()
+    data = spark.createDataFrame(pairs, "patient_id string, pharmacy_id long")
+    got = {(r.cohort_id, r.patient_id, tuple(r.cnls_cds)) for r in panel.stable_patients(data, _panel(spark)).collect()}
+    assert got == want
+
+
 def test_eligible_patients(spark):
     people = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "x")], "patient_id long, tag string")
     starts = spark.createDataFrame([(1, "1999-01-01"), (1, "1998-01-01"), (2, "2000-01-01"), (3, "1999-12-31"), (4, "1999-01-01")], "patient_id long, d string")

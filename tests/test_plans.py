@@ -41,6 +41,15 @@ def test_months_prune_partitions(spark, year2000):
     assert "month_id" in filters.split("PartitionFilters")[1] and "200001" in filters.split("PartitionFilters")[1]
 
 
+def test_months_prune_week_partitions(spark, year2000):
+    rows = spark.createDataFrame([(1, 200001, 20000107), (2, 200002, 20000211)], "id long, month_id int, week_id int")
+    writers.save_table(rows, "t.pruned_weeks", "week_id")
+    got = extract.in_months(spark.table("t.pruned_weeks"), year2000, 200001, 200001)
+    assert [r.id for r in got.collect()] == [1]
+    scan = next(line for line in plan(got).splitlines() if "pruned_weeks" in line)
+    assert "week_id" in scan.split("PartitionFilters")[1].split("]")[0]
+
+
 def test_bulk_panel_prunes_weeks(spark, year2000):
     rows = spark.createDataFrame([(1, 1, 20000107), (2, 1, 20010209)], "pharmacy_id long, pat_actn_ind int, week_id int")
     writers.save_table(rows, "t.weekly_parts", "week_id")
