@@ -133,13 +133,8 @@ def stable_units_bulk(
     windows = cohort_windows(cohorts)
     calendar_weeks = calendar.select("week_id").distinct()
     in_window = join_in_range(calendar_weeks, windows, "week_id", "_first_week", "_last_week")
-    needed = (
-        windows.select("cohort_id")
-        .join(in_window.groupBy("cohort_id").agg(F.count("week_id").alias("_weeks")), "cohort_id", "left")
-        .select(
-            F.col("cohort_id"),
-            F.floor(F.coalesce("_weeks", F.lit(0)) * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed"),
-        )
+    needed = in_window.groupBy("cohort_id").agg(
+        F.floor(F.count("week_id") * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed")
     )
 
     # Scalar subqueries, so a table partitioned by week reads only the weeks some cohort needs.
@@ -156,8 +151,8 @@ def stable_units_bulk(
         join_in_range(placed, windows, "week_id", "_first_week", "_last_week")
         .groupBy(unit, "cohort_id", "stable_period_start", "stable_period_end")
         .agg(F.count("week_id").alias("elig_period_cnt"))
-        .join(needed, "cohort_id")
-        .where(F.col("elig_period_cnt") >= F.col("_needed"))
+        .join(needed, "cohort_id", "left")
+        .where(F.col("elig_period_cnt") >= F.coalesce("_needed", F.lit(0)))
     )
     return _with_attributes(stable, dimension, unit)
 
