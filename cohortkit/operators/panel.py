@@ -21,7 +21,7 @@ def _share(time_share) -> Decimal:
 
 def expand_intervals(overrides: DataFrame, calendar: DataFrame, first_week: int, last_week: int, unit: str = "pharmacy_id") -> DataFrame:
     """One row per unit and calendar week covered by an override interval, inside the window."""
-    # At most a few dozen week keys per year of the window, so always small enough to broadcast.
+    # Distinct integer keys between the two bounds: one per week of the window, so small enough to broadcast.
     weeks = F.broadcast(cal.periods(calendar, "week_id", first_week, last_week))
     # An open interval matches no week, but greatest and least would skip its missing bound.
     closed = overrides.where(F.col("start_week_id").isNotNull() & F.col("end_week_id").isNotNull())

@@ -90,7 +90,7 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Word vectors from text lines ``word v1 v2 …``; of repeated words the last line wins."""
     lines = spark.read.text(path).select(
-        F.split(F.trim("value"), " ").alias("parts"),
+        F.split(F.btrim("value", F.lit(" \t\r")), " ").alias("parts"),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),

@@ -79,7 +79,7 @@ def test_against_brute_force(spark, vocabulary_size):
 
 def test_vectors_and_matrix(spark, tmp_path):
     path = tmp_path / "vectors.txt"
-    path.write_text("a 1 2\nb 3 4.5 \na 5 6\n")
+    path.write_text("a 1 2\nb 3 4.5 \t\na 5 6\n")
     vectors = sequences.load_vectors(spark, str(path))
     assert {r.word: r.vector for r in vectors.collect()} == {"a": [5.0, 6.0], "b": [3.0, 4.5]}
     words = spark.createDataFrame([("a", 1), ("q", 2), ("b", 4)], "token string, index long")
