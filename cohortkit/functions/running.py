@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.session import cut_lineage
+from cohortkit.session import written
 
 SLICE = "_slice"
 
@@ -34,7 +34,7 @@ def running_totals(
     by = list(by)
     ordering = [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
     ranged = df.repartitionByRange(*([slices] if slices else []), *by, *ordering)
-    rows = cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
+    rows = written(ranged.withColumn(SLICE, F.spark_partition_id()))
 
     totals = [F.sum(c).alias(f"_sum_{c}") for c in sums]
     if lead:

@@ -1,9 +1,7 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings, and tables in the shared folder that cut lineage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,30 +27,21 @@ def get_session(app_name: str = "cohortkit", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session that names none (plain runs and tests) gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if configured is None:
-        configured = context.getCheckpointDir()
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="cohortkit-")
-        context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse location."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so later reads see the same rows in the same slices."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A fresh path below the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def written(df: DataFrame, name: str = "scratch") -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: its lineage is cut there."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,42 +1,28 @@
-import pytest
+import os
 
 from cohortkit import session
 
 
-class Context:
-    def __init__(self, master, folder=None):
-        self.master, self.folder = master, folder
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
-
 class Session:
-    def __init__(self, master, configured=None, folder=None):
-        self.sparkContext = Context(master, folder)
-        self.conf = {"spark.checkpoint.dir": configured}
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
 
 
 def test_configured_folder_is_used():
-    spark = Session("yarn", configured="hdfs://shared/ck")
-    assert session.shared_dir(spark) == "hdfs://shared/ck" == spark.sparkContext.folder
-    assert session.scratch_path(spark, "x").startswith("hdfs://shared/ck/x-")
+    assert session.shared_dir(Session(spark_checkpoint_dir="hdfs://shared/ck", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://shared/ck"
 
 
-def test_cluster_without_folder_is_refused():
-    with pytest.raises(RuntimeError):
-        session.shared_dir(Session("yarn"))
+def test_the_warehouse_is_used_without_a_folder():
+    assert session.shared_dir(Session(spark_checkpoint_dir=None, spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w"
 
 
-def test_local_session_gets_its_own_folder_once():
-    spark = Session("local[2]")
-    assert session.shared_dir(spark) == session.shared_dir(spark) == spark.sparkContext.folder
+def test_scratch_paths_differ_and_lie_in_the_shared_folder(spark):
+    paths = {session.scratch_path(spark, "x") for _ in range(2)}
+    assert len(paths) == 2 and all(p.startswith(session.shared_dir(spark)) for p in paths)
 
 
-def test_cut_lineage_keeps_rows(spark):
-    cut = session.cut_lineage(spark.range(5))
+def test_a_written_table_keeps_rows_and_cuts_lineage(spark):
+    cut = session.written(spark.range(5))
     assert sorted(r.id for r in cut.collect()) == list(range(5))
     assert "Range" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert os.path.isdir(session.shared_dir(spark).removeprefix("file:"))
