@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
 
     repeated = index.where(F.col("rows") > 1).select("hash", parts.alias("part"))
-    chained = texts.withColumn("part", spread).join(repeated, ["hash", "part"], "left_semi")
+    chained = texts.withColumn("part", spread).join(repeated.hint("merge"), ["hash", "part"], "left_semi")
     some = chained.groupBy("hash", "part", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     nodes = some.groupBy("hash", "text").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     chains = nodes.select("hash", F.unhex(F.sha2("text", 256)).alias("sha"), "n", "least")
