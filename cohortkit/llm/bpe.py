@@ -6,7 +6,7 @@ import codecs
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import pandas as pd
 import regex
@@ -24,6 +24,8 @@ UNSAFE = regex.compile(r"\s \s")
 TAIL = 3
 # Characters of a block, bytes encoded at once beyond the lookahead, entries of each cache.
 BLOCK, STEP, CACHE = 65_536, 1_024, 300_000
+# Rank of a pair that no rule joins.
+NONE = 1 << 30
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,7 +51,7 @@ class Merges:
         self.byte_ids = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list | tuple) else m.split(" ") for m in merges]
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(self.rules)}
+        self.rank = {(a, b): r for r, (a, b, _) in enumerate(self.rules)}
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.lookahead = self._lookahead()
 
@@ -80,23 +82,21 @@ class Merges:
         return most
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        """Ids of one piece: the rule of least rank first, everywhere it fits from the left."""
+        """Ids of one piece: the rule of least rank first, from the left."""
         ids = [self.byte_ids[b] for b in data]
-        rank = self.rank
-        while len(ids) > 1:
-            found = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if found is None:
+        rank, rules = self.rank.get, self.rules
+        ranks = list(map(rank, zip(ids, ids[1:]), repeat(NONE)))
+        while ranks:
+            least = min(ranks)
+            if least == NONE:
                 break
-            u, v, joined = self.rules[found[0]]
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == u and ids[i + 1] == v:
-                    out.append(joined)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(least)
+            ids[i : i + 2] = [rules[least][2]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NONE)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NONE)
         return ids
 
 
@@ -183,11 +183,12 @@ class Encoder:
             while at < final:
                 if run is not None:
                     end = match.end() if (match := run.match(held, at)) else at
-                    over = end < len(held) or last
                     # The last blank of a run belongs to what follows it, or stands alone.
-                    given = end - 1 if run is RUNS[-1] and end < len(held) else min(end, final)
+                    stop = end - 1 if run is RUNS[-1] and at < end < len(held) else end
+                    given = min(stop, final)
+                    over = given == stop and (end < len(held) or last)
                     yield from piece.feed(held[at:given].encode())
-                    at = max(at, given)
+                    at = given
                     if over:
                         yield from piece.close()
                         run = None

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import exact_dedup, line_dedup, sharding
+import public_tokenizers
+from cohortkit.llm import bpe, exact_dedup, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +58,11 @@ def op4_sharding(spark, d):
     return sharding.assign_shards(table(spark, d, "documents"), SHARD_BYTES)
 
 
+@register("op8_bpe")
+def op8_bpe(spark, d):
+    return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
