@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
 
 def get_session(app_name: str = "cohortkit", master: str | None = None, **conf: str) -> SparkSession:
     """Build or reuse a session. Cluster size, memory and queue stay with the deployment."""
@@ -45,3 +51,17 @@ def written(df: DataFrame, name: str = "scratch") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, however the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="cohortkit-")) / "cohortkit.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(packed))
+    _SHIPPED.add(context.applicationId)
