@@ -6,6 +6,7 @@ import codecs
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain, repeat
 
 import pandas as pd
@@ -13,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.session import ship_code
+
 # The pattern that splits text before the merges, and the classes whose runs it never ends early.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RUNS = [regex.compile(r) for r in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
@@ -232,6 +235,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no ids; repeated rows are encoded one by one; an empty table gives no rows;
     other columns are not read. ``path`` names a vocabulary file that every worker can open.
     """
+    ship_code(docs.sparkSession)
+
     def run(texts: pd.Series) -> pd.Series:
         coder = load(path)
         return pd.Series([coder.encode(t or "") for t in texts])
@@ -241,6 +246,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``tokens``: ``id_col`` and text; null ids give the empty text."""
+    ship_code(tokens.sparkSession)
+
     def run(lists: pd.Series) -> pd.Series:
         merges = load(path).merges
         out = []
@@ -258,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ``id_col``, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8). The same rows as
     ``encode`` followed by ``decode``.
     """
-    from hashlib import sha256
+    ship_code(docs.sparkSession)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         coder = load(path)
