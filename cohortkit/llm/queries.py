@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, line_dedup, sharding
+from cohortkit.llm import bpe, exact_dedup, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,9 +58,18 @@ def op4_sharding(spark, d):
     return sharding.assign_shards(table(spark, d, "documents"), SHARD_BYTES)
 
 
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op5_packing")
+def op5_packing(spark, d):
+    pieces = packing.pack(table(spark, d, "documents"), WORD_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 @register("op8_bpe")
 def op8_bpe(spark, d):
-    return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
 
 
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
