@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, line_dedup, packing, sharding
+from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,15 @@ def op1_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+@register("op2_langid")
+def op2_langid(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = langid.is_held_out(F.col("doc_id"), 4, 2)
+    model = langid.train(docs.where(~held_out))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 # Bytes of a shard of op4, small as the tables are: one megabyte of text.
 SHARD_BYTES = 2**20
 
