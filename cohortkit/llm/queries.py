@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding
+from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +76,15 @@ def op5_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+@register("op6_toxicity")
+def op6_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = langid.is_held_out(F.col("doc_id"), 5, 0)
+    index = toxicity.fit(docs.where(~held_out), table(spark, d, "labels"), all_docs=docs)
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 @register("op8_bpe")
 def op8_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
