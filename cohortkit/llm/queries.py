@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, sharding, toxicity
+from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +90,14 @@ def op8_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
 
 
+@register("op10_quality")
+def op10_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = langid.is_held_out(F.col("doc_id"), 5, 0)
+    ensemble = quality.fit(docs.where(~held_out), table(spark, d, "labels"))
+    return quality.score(docs, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
