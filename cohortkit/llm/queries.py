@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, toxicity
+from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op2_langid(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+@register("op3_near_dedup")
+def op3_near_dedup(spark, d):
+    return near_dedup.near_duplicates(table(spark, d, "documents"))
+
+
 # Bytes of a shard of op4, small as the tables are: one megabyte of text.
 SHARD_BYTES = 2**20
 
