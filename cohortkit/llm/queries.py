@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cohortkit.llm import bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from cohortkit.llm import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op6_toxicity(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
 
 
+@register("op7_ann")
+def op7_ann(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, skip_self=True)
+
+
 @register("op8_bpe")
 def op8_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), BYTE_BPE)
