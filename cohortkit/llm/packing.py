@@ -27,16 +27,16 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     ``tokens`` has two bytes an id while the vocabulary allows it, else four; ``row`` numbers the rows.
     """
-    width = "<u2" if words.load(path).size <= 2**16 else "<u4"
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = words.load(path)
+        end = np.array([END], coder.dtype).tobytes()
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
-                ids = [np.array([*x, END], width) for x in coder.encode_batch(part["text"].tolist())]
-                yield part.drop(columns="text").assign(tokens=[x.tobytes() for x in ids], n=[len(x) for x in ids])
+                ids = [x + end for x in coder.encode_batch(part["text"].tolist())]
+                yield part.drop(columns="text").assign(tokens=ids, n=[len(x) // coder.dtype.itemsize for x in ids])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     id_type = given.schema["id"].dataType.simpleString()
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, packet: int = PACKET,
     source. Rows that share an id are packed one by one; an empty table gives no rows; other columns are not
     read. Queues follow the hash of the id. Runs jobs when called.
     """
-    width = "<u2" if words.load(path).size <= 2**16 else "<u4"
+    width = words.load(path).dtype
     tokens = tokenize(docs, path, id_col, text_col, source_col)
     pieces = layout(tokens, window, packet, targets)
     # The pieces of one row only: no more than its tokens.
