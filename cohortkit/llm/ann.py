@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from cohortkit.session import ship_code, written
 
-# Neighbours of a node; orders of the start, rows of a block of an order, and bits of its signature.
-DEGREE, ORDERS, BLOCK, BITS = 16, 5, 192, 40
+# Neighbours of a node; orders of the start, rows of a block of an order, bits of its signature, neighbours kept per block.
+DEGREE, ORDERS, BLOCK, BITS, START = 32, 6, 384, 40, 12
 # NN-descent ends after so many rounds, or when fewer neighbours than this share have changed.
-ROUNDS, CHANGED = 4, 0.005
+ROUNDS, CHANGED = 5, 0.01
 # Nodes a search keeps per query, nodes it visits per step, steps at most.
-BEAM, VISITS, STEPS = 32, 6, 12
-# Members of one local join besides the centre's own neighbours.
-PART = 32
+BEAM, VISITS, STEPS = 160, 32, 16
+# Members of one meeting besides the centre's own neighbours; centres or nodes that share a block of work.
+PART, TOGETHER = 32, 1024
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -73,12 +73,15 @@ def _signed(rows: DataFrame, mean: np.ndarray, seed: int = 7) -> DataFrame:
     return rows.select("*", F.posexplode(signs).alias("order", "sign"))
 
 
-def _merge_near(found: DataFrame, by: str, size: int) -> DataFrame:
-    """The ``size`` best distinct (score, node) per ``by``, each seen as often as it was found."""
-    best = found.groupBy(by, "other").agg(F.max("score").alias("score"))
-    ranked = Window.partitionBy(by).orderBy(F.col("score").desc(), "other")
-    kept = best.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= size)
-    return kept.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("score", F.col("other").alias("node"))), asc=False).alias("near"))
+def _merge_near(found: DataFrame, size: int) -> DataFrame:
+    """(id, near): the ``size`` best distinct (score, node) per id of (id, other, score), nearest first.
+
+    All rows of an id meet once; they are few, as every source hands on its best ones only.
+    """
+    best = found.repartition("id").groupBy("id", "other").agg(F.max("score").alias("score"))
+    pair = F.struct(F.col("score"), (-F.col("other")).alias("behind"))
+    listed = best.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(pair), asc=False), 1, size).alias("near"))
+    return listed.select("id", F.transform("near", lambda x: F.struct(x["score"].alias("score"), (-x["behind"]).alias("node"))).alias("near"))
 
 
 def _blocks(rows: DataFrame, keep: int, queries: bool) -> DataFrame:
@@ -146,8 +149,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     mean = np.array([r["mean"] or 0.0 for r in sums]) if sums else np.zeros(dim)
 
     signed = _signed(nodes.withColumn("query", F.lit(False)), mean)
-    start = _merge_near(_blocks(signed, DEGREE, queries=False), "id", DEGREE)
-    edges = written(start.select(F.col("id").alias("node"), "near", F.transform("near", lambda x: F.lit(True)).alias("fresh")), "edges")
+    start = _merge_near(_blocks(signed, START, queries=False), DEGREE)
+    # The place of a node in the first order, from 0 to 1, by its signature.
+    place = signed.where("order = 0").select(F.col("node").alias("id"), (F.col("sign") / float(2**BITS)).alias("place"))
+    edges = written(start.join(place, "id").select(F.col("id").alias("node"), "near", F.transform("near", lambda x: F.lit(True)).alias("fresh"), "place"), "edges")
     total = max(1, nodes.count())
     for _ in range(ROUNDS):
         edges, changed = _descend(nodes, edges)
@@ -161,56 +166,75 @@ def _descend(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
 
     A centre's neighbours are those it lists and those that list it. The latter are dealt into parts of about
     ``PART``, so a node that very many others list makes many small meetings. Meetings without a neighbour
-    that came in the last round are skipped, as all their pairs have met.
+    that came in the last round are skipped, as all their pairs have met. About ``TOGETHER`` meetings of
+    centres that lie close in the first order share a block of work, to which each vector comes once.
     """
+    total = max(1, nodes.count())
+    blocks = -(-total // TOGETHER)
     listed = edges.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near.node").alias("other"), F.col("x.fresh").alias("fresh"))
     degrees = listed.groupBy(F.col("other").alias("centre")).agg((F.floor((F.count(F.lit(1)) - 1) / PART) + 1).alias("parts"))
     back = listed.select(F.col("other").alias("centre"), F.col("node").alias("member"), "fresh").join(degrees, "centre")
     dealt = back.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).select("centre", "part", "member", "fresh")
     forth = listed.select(F.col("node").alias("centre"), F.col("other").alias("member"), "fresh").join(degrees, "centre", "left")
     own = forth.select("centre", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)).alias("part"), "member", "fresh")
-    met = dealt.unionByName(own).groupBy("centre", "part", "member").agg(F.max("fresh").alias("fresh"))
-    lively = met.groupBy("centre", "part").agg(F.max("fresh").alias("any")).where("any").select("centre", "part")
-    known = edges.select(F.col("node").alias("member"), F.transform("near", lambda x: x["node"]).alias("known"), F.element_at("near", -1)["score"].alias("worst"), F.size("near").alias("have"))
-    state = known.join(nodes.withColumnRenamed("node", "member"), "member")
-    seated = met.join(lively, ["centre", "part"]).join(state, "member")
-    meetings = seated.groupBy("centre", "part").agg(F.collect_list(F.struct("member", "fresh", "unit", "known", "worst", "have")).alias("m"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            asks, gives, values = [], [], []
-            for member, fresh, unit, known, worst, have in zip(*(batch[c] for c in ("member", "fresh", "unit", "known", "worst", "have"))):
-                member, fresh = np.asarray(member, np.int64), np.asarray(fresh, bool)
-                x = np.frombuffer(b"".join(unit), "<f4").reshape(len(member), -1)
-                scores = x @ x.T
-                floor = np.where(np.asarray(have) < DEGREE, -np.inf, np.asarray(worst))
-                wanted = (scores > floor[:, None]) & (fresh[:, None] | fresh[None, :])
-                np.fill_diagonal(wanted, False)
-                a, b = np.nonzero(wanted)
-                new = np.fromiter((member[j] not in k for k, j in ((known[i], j) for i, j in zip(a, b))), bool, len(a))
-                asks.append(member[a[new]])
-                gives.append(member[b[new]])
-                values.append(scores[a[new], b[new]])
-            if not asks:
-                continue
-            pairs = pd.DataFrame({"id": np.concatenate(asks), "other": np.concatenate(gives), "score": np.concatenate(values)})
-            # Only the best that this batch has for a node can stay.
-            best = pairs.drop_duplicates(["id", "other"]).sort_values("score", ascending=False, kind="stable")
-            yield best[best.groupby("id").cumcount() < DEGREE]
-
-    columns = [F.col(f"m.{c}").alias(c) for c in ("member", "fresh", "unit", "known", "worst", "have")]
-    found = written(meetings.select(*columns).mapInPandas(run, "id bigint, other bigint, score float"), "found")
+    place = edges.select(F.col("node").alias("centre"), "place")
+    met = dealt.unionByName(own).repartition("centre", "part").groupBy("centre", "part", "member").agg(F.max("fresh").alias("fresh"))
+    lists = met.groupBy("centre", "part").agg(F.collect_list("member").alias("members"), F.collect_list("fresh").alias("fresh"), F.max("fresh").alias("any")).where("any")
+    block = F.pmod(F.floor(F.col("place") * blocks) + F.col("part") * 7919, F.lit(blocks)).cast("int")
+    meetings = written(lists.join(place, "centre").select(block.alias("block"), "members", "fresh"), "meetings")
+    state = edges.select(F.col("node").alias("member"), F.when(F.size("near") >= DEGREE, F.element_at("near", -1)["score"]).alias("worst"))
+    guests = meetings.select(F.col("block").alias("home"), F.explode("members").alias("member")).distinct().join(nodes.withColumnRenamed("node", "member"), "member").join(state, "member", "left")
+
+    def run(meet: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+        if not len(meet):
+            return pd.DataFrame({"id": [], "other": [], "score": []})
+        guest = guest.sort_values("member")
+        names = guest["member"].to_numpy()
+        units = np.frombuffer(b"".join(guest["unit"]), "<f4").reshape(len(guest), -1)
+        floor = guest["worst"].fillna(-np.inf).to_numpy(np.float32)
+        keys, values = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for i, (members, fresh) in enumerate(zip(meet["members"], meet["fresh"])):
+            at = np.searchsorted(names, np.asarray(members, np.int64))
+            new = np.asarray(fresh, bool)
+            x = units[at]
+            scores = x @ x.T
+            wanted = (scores > floor[at][:, None]) & (new[:, None] | new[None, :])
+            np.fill_diagonal(wanted, False)
+            a, b = np.nonzero(wanted)
+            pending.append((at[a] * np.int64(len(names)) + at[b], scores[a, b]))
+            size += len(a)
+            if size > 2_000_000 or i == len(meet) - 1:
+                keys, values = _best(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([values, *(p[1] for p in pending)]), len(names))
+                pending, size = [], 0
+        return pd.DataFrame({"id": names[keys // len(names)], "other": names[keys % len(names)], "score": values})
+
+    grouped = meetings.groupBy("block").cogroup(guests.groupBy("home"))
+    found = written(grouped.applyInPandas(run, "id bigint, other bigint, score float"), "found")
     old = edges.select(F.col("node").alias("id"), F.explode("near").alias("x")).select("id", F.col("x.node").alias("other"), F.col("x.score").alias("score"))
-    merged = _merge_near(old.unionByName(found), "id", DEGREE)
-    before = edges.select(F.col("node").alias("id"), F.transform("near", lambda x: x["node"]).alias("had"))
+    merged = _merge_near(old.unionByName(found), DEGREE)
+    before = edges.select(F.col("node").alias("id"), F.transform("near", lambda x: x["node"]).alias("had"), "place")
     marked = merged.join(before, "id", "left").select(
-        F.col("id").alias("node"), "near", F.transform("near", lambda x: ~F.coalesce(F.array_contains("had", x["node"]), F.lit(False))).alias("fresh")
+        F.col("id").alias("node"), "near", F.transform("near", lambda x: ~F.coalesce(F.array_contains("had", x["node"]), F.lit(False))).alias("fresh"), "place"
     )
     result = written(marked, "edges")
     changed = result.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("n")).first().n or 0
     return result, changed
 
 
+def _best(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (asker * n + other), the ``DEGREE`` of largest value per asker."""
+    keys, first = np.unique(keys, return_index=True)
+    values = values[first]
+    order = np.lexsort((-values, keys // n))
+    keys, values = keys[order], values[order]
+    asker = keys // n
+    starts = np.flatnonzero(np.concatenate([[True], asker[1:] != asker[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    return keys[rank < DEGREE], values[rank < DEGREE]
+
+
 def search(graph: Graph, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False) -> DataFrame:
     """The nearest ``k`` rows found for every query: query_id, rank (from 1), vec_id, score (cosine in doubles).
 
@@ -224,21 +248,25 @@ def search(graph: Graph, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     asked = clean(queries, id_col, vector_col).where(F.size("vector") == graph.dim).select(F.col("id").cast("bigint").alias("id"), "vector").dropDuplicates(["id"])
     asked = written(asked.withColumn("unit", _pack(F.col("vector"))), "queries")
     both = graph.nodes.select("node", "unit", F.lit(False).alias("query")).unionByName(asked.select(F.col("id").alias("node"), "unit", F.lit(True).alias("query")))
-    entry = _blocks(_signed(both, graph.mean), BEAM, queries=True)
-    beam = written(_merge_near(entry, "id", BEAM).select("id", "near", F.array().cast("array<bigint>").alias("visited")), "beam")
+    entry = _blocks(_signed(both, graph.mean), START, queries=True)
+    beam = written(_merge_near(entry, BEAM).select("id", "near", F.array().cast("array<bigint>").alias("visited")), "beam")
+    forth = graph.edges.select("node", F.explode("near").alias("x")).select("node", F.col("x.node").alias("other"))
+    ways = written(forth.unionByName(forth.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "ways")
+    blocks = -(-max(1, graph.nodes.count()) // TOGETHER)
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    homes = written(graph.nodes.select(block, "node", "unit"), "homes")
     for _ in range(STEPS):
         nodes = F.transform("near", lambda x: x["node"])
-        visits = beam.select("id", F.slice(F.array_except(nodes, F.col("visited")), 1, VISITS).alias("next"), "near", "visited")
-        step = written(visits, "visits")
+        step = written(beam.select("id", F.slice(F.array_except(nodes, F.col("visited")), 1, VISITS).alias("next"), "near", "visited"), "visits")
         front = step.select("id", F.explode("next").alias("node"))
         if front.isEmpty():
             break
-        around = front.join(graph.edges.select("node", F.transform("near", lambda x: x["node"]).alias("others")), "node")
-        reached = around.select("id", F.explode("others").alias("node")).distinct().join(step.select("id", nodes.alias("held"), "visited"), "id")
-        fresh = reached.where(~F.array_contains("held", F.col("node"))).select("id", "node")
-        scored = _scores(fresh, asked.select("id", F.col("unit").alias("a")), graph.nodes.select("node", F.col("unit").alias("b")))
+        reached = front.join(ways, "node").select("id", F.col("other").alias("node")).distinct()
+        floor = F.when(F.size("near") >= BEAM, F.element_at("near", -1)["score"])
+        asking = step.join(asked.select("id", "unit"), "id").select("id", "unit", floor.alias("worst"))
+        scored = _scores(reached.select("id", "node", block), asking, homes)
         held = step.select("id", F.explode("near").alias("x")).select("id", F.col("x.node").alias("other"), F.col("x.score").alias("score"))
-        merged = _merge_near(held.unionByName(scored.select("id", F.col("node").alias("other"), "score")), "id", BEAM)
+        merged = _merge_near(held.unionByName(scored), BEAM)
         beam = written(merged.join(step.select("id", F.array_union("visited", "next").alias("visited")), "id"), "beam")
 
     few = Window.partitionBy("node").orderBy("id")
@@ -252,14 +280,30 @@ def search(graph: Graph, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Add the cosine of two unit vectors to pairs (id, node)."""
+def _scores(pairs: DataFrame, asking: DataFrame, homes: DataFrame) -> DataFrame:
+    """(id, other, score) of pairs (id, node, block) whose cosine is above the query's worst one so far.
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), "<f4").reshape(len(s), -1) for s in (a, b))
-        return pd.Series(np.einsum("ij,ij->i", x, y))
+    The vector of a query comes once to every block of nodes in which it has pairs.
+    """
+    visits = pairs.groupBy("block", "id").agg(F.collect_list("node").alias("nodes")).join(asking, "id")
 
-    return pairs.join(right, "node").join(left, "id").select("id", "node", F.pandas_udf(run, "float")("a", "b").alias("score"))
+    def run(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        if not len(visit):
+            return pd.DataFrame({"id": [], "other": [], "score": []})
+        home = home.sort_values("node")
+        names = home["node"].to_numpy()
+        units = np.frombuffer(b"".join(home["unit"]), "<f4").reshape(len(home), -1)
+        ids, others, scores = [], [], []
+        for query, unit, nodes, worst in zip(visit["id"], visit["unit"], visit["nodes"], visit["worst"]):
+            at = np.searchsorted(names, np.asarray(nodes, np.int64))
+            found = units[at] @ np.frombuffer(unit, "<f4")
+            above = found > (-np.inf if worst is None or np.isnan(worst) else worst)
+            ids.append(np.full(int(above.sum()), query, np.int64))
+            others.append(names[at[above]])
+            scores.append(found[above])
+        return pd.DataFrame({"id": np.concatenate(ids), "other": np.concatenate(others), "score": np.concatenate(scores)})
+
+    return visits.groupBy("block").cogroup(homes.groupBy("block")).applyInPandas(run, "id bigint, other bigint, score float")
 
 
 def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
