@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from cohortkit.llm import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
@@ -125,3 +126,10 @@ _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
 def op9_line_dedup(spark, d):
     kept = line_dedup.dedup_lines(table(spark, d, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(_pipeline)

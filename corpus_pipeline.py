@@ -1,0 +1,78 @@
+"""The corpus pipeline: toxicity, quality, exact dedup, near dedup, packing, each over what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last return the columns of ``docs``. Labels come from ``sf_dir``; rows without a
+label are judged like the others. Null texts count as empty, null ids as ids of their own; an empty table
+passes through as an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from cohortkit.llm import exact_dedup, near_dedup, packing, quality, toxicity
+from cohortkit.session import written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+# A document goes when its toxicity reaches the one, or its quality stays below the other.
+TOXIC, QUALITY = 0.5, 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled examples do not mark them as toxic."""
+    index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = toxicity.scorer(docs, index)("text")["score"]
+    return docs.where(score < TOXIC)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject."""
+    ensemble = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.add_score(docs, ensemble, "_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
+
+
+def _stay(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is kept by some decision."""
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the least id."""
+    return _stay(docs, exact_dedup.exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the least id."""
+    return _stay(docs, near_dedup.near_duplicates(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences at the mixture of the sources, with their ids."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
+
+# The stages learn, sketch and tokenize, which SQL does not express; tests compare them with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
