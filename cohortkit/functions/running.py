@@ -4,14 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.session import written
-
 SLICE = "_slice"
 
 
+def slice_bounds(df: DataFrame, order: Sequence[tuple[str, bool]], slices: int | None = None) -> list[tuple]:
+    """First keys of the slices after the first one: at most one per slice, from one small job."""
+    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
+    keys = [c for c, _ in order]
+    ranged = df.select(*keys).repartitionByRange(*([slices] if slices else []), *ordering)
+    # Falling columns are negated, so that the least struct of a slice is its first key.
+    rising = F.struct(*[(-F.col(c) if d else F.col(c)).alias(c) for c, d in order])
+    found = ranged.groupBy(F.spark_partition_id()).agg(F.min(rising).alias("first")).select("first.*").collect()
+    return [tuple(-v if d else v for v, (_, d) in zip(r, order)) for r in sorted(map(tuple, found))[1:]]
+
+
+def slice_number(df: DataFrame, order: Sequence[tuple[str, bool]], bounds: Sequence[tuple]) -> Column:
+    """How many bounds a row has reached, by bisection; a function of the row alone."""
+    if not bounds:
+        return F.lit(0)
+    types = dict(df.dtypes)
+    listed = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, (c, _) in zip(b, order)]) for b in bounds])
+
+    def reached(bound: Column) -> Column:
+        result = F.lit(True)
+        for c, descending in reversed(order):
+            beyond = F.col(c) < bound[c] if descending else F.col(c) > bound[c]
+            result = beyond | ((F.col(c) == bound[c]) & result)
+        return result
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def advance(done: Column, step: Column) -> Column:
+        ahead = done + step
+        return F.when((ahead <= len(bounds)) & F.coalesce(reached(F.get(listed, ahead - 1)), F.lit(False)), ahead).otherwise(done)
+
+    return F.aggregate(steps, F.lit(0), advance)
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
@@ -24,17 +56,16 @@ def running_totals(
     ``sums`` column, and ``next_<c>`` (value in the following row, NULL in the last) for each ``lead``
     column.
 
-    ``order`` lists (column, descending) and must be unique within a group of ``by``; ``lead`` needs a
-    single order column. The rows are range-partitioned into slices and written once, because slice
-    totals and rows must agree on the slice bounds. Each slice sums its own rows and adds the total of
-    the slices before it, so the only unsplit window runs over one row per slice.
+    ``order`` lists (column, descending) of numbers and must be unique within a group of ``by``; ``lead``
+    needs a single order column. One small job picks the bounds of the slices; a row's slice then depends on
+    the row alone. Each slice sums its own rows and adds the total of the slices before it, so the only
+    unsplit window runs over one row per slice.
     """
     if lead and len(order) != 1:
         raise ValueError("lead columns need exactly one order column")
     by = list(by)
     ordering = [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
-    ranged = df.repartitionByRange(*([slices] if slices else []), *by, *ordering)
-    rows = written(ranged.withColumn(SLICE, F.spark_partition_id()))
+    rows = df.withColumn(SLICE, slice_number(df, order, slice_bounds(df, order, slices)))
 
     totals = [F.sum(c).alias(f"_sum_{c}") for c in sums]
     if lead:

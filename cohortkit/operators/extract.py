@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
@@ -26,17 +26,14 @@ class Domain:
     """
 
     join_keys: tuple[str, ...]
-    load_date: str = "ndw_load_dt"
-    main_load_date: str = "ndwx_load_dt"
+    load_date: str
+    main_load_date: str
     renamed: Mapping[str, str] = field(default_factory=dict)
 
 
-# Record keys and history columns of the two claim domains.
-DIAGNOSIS = Domain(join_keys=("claim_id", "diag_cd_posn_nbr", "svc_nbr"))
-PRESCRIPTION = Domain(
-    join_keys=("claim_id",),
-    renamed={"ims_payer_hist_id": "ims_payer_id", "ims_pln_hist_id": "cast(ims_pln_id as int)"},
-)
+# Record keys of the two claim domains.
+DIAGNOSIS_KEYS = ("claim_id", "diag_cd_posn_nbr", "svc_nbr")
+PRESCRIPTION_KEYS = ("claim_id",)
 
 # List columns of the five extractions.
 BY_DIAGNOSIS = ("diag_cd", "diag_vers_typ_id")
@@ -50,22 +47,32 @@ def filter_by_keys(feed: DataFrame, key_list: DataFrame, keys: Sequence[str]) ->
     return feed.join(key_list.select(*keys).distinct(), list(keys), "left_semi").select(*feed.columns)
 
 
-def in_months(feed: DataFrame, calendar: DataFrame, month_from: int, month_to: int) -> DataFrame:
-    """Rows of the months in the range whose week is one of their month's weeks.
+def month_bounds(calendar: DataFrame, month_from: int, month_to: int) -> list[Row]:
+    """First and last week of every month in the range, read once: at most one row per month."""
+    return cal.month_week_bounds(calendar, month_from, month_to).collect()
+
+
+def cut_to_months(feed: DataFrame, bounds: Sequence[Row], month_from: int, month_to: int) -> DataFrame:
+    """Rows of the months in the range whose week lies in the bounds of their month.
 
-    The month range is a plain filter and the outer week range a scalar subquery, so feeds partitioned by
-    either key are pruned; the calendar side has one row per month.
+    The month and week ranges are plain filters on literals, so feeds partitioned by either key are pruned
+    when the query is planned; the side with one row per month is local.
     """
-    bounds = cal.month_week_bounds(calendar, month_from, month_to)
-    first_week, last_week = bounds.agg(F.min("begin_week_id")).scalar(), bounds.agg(F.max("end_week_id")).scalar()
+    if not bounds:
+        return feed.where(F.lit(False))
+    weeks = feed.sparkSession.createDataFrame([(r.month_id, r.begin_week_id, r.end_week_id) for r in bounds], "_month int, _begin int, _end int")
+    inside = F.col("week_id").between(min(r.begin_week_id for r in bounds), max(r.end_week_id for r in bounds))
     return (
-        feed.where(F.col("month_id").between(int(month_from), int(month_to)) & F.col("week_id").between(first_week, last_week))
-        .join(F.broadcast(bounds), "month_id")
-        .where(F.col("week_id").between(F.col("begin_week_id"), F.col("end_week_id")))
-        .select(*feed.columns)
+        feed.where(F.col("month_id").between(int(month_from), int(month_to)) & inside)
+        .join(F.broadcast(weeks), (F.col("month_id") == F.col("_month")) & F.col("week_id").between(F.col("_begin"), F.col("_end")), "left_semi")
     )
 
 
+def in_months(feed: DataFrame, calendar: DataFrame, month_from: int, month_to: int) -> DataFrame:
+    """Rows of the months in the range whose week is one of their month's weeks. Reads the calendar when called."""
+    return cut_to_months(feed, month_bounds(calendar, month_from, month_to), month_from, month_to)
+
+
 def enrich(main: DataFrame, enrichment: DataFrame, columns: Sequence[str], domain: Domain) -> DataFrame:
     """The output columns for the main feed. Several different matches repeat the row.
 
@@ -111,28 +118,29 @@ def extract_claims(
     they may bring equal rows back.
     """
     columns = gap.columns
+    bounds = month_bounds(calendar, month_from, month_to)
     gap, main, enrichment = (
-        filter_by_keys(in_months(feed, calendar, month_from, month_to), key_list, keys) for feed in (gap, main, enrichment)
+        filter_by_keys(cut_to_months(feed, bounds, month_from, month_to), key_list, keys) for feed in (gap, main, enrichment)
     )
     claims = gap.unionByName(enrich(main, enrichment, columns, domain)).dropDuplicates()
     return claims if columns_out is None else claims.selectExpr(*columns_out)
 
 
-def dx_by_diagnosis(gap, main, enrichment, diag_list, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, diag_list, BY_DIAGNOSIS, DIAGNOSIS, calendar, month_from, month_to, columns_out)
+def dx_by_diagnosis(gap, main, enrichment, diag_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
+    return extract_claims(gap, main, enrichment, diag_list, BY_DIAGNOSIS, domain, calendar, month_from, month_to, columns_out)
 
 
-def dx_by_procedure(gap, main, enrichment, proc_list, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, proc_list, BY_PROCEDURE, DIAGNOSIS, calendar, month_from, month_to, columns_out)
+def dx_by_procedure(gap, main, enrichment, proc_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
+    return extract_claims(gap, main, enrichment, proc_list, BY_PROCEDURE, domain, calendar, month_from, month_to, columns_out)
 
 
-def dx_by_patient(gap, main, enrichment, patient_list, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, DIAGNOSIS, calendar, month_from, month_to, columns_out)
+def dx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
+    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out)
 
 
-def rx_by_product(gap, main, enrichment, ndc_list, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, ndc_list, BY_PRODUCT, PRESCRIPTION, calendar, month_from, month_to, columns_out)
+def rx_by_product(gap, main, enrichment, ndc_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
+    return extract_claims(gap, main, enrichment, ndc_list, BY_PRODUCT, domain, calendar, month_from, month_to, columns_out)
 
 
-def rx_by_patient(gap, main, enrichment, patient_list, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, PRESCRIPTION, calendar, month_from, month_to, columns_out)
+def rx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
+    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out)

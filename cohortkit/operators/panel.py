@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,10 +117,28 @@ def cohort_windows(cohorts: DataFrame) -> DataFrame:
     return days.select("*", F.inline(F.array(weeks)))
 
 
+# Tasks over which the rows of one week are spread, and copies of each week of a window.
+SPREAD = 16
+_WINDOW = ["cohort_id", "stable_period_start", "stable_period_end"]
+
+
+def window_weeks(calendar: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per distinct window and calendar week in it: at most windows times weeks."""
+    weeks = calendar.select("week_id").distinct()
+    return join_in_range(weeks, windows.distinct(), "week_id", "_first_week", "_last_week").select(*_WINDOW, "week_id")
+
+
+def join_weeks(rows: DataFrame, weeks: DataFrame, spread_by: str) -> DataFrame:
+    """Rows with each window that holds their week. A week has few values, so its rows are spread by another column."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
+    return spread.join(weeks.withColumn("_part", parts), ["week_id", "_part"]).drop("_part")
+
+
 def stable_units_bulk(
     weekly: DataFrame,
     calendar: DataFrame,
-    cohorts: DataFrame,
+    cohorts: DataFrame | pd.DataFrame,
     overrides: DataFrame | None = None,
     dimension: DataFrame | None = None,
     time_share=100,
@@ -127,42 +146,51 @@ def stable_units_bulk(
 ) -> DataFrame:
     """:func:`stable_units` for every row (cohort, start, lookback) of ``cohorts``, in one pass.
 
-    The weekly table is read and de-duplicated once. Its (unit, week) rows are placed by unit before they
-    meet the cohorts, so the repeated rows are counted where they arise and never shuffled.
+    ``cohorts`` may be a local frame. Each distinct window is judged by itself, also when several share a
+    cohort. The weekly table is read and de-duplicated once; its (unit, week) rows meet the weeks of the
+    windows on the week itself. Weeks that the calendar lacks do not count.
     """
+    if isinstance(cohorts, pd.DataFrame):
+        cohorts = weekly.sparkSession.createDataFrame(cohorts)
+    if not isinstance(cohorts, DataFrame):
+        raise TypeError("cohorts must be a Spark or pandas frame")
     windows = cohort_windows(cohorts)
-    calendar_weeks = calendar.select("week_id").distinct()
-    in_window = join_in_range(calendar_weeks, windows, "week_id", "_first_week", "_last_week")
-    needed = in_window.groupBy("cohort_id").agg(
-        F.floor(F.count("week_id") * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed")
-    )
+    in_window = window_weeks(calendar, windows)
+    needed = windows.select(*_WINDOW).distinct().join(
+        in_window.groupBy(*_WINDOW).agg(F.count("week_id").alias("_weeks")), _WINDOW, "left"
+    ).select(*[F.col(c).alias(f"_{c}") for c in _WINDOW], F.floor(F.coalesce("_weeks", F.lit(0)) * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed"))
 
     # Scalar subqueries, so a table partitioned by week reads only the weeks some cohort needs.
     from_week = windows.agg(F.min("_first_week")).scalar()
     to_week = windows.agg(F.max("_last_week")).scalar()
     active = weekly.where(F.col("week_id").between(from_week, to_week) & (F.col("pat_actn_ind") == 1)).select(unit, "week_id")
     if overrides is not None:
-        weeks = calendar_weeks.withColumnRenamed("week_id", "_week")
+        weeks = calendar.select(F.col("week_id").alias("_week")).distinct()
         spans = overrides.select(unit, F.col("start_week_id").alias("_start"), F.col("end_week_id").alias("_end"))
         spread = join_in_range(weeks, spans, "_week", "_start", "_end")
         active = active.unionByName(spread.select(unit, F.col("_week").alias("week_id")))
     placed = active.distinct().repartition(unit)
+    same = F.lit(True)
+    for c in _WINDOW:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     stable = (
-        join_in_range(placed, windows, "week_id", "_first_week", "_last_week")
-        .groupBy(unit, "cohort_id", "stable_period_start", "stable_period_end")
+        join_weeks(placed, in_window, unit)
+        .groupBy(unit, *_WINDOW)
         .agg(F.count("week_id").alias("elig_period_cnt"))
-        .join(needed, "cohort_id", "left")
-        .where(F.col("elig_period_cnt") >= F.coalesce("_needed", F.lit(0)))
+        .join(needed, same)
+        .where(F.col("elig_period_cnt") >= F.col("_needed"))
+        .select(unit, *_WINDOW, "elig_period_cnt")
     )
     return _with_attributes(stable, dimension, unit)
 
 
 def stable_patients(patient_data: DataFrame, panel: DataFrame, unit: str = "pharmacy_id", patient: str = "patient_id", by_cohort: bool = False) -> DataFrame:
-    """Patients all of whose units are in the panel, with the channels they use.
+    """Patients all of whose units are in the panel, with the channels they use, one row per cohort and window.
 
     A row without a unit makes its patient unstable; rows without a patient are never removed. With
-    ``by_cohort`` the patient data carries ``cohort_id`` and is judged against that cohort's panel rows,
-    otherwise such a column is ignored and ``panel`` is taken as one cohort.
+    ``by_cohort`` the patient data carries ``cohort_id`` and is judged against that cohort's panel rows.
+    Otherwise such a column is ignored: a unit is in the panel when any cohort lists it, and a stable
+    patient comes back for every cohort and window that lists one of its units.
     """
     keys = [unit, "cohort_id"] if by_cohort else [unit]
     people = [patient, "cohort_id"] if by_cohort else [patient]
@@ -174,23 +202,25 @@ def stable_patients(patient_data: DataFrame, panel: DataFrame, unit: str = "phar
     for k in keys:
         match = match & (F.col(k) == F.col(f"_{k}"))
     placed = pairs.join(members, match, "left").withColumn("_inside", F.col("_of").isNotNull())
-    # One shuffle by patient; the partial sums hold a flag and a set of one-letter codes.
-    judged = (
+    # First per window, then over the windows of a patient, by one shuffle on the patient's columns.
+    per_window = (
         placed.withColumn("_nobody", F.when(F.col(patient).isNull(), F.col("_inside")))
-        .groupBy(*people, "_nobody")
-        .agg(
-            F.min("_inside").alias("_stable"),
-            F.max("_of").alias("_of"),
-            F.array_sort(F.collect_set("chnl_cd")).alias("cnls_cds"),
-        )
+        .groupBy(*people, "_nobody", "_of")
+        .agg(F.min("_inside").alias("_inside"), F.array_sort(F.collect_set("chnl_cd")).alias("cnls_cds"))
+    )
+    judged = (
+        per_window.groupBy(*people, "_nobody")
+        .agg(F.min("_inside").alias("_stable"), F.collect_list(F.struct("_of", "cnls_cds")).alias("_windows"))
         .where(F.col("_stable") | F.col(patient).isNull())
+        .select(patient, F.explode("_windows").alias("_w"))
     )
+    of = F.col("_w._of")
     return judged.select(
-        F.col("_of.cohort_id").alias("cohort_id"),
+        of["cohort_id"].alias("cohort_id"),
         patient,
-        F.col("_of.stable_period_start").alias("stable_period_start"),
-        F.col("_of.stable_period_end").alias("stable_period_end"),
-        "cnls_cds",
+        of["stable_period_start"].alias("stable_period_start"),
+        of["stable_period_end"].alias("stable_period_end"),
+        F.col("_w.cnls_cds").alias("cnls_cds"),
     )
 
 
@@ -212,6 +242,8 @@ def eligible_patients(
     if first is not None and last is not None:
         first, last = cal.period_range(start, end)
     result = patients
+    if first is not None and starts is None or last is not None and activity is None:
+        raise ValueError("start needs starts, and end needs activity")
     if first is not None:
         early = starts.where(F.col("pat_strt_dt_rx") < F.lit(first)).select(patient).distinct()
         result = result.join(early, patient, "left_semi")

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from cohortkit.functions.running import running_totals
 
 # The reported length percentiles.
 PERCENTILES = (75, 80, 90, 95, 98)
 
-# Up to this many tokens are picked by a plain top-k, which hands each task's best rows to one task.
-TOP_K_TOKENS = 50_000
+# Tasks over which the places of one token are spread, and copies of each vocabulary entry.
+SPREAD = 8
 
 
 def length_percentiles(texts: DataFrame, text: str = "text", percents: Sequence[float] = PERCENTILES, truncate: bool = False) -> DataFrame:
@@ -33,6 +34,8 @@ def length_percentiles(texts: DataFrame, text: str = "text", percents: Sequence[
 
 
 def _tokens(texts: DataFrame, order: str, text: str) -> DataFrame:
+    if not isinstance(texts.schema[order].dataType, IntegralType | DecimalType):
+        raise ValueError(f"order column {order!r} must hold whole numbers")
     parts = texts.select(F.col(order).alias("_doc"), F.posexplode(F.split(F.lower(text), r"\|")).alias("_pos", "token"))
     return parts.where(F.col("token") != "")
 
@@ -52,18 +55,14 @@ def build_vocab(texts: DataFrame, order: str, text: str = "text", slices: int |
 
 def top_vocab(texts: DataFrame, order: str, max_words: int, text: str = "text") -> DataFrame:
     """The vocabulary entries with an index below ``max_words``."""
-    if max_words > TOP_K_TOKENS:
-        return build_vocab(texts, order, text).where(F.col("index") < max_words)
-    ordering = [F.col("count").desc(), F.col("_first").asc()]
-    kept = _counts(_tokens(texts, order, text)).orderBy(*ordering).limit(max(max_words - 1, 0))
-    # At most max_words - 1 rows reach this window.
-    return kept.select("token", F.row_number().over(Window.orderBy(*ordering)).cast("bigint").alias("index"), "count")
+    return build_vocab(texts, order, text).where(F.col("index") < max_words)
 
 
 def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int, text: str = "text", vocab: DataFrame | None = None) -> DataFrame:
     """Columns ``seq_0`` … of the last ``max_length`` known tokens of each document, zeros at the end.
 
-    Tokens whose index reaches ``max_words`` are left out before the cut; None keeps all.
+    Tokens whose index reaches ``max_words`` are left out before the cut; None keeps all. The order column
+    must be unique, as it names the document; two documents that share a value are an error.
     """
     if vocab is None:
         vocab = build_vocab(texts, order, text) if max_words is None else top_vocab(texts, order, max_words, text)
@@ -76,10 +75,12 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
     placed = F.when(F.col("index").isNotNull(), F.shiftleft(F.col("_pos").cast("bigint"), 32) + F.col("index"))
     # The tokens of one document come from one row, so the regrouped array is no larger than that row.
     found = (
-        parts.join(known, "token", "left")
+        parts.withColumn("_part", F.pmod(F.xxhash64(order, "_pos"), F.lit(SPREAD)).cast("int"))
+        .join(known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["token", "_part"], "left")
         .where((F.col("_pos") == 0) | F.col("index").isNotNull())
         .groupBy(order)
-        .agg(F.sort_array(F.collect_list(placed)).alias("_seq"))
+        .agg(F.sort_array(F.collect_list(placed)).alias("_seq"), F.count_if(F.col("_pos") == 0).alias("_docs"))
+        .withColumn("_seq", F.when(F.col("_docs") > 1, F.raise_error(F.lit("the order column is not unique"))).otherwise(F.col("_seq")))
     )
     tail = F.slice("_seq", F.greatest(F.size("_seq") - max_length + 1, F.lit(1)), F.lit(max_length))
     indexes = F.transform(tail, lambda v: v.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
@@ -87,8 +88,11 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
     return padded.select(order, *[F.col("_padded")[i].alias(f"seq_{i}") for i in range(max_length)])
 
 
-def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Word vectors from text lines ``word v1 v2 …``; of repeated words the last line wins."""
+def load_vectors(spark: SparkSession, path: str, words: DataFrame | None = None) -> DataFrame:
+    """Word vectors from text lines ``word v1 v2 …``; of repeated words the last line wins.
+
+    With ``words`` (a column ``word``) all other lines go before anything is shuffled but the words themselves.
+    """
     lines = spark.read.text(path).select(
         F.split(F.btrim("value", F.lit(" \t\r")), " ").alias("parts"),
         F.struct(
@@ -97,19 +101,27 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("line"),
         ).alias("place"),
     )
+    lines = lines.withColumn("word", F.col("parts")[0])
+    if words is not None:
+        lines = lines.join(words.select("word").distinct(), "word", "left_semi")
     vector = F.transform(F.slice("parts", F.lit(2), F.size("parts") - 1), lambda v: v.cast("float"))
-    return lines.groupBy(F.col("parts")[0].alias("word")).agg(F.max_by(vector, "place").alias("vector"))
+    return lines.groupBy("word").agg(F.max_by(vector, "place").alias("vector"))
 
 
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, max_features: int, dim: int = 300) -> DataFrame:
-    """One row per index 0 … ``max_features`` - 1 with the vector of its word, zeros when there is none."""
+    """One row per index 0 … ``max_features`` - 1 with the vector of its word, zeros when there is none.
+
+    The vectors are cut to the wanted words before they are joined; one of another length is an error.
+    """
     spark = vocab.sparkSession
     words = vocab.where(F.col("index") < max_features).select("index", F.col("token").alias("word"))
+    wanted = vectors.select("word", "vector").join(words.select("word").distinct(), "word", "left_semi")
+    found = F.when(F.size("vector") != dim, F.raise_error(F.concat(F.lit(f"not {dim} numbers for "), F.col("word")))).otherwise(F.col("vector"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (
         spark.range(max_features)
         .withColumnRenamed("id", "index")
         .join(words, "index", "left")
-        .join(vectors.select("word", "vector"), "word", "left")
+        .join(wanted.select("word", found.alias("vector")), "word", "left")
         .select("index", F.coalesce("vector", zeros).alias("vector"))
     )

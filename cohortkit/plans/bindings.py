@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortkit.functions import calendar as cal
+from cohortkit.operators.extract import DIAGNOSIS_KEYS, PRESCRIPTION_KEYS, Domain
 
 
 _schemas: dict[str, StructType] = {}
@@ -74,32 +75,37 @@ def _age():
     return (F.year("order_dt") - F.lit(1930)).alias("pat_age_yr_nbr")
 
 
+# Column names of the test feeds.
+DIAGNOSIS = Domain(DIAGNOSIS_KEYS, "load_dt", "main_load_dt")
+PRESCRIPTION = Domain(PRESCRIPTION_KEYS, "load_dt", "main_load_dt", {"payer_hist_id": "payer_id", "plan_hist_id": "cast(plan_id as int)"})
+
+
 def gap_feed(spark, d, prescription: bool = False) -> DataFrame:
     rows = claims(spark, d).where(F.col("l_returnflag") == "A")
     history = (
         [
-            F.col("pharmacy_id").alias("ims_payer_id"),
-            F.col("pharmacy_id").alias("ims_payer_hist_id"),
-            F.col("svc_nbr").alias("ims_pln_hist_id"),
+            F.col("pharmacy_id").alias("payer_id"),
+            F.col("pharmacy_id").alias("payer_hist_id"),
+            F.col("svc_nbr").alias("plan_hist_id"),
         ]
         if prescription
         else []
     )
-    return rows.select(*_OWN, F.col("order_dt").alias("ndw_load_dt"), _age(), *history, *_AMOUNT)
+    return rows.select(*_OWN, F.col("order_dt").alias("load_dt"), _age(), *history, *_AMOUNT)
 
 
 def main_feed(spark, d, prescription: bool = False) -> DataFrame:
     rows = claims(spark, d).where(F.col("l_returnflag") != "A")
-    payer = [F.col("pharmacy_id").alias("ims_payer_id")] if prescription else []
-    return rows.select(*_OWN, F.col("svc_dt").alias("ndwx_load_dt"), *payer, *_AMOUNT)
+    payer = [F.col("pharmacy_id").alias("payer_id")] if prescription else []
+    return rows.select(*_OWN, F.col("svc_dt").alias("main_load_dt"), *payer, *_AMOUNT)
 
 
 def enrichment_feed(spark, d, prescription: bool = False) -> DataFrame:
     rows = claims(spark, d).where((F.col("l_returnflag") != "A") & (F.col("l_linestatus") == "O"))
     history = (
-        [F.col("pharmacy_id").alias("ims_payer_id"), F.col("svc_nbr").cast("string").alias("ims_pln_id")] if prescription else []
+        [F.col("pharmacy_id").alias("payer_id"), F.col("svc_nbr").cast("string").alias("plan_id")] if prescription else []
     )
-    return rows.select(*_OWN, F.col("order_dt").alias("ndw_load_dt"), _age(), *history, *_AMOUNT)
+    return rows.select(*_OWN, F.col("order_dt").alias("load_dt"), _age(), *history, *_AMOUNT)
 
 
 def feeds(spark, d, prescription: bool = False):

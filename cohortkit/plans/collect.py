@@ -10,7 +10,7 @@ from cohortkit.functions.frames import match_column
 from cohortkit.operators.extract import in_months
 from cohortkit.sources import tables
 from cohortkit.sources.readers import resolve
-from cohortkit.sources.writers import create_like, insert_by_name, replace_partitions, spread_for_write
+from cohortkit.sources.writers import beside, create_like, insert_by_name, reads_table, replace_partitions, spread_for_write, swap_in
 
 METHODS = ("INITIAL", "APPEND")
 
@@ -26,10 +26,10 @@ def period_filter(df: DataFrame, calendar: DataFrame, period: str, first: int, l
 
     Months also bound the week by the weeks of the row's own month when the frame has a week column.
     """
-    if period == "month_id" and match_column(df, "week_id"):
+    if period.lower() == "month_id" and match_column(df, "week_id"):
         return in_months(df, calendar, first, last)
-    known = F.broadcast(cal.periods(calendar, period, first, last))
-    return df.where(F.col(period).between(int(first), int(last))).join(known, period, "left_semi").select(*df.columns)
+    known = F.broadcast(cal.periods(calendar, period.lower(), first, last).withColumnRenamed(period.lower(), "_known"))
+    return df.where(F.col(period).between(int(first), int(last))).join(known, F.col(period) == F.col("_known"), "left_semi")
 
 
 def collect_periods(
@@ -45,38 +45,66 @@ def collect_periods(
 ) -> DataFrame:
     """Load the periods ``first`` … ``last`` of a query into ``table`` and return the table.
 
-    INITIAL starts from an empty table, APPEND keeps the other periods. All periods are one job; a
-    requested period without rows ends empty. ``files`` bounds the files per period.
+    INITIAL ends with these periods alone, APPEND keeps the other ones. All periods are one job; a requested
+    period without rows ends empty. What was there stays until the rows are written, so a failing source
+    loses nothing; a source that reads the table itself is an error. ``files`` bounds the files per period.
     """
-    method = _method(method)
     rows = resolve(spark, source)
-    if method == "INITIAL":
-        tables.drop(spark, table)
-    create_like(rows, table, period)
     # One value per calendar period of the range: partition names, which the catalog takes one by one.
-    requested = [r[0] for r in cal.periods(calendar, period, first, last).collect()]
-    replace_partitions(period_filter(rows, calendar, period, first, last), table, period, requested, files)
+    requested = [r[0] for r in cal.periods(calendar, period.lower(), first, last).collect()]
+    _load(rows, period_filter(rows, calendar, period, first, last), table, period, requested, method, files)
     return spark.table(table)
 
 
+def _load(rows: DataFrame, cut: DataFrame, table: str, period: str, requested: list, method: str, files: int | None) -> None:
+    """Replace the requested partitions; with INITIAL drop the other ones once the new rows are written.
+
+    A table with other columns is replaced by a new one that is written beside it first.
+    """
+    spark = rows.sparkSession
+    method = _method(method)
+    if reads_table(rows, table):
+        raise ValueError(f"the source reads {table}, which it would replace")
+    if method == "APPEND" or not tables.exists(spark, table):
+        replace_partitions(cut, table, period, requested, files)
+    elif sorted((n.lower(), t) for n, t in spark.table(table).dtypes) == sorted((n.lower(), t) for n, t in cut.dtypes):
+        replace_partitions(cut, table, period, requested, files)
+        kept = {str(v) for v in requested}
+        for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+            name, value = row.partition.split("=", 1)
+            if value not in kept:
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({name} = '{value}')")
+        spark.catalog.refreshTable(table)
+    else:
+        made = beside(table)
+        try:
+            replace_partitions(cut, made, period, requested, files)
+        except Exception:
+            tables.drop(spark, made)
+            raise
+        swap_in(spark, made, table)
+
+
 def store_extract(claims: DataFrame, table: str, calendar: DataFrame, month_from: int, month_to: int, method: str = "INITIAL", files: int | None = None) -> DataFrame:
-    """Put extracted claims, already cut to the months, into a table by month."""
-    spark = claims.sparkSession
-    if _method(method) == "INITIAL":
-        tables.drop(spark, table)
+    """Put extracted claims, already cut to the months, into a table by month, as ``collect_periods`` does."""
     requested = [r[0] for r in cal.periods(calendar, "month_id", month_from, month_to).collect()]
-    replace_partitions(claims, table, "month_id", requested, files)
-    return spark.table(table)
+    _load(claims, claims, table, "month_id", requested, method, files)
+    return claims.sparkSession.table(table)
 
 
 def add_partition(spark: SparkSession, source: DataFrame | str, table: str, partition: str, value, method: str = "INITIAL") -> DataFrame:
-    """Insert a query's rows; INITIAL first empties the named partition. The table is created when missing."""
+    """Put a query's rows into a table. The table is created when missing.
+
+    INITIAL replaces the named partition, which ends empty without rows, and every other partition the rows
+    belong to; running it again gives the same table, and a failing source loses nothing. APPEND adds rows.
+    """
     method = _method(method)
     rows = resolve(spark, source)
-    create_like(rows, table, partition)
     if method == "INITIAL":
-        tables.drop_partition(spark, table, partition, value)
-    insert_by_name(spread_for_write(rows, partition), table)
+        replace_partitions(rows, table, partition, [value])
+    else:
+        create_like(rows, table, partition)
+        insert_by_name(spread_for_write(rows, match_column(rows, partition)), table)
     tables.analyze(spark, table)
     return spark.table(table)
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
 from cohortkit.functions import frames
-from cohortkit.functions.ranges import join_in_range
 from cohortkit.operators import extract, metrics, panel, quality, sequences
 from cohortkit.plans import bindings as b
 from cohortkit.plans import collect
@@ -329,8 +328,8 @@ def panel_stable_patients_bulk(spark, d):
     units = panel.stable_units_bulk(
         b.weekly_panel(spark, d), b.calendar(spark, d), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
     )
-    windows = panel.cohort_windows(cohorts).select("cohort_id", "_first_week", "_last_week")
-    seen = join_in_range(b.patient_weeks(spark, d), windows, "week_id", "_first_week", "_last_week")
+    weeks = panel.window_weeks(b.calendar(spark, d), panel.cohort_windows(cohorts)).select("cohort_id", "week_id")
+    seen = panel.join_weeks(b.patient_weeks(spark, d), weeks, "patient_id")
     found = panel.stable_patients(seen, units, by_cohort=True)
     return _dates_as_text(found).withColumn("cnls_cds", F.array_join("cnls_cds", ","))
 
@@ -364,10 +363,10 @@ def panel_saved_cohorts(spark, d):
 
 _OWN = "claim_id, svc_nbr, diag_cd_posn_nbr, ndc, prc_cd, diag_cd, diag_vers_typ_id, patient_id"
 _OUT_DX = [
-    "claim_id", "svc_nbr", "ndc", "prc_cd", "diag_cd", "diag_vers_typ_id", "patient_id", "cast(ndw_load_dt as string) as ndw_load_dt",
+    "claim_id", "svc_nbr", "ndc", "prc_cd", "diag_cd", "diag_vers_typ_id", "patient_id", "cast(load_dt as string) as load_dt",
     "coalesce(pat_age_yr_nbr, -1) as pat_age_yr_nbr", "svc_crgd_amt", "week_id", "month_id",
 ]
-_OUT_RX = [*_OUT_DX[:-2], "ims_payer_id", "coalesce(ims_payer_hist_id, -1) as ims_payer_hist_id", "coalesce(ims_pln_hist_id, -1) as ims_pln_hist_id", "week_id", "month_id"]
+_OUT_RX = [*_OUT_DX[:-2], "payer_id", "coalesce(payer_hist_id, -1) as payer_hist_id", "coalesce(plan_hist_id, -1) as plan_hist_id", "week_id", "month_id"]
 
 _SQL_LISTS = {
     extract.BY_DIAGNOSIS: "SELECT p_type AS diag_cd, CASE WHEN p_size > 25 THEN 10 ELSE 9 END AS diag_vers_typ_id FROM part WHERE p_retailprice < 901",
@@ -381,8 +380,8 @@ def _sql_extract(keys: tuple[str, ...], rx: bool) -> str:
     listed = "EXISTS (SELECT 1 FROM key_list k WHERE " + " AND ".join(f"k.{k} = c.{k}" for k in keys) + ")"
     age = "CAST(year(order_dt) - 1930 AS INT) AS pat_age_yr_nbr"
     rest = "svc_crgd_amt, week_id, month_id"
-    gap_history = "pharmacy_id AS ims_payer_id, pharmacy_id AS ims_payer_hist_id, svc_nbr AS ims_pln_hist_id, " if rx else ""
-    main_history = "a.pharmacy_id AS ims_payer_id, b.pharmacy_id AS ims_payer_hist_id, b.svc_nbr AS ims_pln_hist_id, " if rx else ""
+    gap_history = "pharmacy_id AS payer_id, pharmacy_id AS payer_hist_id, svc_nbr AS plan_hist_id, " if rx else ""
+    main_history = "a.pharmacy_id AS payer_id, b.pharmacy_id AS payer_hist_id, b.svc_nbr AS plan_hist_id, " if rx else ""
     match = "a.claim_id = b.claim_id AND a.month_id = b.month_id"
     if not rx:
         match += " AND a.diag_cd_posn_nbr = b.diag_cd_posn_nbr AND a.svc_nbr = b.svc_nbr"
@@ -393,7 +392,7 @@ def _sql_extract(keys: tuple[str, ...], rx: bool) -> str:
             "in_months",
             key_list=_SQL_LISTS[keys],
             listed=f"SELECT * FROM in_months c WHERE {listed}",
-            merged=f"""SELECT {_OWN}, order_dt AS ndw_load_dt, {age}, {gap_history}{rest} FROM listed WHERE l_returnflag = 'A'
+            merged=f"""SELECT {_OWN}, order_dt AS load_dt, {age}, {gap_history}{rest} FROM listed WHERE l_returnflag = 'A'
             UNION SELECT {own}, coalesce(b.order_dt, a.svc_dt), CAST(year(b.order_dt) - 1930 AS INT), {main_history}a.svc_crgd_amt, a.week_id, a.month_id
             FROM (SELECT * FROM listed WHERE l_returnflag <> 'A') a
             LEFT JOIN (SELECT * FROM listed WHERE l_returnflag <> 'A' AND l_linestatus = 'O') b ON {match}""",
@@ -403,7 +402,7 @@ def _sql_extract(keys: tuple[str, ...], rx: bool) -> str:
 
 
 def _by_pair(spark, d) -> DataFrame:
-    return extract.dx_by_diagnosis(*b.feeds(spark, d), b.diagnosis_list(spark, d), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
+    return extract.dx_by_diagnosis(*b.feeds(spark, d), b.diagnosis_list(spark, d), b.DIAGNOSIS, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
 
 
 @register("extract_by_code_pair", _sql_extract(extract.BY_DIAGNOSIS, False))
@@ -413,22 +412,22 @@ def extract_by_code_pair(spark, d):
 
 @register("extract_by_code", _sql_extract(extract.BY_PROCEDURE, False))
 def extract_by_code(spark, d):
-    return extract.dx_by_procedure(*b.feeds(spark, d), b.procedure_list(spark, d), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
+    return extract.dx_by_procedure(*b.feeds(spark, d), b.procedure_list(spark, d), b.DIAGNOSIS, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
 
 
 @register("extract_by_patient", _sql_extract(extract.BY_PATIENT, False))
 def extract_by_patient(spark, d):
-    return extract.dx_by_patient(*b.feeds(spark, d), b.patient_list(spark, d), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
+    return extract.dx_by_patient(*b.feeds(spark, d), b.patient_list(spark, d), b.DIAGNOSIS, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
 
 
 @register("extract_rx_by_product", _sql_extract(extract.BY_PRODUCT, True))
 def extract_rx_by_product(spark, d):
-    return extract.rx_by_product(*b.feeds(spark, d, True), b.product_list(spark, d), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_RX)
+    return extract.rx_by_product(*b.feeds(spark, d, True), b.product_list(spark, d), b.PRESCRIPTION, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_RX)
 
 
 @register("extract_rx_by_patient", _sql_extract(extract.BY_PATIENT, True))
 def extract_rx_by_patient(spark, d):
-    return extract.rx_by_patient(*b.feeds(spark, d, True), b.patient_list(spark, d), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_RX)
+    return extract.rx_by_patient(*b.feeds(spark, d, True), b.patient_list(spark, d), b.PRESCRIPTION, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_RX)
 
 
 @register("extract_stored", _sql_extract(extract.BY_DIAGNOSIS, False))
@@ -757,5 +756,7 @@ def seq_embedding_matrix(spark, d):
     values = F.transform("embedding", lambda v: v.cast("string"))
     vectors.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(values, " "))).write.text(path)
     vocab = sequences.build_vocab(b.event_sequences(spark, d), "event_id")
-    matrix = sequences.embedding_matrix(vocab, sequences.load_vectors(spark, path), MAX_FEATURES, VECTOR_DIM)
+    wanted = vocab.where(F.col("index") < MAX_FEATURES).select("index", "token")
+    lines = sequences.load_vectors(spark, path, wanted.select(F.col("token").alias("word")))
+    matrix = sequences.embedding_matrix(wanted, lines, MAX_FEATURES, VECTOR_DIM)
     return matrix.select("index", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortkit.functions.frames import lower_columns, match_column, upper_columns
 from cohortkit.sources.readers import jdbc_options, read_jdbc, resolve
@@ -31,7 +32,11 @@ def spread_for_write(df: DataFrame, partition: str | None, files: int | None = N
 
 
 def insert_by_name(df: DataFrame, table: str, overwrite: bool = False) -> None:
-    """Insert with columns put in the table's order. Overwriting touches only the partitions that get rows."""
+    """Insert with columns put in the table's order. Overwriting touches only the partitions that get rows.
+
+    ``insertInto`` does not heed the mode as an option of the write, so the session's setting is changed
+    meanwhile.
+    """
     spark = df.sparkSession
     target = spark.table(table)
     before = spark.conf.get(OVERWRITE_MODE)
@@ -43,18 +48,67 @@ def insert_by_name(df: DataFrame, table: str, overwrite: bool = False) -> None:
     spark.catalog.refreshTable(table)
 
 
+def _partition_of(df: DataFrame, partition: str) -> str:
+    """The frame's partition column, in any letter case."""
+    found = match_column(df, partition)
+    if found is None:
+        raise ValueError(f"no column {partition!r} in {df.columns}")
+    return found
+
+
 def create_like(df: DataFrame, table: str, partition: str | None = None, fmt: str = "parquet") -> None:
-    """An empty table with the frame's columns, the partition column last. Kept when it exists."""
-    if df.sparkSession.catalog.tableExists(table):
+    """An empty table with the frame's columns, the partition column last. Kept when it exists.
+
+    Only the frame's schema is used; its query is not planned.
+    """
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
         return
-    rest = [c for c in df.columns if c != partition]
-    empty = df.select(*rest, *([partition] if partition else [])).where(F.lit(False))
-    writer = empty.write.format(fmt)
-    (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+    own = None if partition is None else _partition_of(df, partition)
+    fields = sorted(df.schema.fields, key=lambda f: f.name == own)
+    writer = spark.createDataFrame([], StructType(fields)).write.format(fmt)
+    (writer.partitionBy(own) if own else writer).saveAsTable(table)
+
+
+def reads_table(df: DataFrame, table: str) -> bool:
+    """Whether the frame's query reads a catalog table."""
+    spark = df.sparkSession
+    wanted = table if "." in table else f"{spark.catalog.currentDatabase()}.{table}"
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().startswith("LogicalRelation") or leaf.getClass().getSimpleName() == "LogicalRelation":
+            known = leaf.catalogTable()
+            if known.isDefined():
+                name = known.get().identifier()
+                parts = [name.database().get() if name.database().isDefined() else spark.catalog.currentDatabase(), name.table()]
+                if ".".join(parts).lower() == wanted.lower():
+                    return True
+    return False
+
+
+def swap_in(spark: SparkSession, made: str, table: str) -> None:
+    """Put a finished table in the place of another one.
+
+    Not every catalog moves the partitions with a renamed table, so their locations are set again.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
+    spark.sql(f"ALTER TABLE {made} RENAME TO {table}")
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    if "# Partition Information" in told:
+        for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+            spec = ", ".join("{} = '{}'".format(*part.split("=", 1)) for part in row.partition.split("/"))
+            spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{told['Location']}/{row.partition}'")
+    spark.catalog.refreshTable(table)
+
+
+def beside(table: str) -> str:
+    """A fresh name in the table's database."""
+    return f"{table}_{uuid.uuid4().hex}"
 
 
 def save_table(
-    df: DataFrame,
+    source: DataFrame | str,
     table: str,
     partition: str | None = None,
     mode: str = "append",
@@ -63,28 +117,26 @@ def save_table(
     files: int | None = None,
     cache: bool = False,
     analyze: bool = False,
+    spark: SparkSession | None = None,
 ) -> int:
     """Create, append to or overwrite a table, and return its row count.
 
-    The partition column is found in any letter case and ignored when the frame lacks it. ``upper``
-    upper-cases the columns; ``files`` bounds the files per partition; ``cache`` keeps the frame while
-    it is written and counted, and then returns the count of the frame.
+    ``source`` is a frame, or with ``spark`` a query or a table name. The partition column is found in any
+    letter case and ignored when the frame lacks it. ``upper`` upper-cases the columns; ``files`` bounds the
+    files per partition. With ``cache`` the count is that of the frame, observed while it is written.
     """
+    df = source if isinstance(source, DataFrame) else resolve(spark, source)
     spark = df.sparkSession
     out = upper_columns(df) if upper else df
     part = match_column(out, partition)
-    if cache:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        writer = spread_for_write(out, part, files).write.mode(mode).format(fmt)
-        (writer.partitionBy(part) if part else writer).saveAsTable(table)
-        spark.catalog.refreshTable(table)
-        if analyze:
-            spark.sql(f"ANALYZE TABLE {table}{f' PARTITION ({part})' if part else ''} COMPUTE STATISTICS")
-        return out.count() if cache else spark.table(table).count()
-    finally:
-        if cache:
-            out.unpersist()
+    seen = Observation()
+    watched = out.observe(seen, F.count(F.lit(1)).alias("rows")) if cache else out
+    writer = spread_for_write(watched, part, files).write.mode(mode).format(fmt)
+    (writer.partitionBy(part) if part else writer).saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    if analyze:
+        spark.sql(f"ANALYZE TABLE {table}{f' PARTITION ({part})' if part else ''} COMPUTE STATISTICS")
+    return (_observed(seen, "rows", out) or 0) if cache else spark.table(table).count()
 
 
 def run_insert(spark: SparkSession, table: str, statement: str) -> int:
@@ -106,12 +158,13 @@ def replace_partitions(
     """
     spark = df.sparkSession
     create_like(df, table, partition)
+    own = _partition_of(df, partition)
     written = Observation()
     # The set holds one value per written partition, which the catalog has to know anyway.
-    watched = df.observe(written, F.collect_set(partition).alias("values"))
-    insert_by_name(spread_for_write(watched, partition, files), table, overwrite=True)
+    watched = df.observe(written, F.collect_set(own).alias("values"))
+    insert_by_name(spread_for_write(watched, own, files), table, overwrite=True)
     if requested is not None:
-        filled = _observed(written, df)
+        filled = {str(v) for v in _observed(written, "values", df) or ()}
         stale = [v for v in requested if str(v) not in filled]
         for value in stale:
             literal = f"'{value}'" if isinstance(value, str) else value
@@ -119,24 +172,28 @@ def replace_partitions(
         spark.catalog.refreshTable(table)
 
 
-def _observed(written: Observation, df: DataFrame) -> set[str]:
-    """The partition values a finished write saw.
+def _observed(written: Observation, name: str, df: DataFrame):
+    """What a finished write saw, or None.
 
     Spark leaves the observation out of a plan it knows to be empty. Only a frame that is found to have
     no rows may then count as having written nothing.
     """
     try:
-        return {str(v) for v in written.get["values"]}
+        return written.get[name]
     except Py4JJavaError:
         if not df.isEmpty():
             raise
-        return set()
+        return None
 
 
-def write_jdbc(df: DataFrame, url: str, dbtable: str, mode: str = "overwrite", upper: bool | None = None, **options) -> None:
-    """Write to a JDBC table. Overwriting drops and recreates it, with upper-cased columns by default."""
+def write_jdbc(source: DataFrame | str, url: str, dbtable: str, mode: str = "overwrite", upper: bool | None = None, spark: SparkSession | None = None, **options) -> None:
+    """Write a frame, or with ``spark`` a query or a table name, to a JDBC table.
+
+    Overwriting drops and recreates it, with upper-cased columns by default.
+    """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode {mode!r} is not overwrite or append")
+    df = source if isinstance(source, DataFrame) else resolve(spark, source)
     out = upper_columns(df) if (mode == "overwrite" if upper is None else upper) else df
     out.write.format("jdbc").mode(mode).options(**jdbc_options(url, dbtable, **options)).save()
 
@@ -166,11 +223,17 @@ def copy_table(
     default_database: str = "default",
     **options,
 ) -> str:
-    """Replace a catalog table by the content of a JDBC table, with lower-cased columns; returns its name."""
+    """Replace a catalog table by the content of a JDBC table, with lower-cased columns; returns its name.
+
+    The old table stays until the new one is written.
+    """
     table = copy_target(spark, source, target, default_database)
     rows = read_jdbc(spark, url, source, **options)
-    spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
-    save_table(rows, table, partition, mode="overwrite", fmt=fmt, analyze=True)
+    made = beside(table)
+    save_table(rows, made, partition, mode="overwrite", fmt=fmt)
+    swap_in(spark, made, table)
+    part = match_column(rows, partition)
+    spark.sql(f"ANALYZE TABLE {table}{f' PARTITION ({part})' if part else ''} COMPUTE STATISTICS")
     return table
 
 

@@ -4,10 +4,11 @@ import random
 import pytest
 
 from cohortkit.operators import extract
+from cohortkit.plans import bindings as b
 from cohortkit.plans import collect
 
-GAP = "claim_id long, svc_nbr int, diag_cd_posn_nbr int, diag_cd string, diag_vers_typ_id int, patient_id long, note string, ndw_load_dt date, pat_age_yr_nbr int, week_id int, month_id int"
-MAIN = GAP.replace("ndw_load_dt date, pat_age_yr_nbr int", "ndwx_load_dt date")
+GAP = "claim_id long, svc_nbr int, diag_cd_posn_nbr int, diag_cd string, diag_vers_typ_id int, patient_id long, note string, load_dt date, pat_age_yr_nbr int, week_id int, month_id int"
+MAIN = GAP.replace("load_dt date, pat_age_yr_nbr int", "main_load_dt date")
 W, M = 20000114, 200001
 OLD, NEW = dt.date(2001, 1, 1), dt.date(2002, 2, 2)
 
@@ -29,7 +30,7 @@ def run(spark, year2000):
     def extracted(gap, main, added, codes=(("A", 9),), out=None, by=extract.dx_by_diagnosis, first=M, last=M):
         frames = spark.createDataFrame(gap, GAP), spark.createDataFrame(main, MAIN), spark.createDataFrame(added, GAP)
         keys = spark.createDataFrame(list(codes), "diag_cd string, diag_vers_typ_id int" if by is extract.dx_by_diagnosis else "patient_id long")
-        return by(*frames, keys, year2000, first, last, out)
+        return by(*frames, keys, b.DIAGNOSIS, year2000, first, last, out)
 
     return extracted
 
@@ -40,7 +41,7 @@ def test_list_entries_do_not_multiply(run):
 
 
 def test_load_date_and_age(run):
-    got = {r.claim_id: (r.ndw_load_dt, r.pat_age_yr_nbr) for r in run([gap_row(1)], [main_row(2), main_row(3)], [added_row(3)]).collect()}
+    got = {r.claim_id: (r.load_dt, r.pat_age_yr_nbr) for r in run([gap_row(1)], [main_row(2), main_row(3)], [added_row(3)]).collect()}
     assert got == {1: (OLD, 40), 2: (OLD, None), 3: (NEW, 50)}
 
 
@@ -51,7 +52,7 @@ def test_fan_out(run):
 
 def test_enrichment_is_cut_by_its_own_code(run):
     got = run([], [main_row(1)], [added_row(1, code="B")]).collect()
-    assert [(r.ndw_load_dt, r.pat_age_yr_nbr) for r in got] == [(OLD, None)]
+    assert [(r.load_dt, r.pat_age_yr_nbr) for r in got] == [(OLD, None)]
 
 
 def test_enrichment_of_another_month_does_not_match(run):
@@ -78,11 +79,11 @@ def test_all_patients_equal_the_unfiltered_feed(run):
 
 
 def test_prescription_history_columns(spark, year2000):
-    gap = spark.createDataFrame([], "claim_id long, ndc string, ims_payer_id int, ndw_load_dt date, ims_payer_hist_id int, ims_pln_hist_id int, week_id int, month_id int")
-    main = spark.createDataFrame([(1, "n", 5, OLD, W, M)], "claim_id long, ndc string, ims_payer_id int, ndwx_load_dt date, week_id int, month_id int")
-    added = spark.createDataFrame([(1, "n", 6, "77", None, W, M)], "claim_id long, ndc string, ims_payer_id int, ims_pln_id string, ndw_load_dt date, week_id int, month_id int")
+    gap = spark.createDataFrame([], "claim_id long, ndc string, payer_id int, load_dt date, payer_hist_id int, plan_hist_id int, week_id int, month_id int")
+    main = spark.createDataFrame([(1, "n", 5, OLD, W, M)], "claim_id long, ndc string, payer_id int, main_load_dt date, week_id int, month_id int")
+    added = spark.createDataFrame([(1, "n", 6, "77", None, W, M)], "claim_id long, ndc string, payer_id int, plan_id string, load_dt date, week_id int, month_id int")
     keys = spark.createDataFrame([("n",)], "ndc string")
-    got = extract.rx_by_product(gap, main, added, keys, year2000, M, M).collect()
+    got = extract.rx_by_product(gap, main, added, keys, b.PRESCRIPTION, year2000, M, M).collect()
     assert [tuple(r) for r in got] == [(1, "n", 5, OLD, 6, 77, W, M)]
 
 

@@ -90,10 +90,10 @@ def test_hot_record_is_split(spark, conf, year2000):
         "case when id % 3 = 0 then 1 else id end as claim_id", "1 as svc_nbr", "1 as diag_cd_posn_nbr", "'A' as diag_cd", "9 as diag_vers_typ_id",
         "sha2(string(id), 256) as note", "20000114 as week_id", "200001 as month_id",
     )
-    main = base.withColumn("ndwx_load_dt", F.lit(day))
-    added = base.withColumn("ndw_load_dt", F.lit(day)).withColumn("pat_age_yr_nbr", F.lit(5))
-    columns = [*base.columns[:-2], "ndw_load_dt", "pat_age_yr_nbr", "week_id", "month_id"]
-    joined = extract.enrich(main, added, columns, extract.DIAGNOSIS).groupBy("diag_cd").agg(F.count(F.lit(1)).alias("n"), F.max("note"))
+    main = base.withColumn("main_load_dt", F.lit(day))
+    added = base.withColumn("load_dt", F.lit(day)).withColumn("pat_age_yr_nbr", F.lit(5))
+    columns = [*base.columns[:-2], "load_dt", "pat_age_yr_nbr", "week_id", "month_id"]
+    joined = extract.enrich(main, added, columns, b.DIAGNOSIS).groupBy("diag_cd").agg(F.count(F.lit(1)).alias("n"), F.max("note"))
     assert [r.n for r in joined.collect()] == [30000]
     text = plan(joined)
     assert "skew=true" in text or "skewed" in text

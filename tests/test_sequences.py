@@ -57,7 +57,6 @@ def vocabulary_size(request, spark, monkeypatch):
     key = "spark.sql.autoBroadcastJoinThreshold"
     usual = spark.conf.get(key)
     if request.param.startswith("large"):
-        monkeypatch.setattr(sequences, "TOP_K_TOKENS", 0)
         spark.conf.set(key, "-1")
     yield
     spark.conf.set(key, usual)

@@ -41,11 +41,63 @@ def test_replace_by_column_name_and_text_partition(spark, rows):
     assert rows(spark.table("t.by_name"), "id", "m") == [(2, "b")]
 
 
-def test_replace_restores_the_session_setting(spark):
-    spark.conf.set(writers.OVERWRITE_MODE, "static")
-    writers.replace_partitions(frame(spark, [(1, 1)]), "t.setting", "m")
-    assert spark.conf.get(writers.OVERWRITE_MODE) == "static"
-    spark.conf.set(writers.OVERWRITE_MODE, "dynamic")
+def test_replace_leaves_the_session_setting_alone(spark, rows):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    writers.replace_partitions(frame(spark, [(1, 1), (2, 2)]), "t.setting", "m")
+    spark.conf.set(key, "static")
+    try:
+        writers.replace_partitions(frame(spark, [(3, 1)]), "t.setting", "m")
+        assert spark.conf.get(key) == "static"
+    finally:
+        spark.conf.set(key, "dynamic")
+    assert rows(spark.table("t.setting")) == [(2, 2), (3, 1)]
+
+
+def test_a_failing_source_loses_nothing(spark, shipped, year2000, rows):
+    collect.collect_periods(spark, shipped, "t.safe", 200001, 200002, year2000)
+    before = rows(spark.table("t.safe"))
+    no = F.raise_error(F.lit("no"))
+    for bad in (shipped.withColumn("id", no.cast("long")), shipped.withColumn("other", no.cast("long"))):
+        with pytest.raises(Exception, match="no"):
+            collect.collect_periods(spark, bad, "t.safe", 200001, 200003, year2000)
+        assert rows(spark.table("t.safe")) == before
+    with pytest.raises(Exception, match="no"):
+        collect.add_partition(spark, shipped.withColumn("id", no.cast("long")), "t.safe", "month_id", 200001)
+    assert rows(spark.table("t.safe")) == before
+
+
+def test_a_source_that_reads_its_target_is_refused(spark, shipped, year2000):
+    collect.collect_periods(spark, shipped, "t.own", 200001, 200002, year2000)
+    with pytest.raises(ValueError):
+        collect.collect_periods(spark, "select * from t.own where id > 1", "t.own", 200001, 200002, year2000)
+    assert spark.table("t.own").count() == 3
+
+
+def test_initial_load_with_other_columns_swaps_the_table(spark, shipped, year2000, rows):
+    collect.collect_periods(spark, shipped, "t.wider", 200001, 200002, year2000)
+    got = collect.collect_periods(spark, shipped.withColumn("extra", F.lit("e")), "t.wider", 200002, 200003, year2000)
+    assert rows(got, "id", "extra", "month_id") == [(4, "e", 200002), (6, "e", 200003)]
+    assert [r[0] for r in spark.sql("SHOW TABLES IN t LIKE 'wider_*'").collect()] == []
+
+
+def test_period_column_in_upper_case(spark, shipped, year2000, rows):
+    upper = shipped.withColumnsRenamed({"month_id": "MONTH_ID", "week_id": "WEEK_ID"})
+    for _ in range(2):
+        got = collect.collect_periods(spark, upper, "t.upper_case", 200001, 200002, year2000)
+        assert rows(got, "id") == [(1,), (2,), (4,)]
+    assert rows(collect.add_partition(spark, upper.where("id = 5"), "t.upper_case", "month_id", 200002), "id") == [(1,), (2,), (5,)]
+
+
+def test_add_partition_twice_is_the_same(spark, rows):
+    data = frame(spark, [(1, 1), (2, 2)])
+    for _ in range(2):
+        assert rows(collect.add_partition(spark, data, "t.twice", "m", 1)) == [(1, 1), (2, 2)]
+
+
+def test_save_from_a_query(spark, rows):
+    frame(spark, [(1, 1), (2, 2)]).createOrReplaceTempView("to_save")
+    assert writers.save_table("select * from to_save where m = 2", "t.from_query", "m", spark=spark, cache=True) == 1
+    assert rows(spark.table("t.from_query")) == [(2, 2)]
 
 
 @pytest.fixture
