@@ -8,24 +8,25 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.session import ship_code
+from cohortkit.session import ship_code, written
 
 # Labelled rows in the index and for calibration (expected sizes of the samples, per class at most half).
 INDEX_DOCS, CALIBRATION_DOCS = 4_000, 4_000
 # Terms of the index: those that tell the classes of the examples apart best, seen in at least so many examples.
 TERMS, MIN_EXAMPLES = 512, 5
-# Least information of a term, in nats of the likelihood ratio (G) statistic over the examples.
-MIN_SIGNAL = 12.0
+# Least likelihood ratio (G) statistic of a term over the examples: chance reaches it once in 100,000 terms.
+MIN_SIGNAL = 20.0
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = 3
-# Entries of the cache of chunks.
-CACHE = 300_000
+# Entries of the cache of judged counts.
+CACHE = 30_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -36,13 +37,14 @@ def terms(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples by blocks: postings of a (term, block), and the largest weight of a term in each block."""
+    """Examples by blocks: the postings of every term in a block, and the largest weight of a term in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: list
     labels: np.ndarray
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+    # By block: one row per term, one column per example. Terms and examples are few, so rows are not packed.
+    postings: list[np.ndarray]
     block_max: np.ndarray
     # Logistic calibration of the vote, and the score of a text without any term of the index.
     slope: float = 1.0
@@ -69,11 +71,7 @@ class Index:
             if bounds[block] + 1e-9 < worst:
                 break
             first = block * BLOCK
-            sums = np.zeros(min(BLOCK, len(self.labels) - first))
-            for term, weight in zip(at, weights):
-                posting = self.postings.get((int(term), int(block)))
-                if posting is not None:
-                    sums[posting[0]] += weight * posting[1]
+            sums = weights @ self.postings[block][at]
             found = np.concatenate([found, first + np.arange(len(sums))])
             cosines = np.concatenate([cosines, sums])
             best = np.lexsort((found, -cosines))[:k]
@@ -89,23 +87,27 @@ class Index:
         return float((weights * self.labels[found]).sum() / weights.sum()) if weights.sum() else 0.0
 
 
-def _sample(labelled: DataFrame, size: int, seed: int) -> DataFrame:
-    """About ``size`` rows by hash of the id, at most half of them of one class, as expected sizes."""
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    point = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000))
+def _sample(labelled: DataFrame, index_docs: int, calibration_docs: int) -> DataFrame:
+    """(id, label, part): about ``index_docs`` rows of part 0 and ``calibration_docs`` of part 1, by hash of the id.
+
+    At most half of a part is of one class, as expected sizes, so the sample is bounded by the parameters.
+    """
+    parted = labelled.withColumn("part", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(2)).cast("int"))
+    point = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(1_000_000))
     wanted = F.lit(False)
-    for label, n in counts.items():
-        wanted = wanted | ((F.col("label") == label) & (point < int(min(1.0, size / 2 / n) * 1_000_000)))
-    return labelled.where(wanted)
+    for r in parted.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        size = (index_docs, calibration_docs)[r.part]
+        wanted = wanted | ((F.col("part") == r.part) & (F.col("label") == r.label) & (point < int(min(1.0, size / 2 / r.n) * 1_000_000)))
+    return parted.where(wanted)
 
 
 def _bags(rows: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
     """(id, label, terms, counts) of rows; only the terms of ``vocabulary`` if given."""
-    known = None if vocabulary is None else set(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = None if vocabulary is None else Finder(vocabulary)
         for batch in batches:
-            found = [Counter(t for t in terms(x) if known is None or t in known) for x in batch["text"]]
+            found = [Counter(terms(x)) if finder is None else finder.counts(x) for x in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -132,14 +134,14 @@ def _signals(bags: DataFrame, sizes: dict[int, int], top: int) -> list[str]:
 
 def document_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[dict[str, int], int]:
     """In how many of all documents each term of the (bounded) vocabulary occurs, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks: dict[str, list[str]] = {}
+        finder = Finder(shared.value)
         found, rows = Counter(), 0
         for batch in batches:
             for text in batch["text"]:
-                found.update(known_terms(text, shared.value, chunks).keys())
+                found.update(finder.counts(text).keys())
             rows += len(batch)
         yield pd.DataFrame({"term": [*found, None], "n": [*found.values(), rows]})
 
@@ -148,27 +150,34 @@ def document_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "tex
     return by_term, by_term.pop(None, 0)
 
 
-def known_terms(text: str | None, vocabulary, chunks: dict[str, list[str]]) -> Counter:
-    """Counts of the vocabulary's terms in a text; ``chunks`` remembers the terms of what blanks separate."""
-    out: Counter = Counter()
-    if not text:
+class Finder:
+    """Counts the words of a vocabulary in a text, in one pass over its characters."""
+
+    def __init__(self, vocabulary):
+        self.automaton = ahocorasick.Automaton()
+        for term in vocabulary:
+            self.automaton.add_word(term, term)
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
+
+    def counts(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        if not text or self.empty:
+            return out
+        low = text.lower()
+        for end, term in self.automaton.iter(low):
+            start = end - len(term) + 1
+            if not (start and low[start - 1].isalpha()) and not low[end + 1 : end + 2].isalpha():
+                out[term] += 1
         return out
-    for chunk, n in Counter(text.lower().split()).items():
-        found = chunks.get(chunk)
-        if found is None:
-            found = [t for t in LETTERS.findall(chunk) if t in vocabulary]
-            if len(chunks) < CACHE and len(chunk) <= 64:
-                chunks[chunk] = found
-        for term in found:
-            out[term] += n
-    return out
 
 
 def build_index(rows: list[tuple], idf_of: dict[str, float]) -> Index:
     """Index of (id, label, {term: count}) rows; those without a term of ``idf_of`` carry no evidence."""
     vocabulary = {t: i for i, t in enumerate(sorted(idf_of))}
     idf = np.array([idf_of[t] for t in vocabulary])
-    index = Index(vocabulary, idf, [], np.zeros(0), {}, np.zeros((len(vocabulary), 0)))
+    index = Index(vocabulary, idf, [], np.zeros(0), [], np.zeros((len(vocabulary), 0)))
     vectors = []
     # Examples that share their strongest term lie in the same blocks, so that bounds differ between blocks.
     for key, label, counts in rows:
@@ -179,14 +188,12 @@ def build_index(rows: list[tuple], idf_of: dict[str, float]) -> Index:
     vectors.sort(key=lambda v: v[:3])
     index.ids = [v[3] for v in vectors]
     index.labels = np.array([v[4] for v in vectors], float)
-    blocks = -(-len(vectors) // BLOCK)
-    index.block_max = np.zeros((len(vocabulary), blocks))
-    lists: dict[tuple[int, int], list] = {}
-    for i, (*_, at, weights) in enumerate(vectors):
-        for term, weight in zip(at.tolist(), weights.tolist()):
-            lists.setdefault((term, i // BLOCK), []).append((i % BLOCK, weight))
-            index.block_max[term, i // BLOCK] = max(index.block_max[term, i // BLOCK], weight)
-    index.postings = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
+    for first in range(0, len(vectors), BLOCK):
+        block = np.zeros((len(vocabulary), len(vectors[first : first + BLOCK])))
+        for i, (*_, at, weights) in enumerate(vectors[first : first + BLOCK]):
+            block[at, i] = weights
+        index.postings.append(block)
+    index.block_max = np.stack([p.max(axis=1) for p in index.postings], axis=1) if vectors else index.block_max
     return index
 
 
@@ -214,21 +221,22 @@ def fit(docs: DataFrame, labels: DataFrame, index_docs: int = INDEX_DOCS, calibr
     """
     ship_code(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["_l"])
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, F.col("id") == F.col("_l")).select("id", "label", "text")
-    half = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(2)) == 0
-    bags = _bags(_sample(labelled.where(half), index_docs, 1))
-    sizes = {r.label: r.n for r in bags.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocabulary = _signals(bags, sizes, TERMS) if len(sizes) == 2 else []
+    ids = docs.select(F.col(id_col).alias("id"))
+    labelled = written(marked.select(F.col("_l").alias("id"), "label").join(ids, "id", "left_semi"), "labelled")
+    # No more rows than the two parameters ask for, so they can go to every task.
+    chosen = F.broadcast(_sample(labelled, index_docs, calibration_docs))
+    examples = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id"), "examples")
+    sizes = {r.label: r.n for r in examples.where("part = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    vocabulary = _signals(_bags(examples.where("part = 0")), sizes, TERMS) if len(sizes) == 2 else []
     if not vocabulary:
         return build_index([], {})
     seen, total = document_counts(docs if all_docs is None else all_docs, vocabulary, text_col)
     idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    index = build_index([(r.id, r.label, dict(zip(r.terms, r.counts))) for r in _bags(_sample(labelled.where(half), index_docs, 1), vocabulary).collect()], idf)
+    index = build_index([(r.id, r.label, dict(zip(r.terms, r.counts))) for r in _bags(examples.where("part = 0"), vocabulary).collect()], idf)
 
-    rest = labelled.where(~half)
-    prior = rest.agg(F.avg("label").alias("p")).first().p or 0.0
+    prior = labelled.agg(F.avg("label").alias("p")).first().p or 0.0
     votes, truth, silent = [], [], []
-    for r in _bags(_sample(rest, calibration_docs, 2), vocabulary).collect():
+    for r in _bags(examples.where("part = 1"), vocabulary).collect():
         if r.terms and len(index.labels):
             votes.append(index.vote(*index.nearest(*index.vector({index.vocabulary[t]: n for t, n in zip(r.terms, r.counts)}))))
             truth.append(r.label)
@@ -256,15 +264,15 @@ def scorer(docs: DataFrame, index: Index):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        chunks: dict[str, list[str]] = {}
+        finder = Finder(index.vocabulary)
         seen: dict[frozenset, tuple] = {}
         for batch in batches:
             rows = []
             for text in batch:
-                counts = known_terms(text, index.vocabulary, chunks) if len(index.labels) else {}
+                counts = finder.counts(text)
                 key = frozenset(counts.items())
                 if key not in seen:
-                    if len(seen) >= CACHE // 10:
+                    if len(seen) >= CACHE:
                         seen.clear()
                     seen[key] = judge(index, counts)
                 rows.append(seen[key])
