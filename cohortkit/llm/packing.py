@@ -35,8 +35,8 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
-                ids = [x + end for x in coder.encode_batch(part["text"].tolist())]
-                yield part.drop(columns="text").assign(tokens=ids, n=[len(x) // coder.dtype.itemsize for x in ids])
+                ids = coder.encode_batch(part["text"].tolist())
+                yield part.drop(columns="text").assign(tokens=[x.tobytes() + end for x in ids], n=[len(x) + 1 for x in ids])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     id_type = given.schema["id"].dataType.simpleString()
