@@ -11,6 +11,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 # The pattern that splits a chunk without blanks into the pieces the merges see, and the ASCII blanks.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 BLANKS = b"\t\n\x0b\x0c\r "
+BLANK = regex.compile(r"[\t\n\x0b\x0c\r ]")
 # Characters beyond Latin letters, which composing or lower case may change in other ways, separators that are
 # no blanks, and special tokens.
 OTHER = regex.compile(r"[^\x00-ɏ]|İ|[\x1c-\x1f]|<\|")
@@ -18,10 +19,24 @@ OTHER = regex.compile(r"[^\x00-ɏ]|İ|[\x1c-\x1f]|<\|")
 ENDS = ".,;:!?"
 # Chunks kept for good, chunks kept until there are more of them, pieces kept.
 CHUNKS, PASSING, PIECE_CACHE = 1_000_000, 200_000, 300_000
+# Characters looked at together, which bounds the arrays.
+SEGMENT = 500_000
 # Odd factors of the two hashes of a chunk.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def segments(text: str) -> list[str]:
+    """The text in parts of about ``SEGMENT`` characters, cut at ASCII blanks only."""
+    out, at = [], 0
+    while len(text) - at > SEGMENT:
+        blank = BLANK.search(text, at + SEGMENT)
+        if blank is None:
+            break
+        out.append(text[at : blank.start()])
+        at = blank.end()
+    return [*out, text[at:]]
+
+
 def _powers(factor: int, n: int) -> np.ndarray:
     out = np.full(n, factor, np.uint64)
     out[:1] = 1
@@ -160,11 +175,29 @@ class WordTokenizer:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text; null as empty."""
+        """Ids of every text; null as empty. Works on about ``SEGMENT`` characters at a time."""
+        owner: list[int] = []
+        parts: list[str] = []
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held = 0
+        for i, text in enumerate(texts):
+            for segment in segments(text or ""):
+                owner.append(i)
+                parts.append(segment)
+                held += len(segment)
+                if held >= SEGMENT:
+                    for j, ids in zip(owner, self._encode(parts)):
+                        out[j].append(ids)
+                    owner, parts, held = [], [], 0
+        for j, ids in zip(owner, self._encode(parts)):
+            out[j].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, self.dtype), *x]) for x in out]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.full is not None and self.entries - self.full[0] > PASSING:
             self.entries, self.used = self.full
             self.passing = Slots(PASSING.bit_length() + 2)
-        parts = [(t or "").encode() for t in texts]
+        parts = [t.encode() for t in texts]
         joined = b" ".join(parts)
         data = np.frombuffer(joined, np.uint8)
         begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
