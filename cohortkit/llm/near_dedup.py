@@ -15,8 +15,12 @@ from cohortkit.session import ship_code, written
 
 # Fixed values of the contract: words of a shingle, least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
+# Of two sets of that similarity at least this share of the summed sizes is common.
+LEAST_SHARE = SIMILARITY / (1 + SIMILARITY)
 # Bands and registers of a band: a pair at the least similarity shares a band with probability 0.9993.
 BANDS, ROWS = 24, 6
+# Further rounds of centres while the open pairs outnumber the open places by this factor.
+CENTRE_ROUNDS, OPEN_FACTOR = 2, 4
 # Rows sketched at once, words kept by the cache of hashes.
 BATCH, CACHE = 1_000, 300_000
 # A text with at least 1/HOT_SHARE of all rows is spread over SPREAD tasks; there are at most HOT_SHARE of them.
@@ -177,10 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids class_id is null. Rows that repeat id and text are all kept when their id is. An empty table
     gives no rows; other columns are not read. Runs jobs when called.
 
-    In every bucket all nodes are compared with one of them. Where the verified links leave the nodes of a
-    bucket in several components, all pairs across components are compared too, except those whose sizes or
-    distances from the bucket's centre (Jaccard distance is a metric) rule a link out. So no pair that
-    shares a band is left undecided, and the pairs inside a large group of copies are not made.
+    In every bucket all nodes are compared with one of them, then with further ones while that leaves many
+    pairs open. Where the verified links still leave the nodes of a bucket in several components, all pairs
+    across components are compared too, except those that a bound rules out: their sizes, the shingles they
+    share with any open text, or their distances from the bucket's first centre (Jaccard distance is a metric). So no pair that shares a band is left undecided that could
+    change a class, and the pairs inside a large group of copies are not made.
     """
     sketches = sketch(docs, id_col, text_col)
     nodes = written(sketches.where(F.col("size") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
@@ -198,9 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = written(verify(pairs.where(_within("size_a", "size_b")), needed).select("a", "b", "similarity"), "stars")
     star_links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
 
-    component = components(star_links)
-    labelled = members.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("band", "bucket")
+    links, labelled, mixed = _more_centres(_open_places(members, star_links, needed), star_links, needed)
     known = pairs.join(checked, ["a", "b"], "left").select(
         F.col("a").alias("centre"),
         F.col("b").alias("key"),
@@ -211,17 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_nodes = written(labelled.join(mixed, ["band", "bucket"], "left_semi").join(known, ["centre", "key"]), "open")
 
     def side(mark: str) -> DataFrame:
-        return open_nodes.select("band", "bucket", *[F.col(c).alias(f"{mark}_{c}") for c in ("key", "size", "component", "nearest", "farthest")])
+        return open_nodes.select("band", "bucket", *[F.col(c).alias(f"{mark}_{c}") for c in ("key", "size", "shared", "component", "nearest", "farthest")])
 
     reach = 1 - SIMILARITY + 1e-9
     crossing = side("x").join(side("y"), ["band", "bucket"]).where(
         (F.col("x_component") < F.col("y_component"))
         & _within("x_size", "y_size")
+        & (F.least("x_shared", "y_shared") >= LEAST_SHARE * (F.col("x_size") + F.col("y_size")) - 1e-9)
         & (F.col("x_nearest") - F.col("y_farthest") <= reach)
         & (F.col("y_nearest") - F.col("x_farthest") <= reach)
     ).select(F.col("x_key").alias("a"), F.col("y_key").alias("b")).distinct()
     across = verify(crossing, needed).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    final = components(star_links.unionByName(across))
+    final = components(links.unionByName(across))
 
     named = nodes.select("key", "rows").join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).select("key", "rows", "class")
     least = sketches.groupBy("key").agg(F.min("id").alias("least"))
@@ -230,6 +234,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _attach(sketches, classes, id_col)
 
 
+def _open_places(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members, with ``shared``, that can still be linked to another component of their bucket.
+
+    ``shared`` counts the shingles of a node that also occur in another node of an undecided bucket. Two nodes
+    have at most as many in common as either shares at all, so a node whose changes are its own cannot be
+    linked, however often its bucket is met.
+    """
+    place = ["band", "bucket"]
+    component = components(links).withColumnRenamed("node", "key")
+    labelled = written(members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key")), "labelled")
+    mixed = labelled.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("_least")).where(F.col("low") < F.col("high"))
+    undecided = written(labelled.join(mixed.select(*place, "_least"), place).drop("component"), "undecided")
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.array([xxhash.xxh64_intdigest(s) for s in shingles(t)], np.uint64).view(np.int64) for t in batch], dtype=object)
+
+    hashed = texts.join(undecided.select("key").distinct(), "key", "left_semi").select("key", F.pandas_udf(run, "array<bigint>")("text").alias("s"))
+    each = written(hashed.select("key", F.explode("s").alias("s")), "shingles")
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1).select("s")
+    shared = each.join(common, "s").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+    return undecided.join(shared, "key").where(F.col("shared") >= LEAST_SHARE * (F.col("size") + F.col("_least")) - 1e-9).drop("_least")
+
+
+def _more_centres(members: DataFrame, links: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, members with their component, and the (band, bucket) whose members lie in several components.
+
+    Each round picks one more centre in every such bucket, another one in each band, and compares it with the
+    members of other components: as many pairs as places. It ends when the pairs that are open are few.
+    """
+    place = ["band", "bucket"]
+    turn = 0
+    while True:
+        component = components(links).withColumnRenamed("node", "key")
+        labelled = written(members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key")), "labelled")
+        # First the node with the fewest shingles of its own, as most others derive from its like; then any.
+        own = (F.col("size") - F.col("shared")) / F.col("size") if turn == 0 else F.lit(0.0)
+        drawn = F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "band", "key").alias("draw"), "key", "component", "size")
+        parts = labelled.groupBy(*place, "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("centre"))
+        buckets = parts.groupBy(*place).agg(
+            F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.min("centre").alias("centre")
+        ).where(F.col("parts") > 1)
+        mixed = written(buckets.select(*place, "n", "inside", F.col("centre.key").alias("a"), F.col("centre.component").alias("_component"), F.col("centre.size").alias("_size")), "mixed")
+        open_pairs = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("places")).first()
+        if turn == CENTRE_ROUNDS or open_pairs.pairs <= OPEN_FACTOR * open_pairs.places:
+            return links, labelled, mixed.select(*place)
+        met = labelled.join(mixed, place).where((F.col("component") != F.col("_component")) & _within("size", "_size"))
+        pairs = written(met.select("a", F.col("key").alias("b")).distinct(), "pairs")
+        more = verify(pairs, texts).where(F.col("similarity") >= SIMILARITY).select("a", "b")
+        links = written(links.unionByName(more), "links")
+        turn += 1
+
+
 def _attach(sketches: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
     """Give every row the class of its text; the few texts with very many rows are spread over tasks."""
     rows = classes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
