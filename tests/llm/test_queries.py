@@ -1,0 +1,62 @@
+"""Every registered query of the corpus operators, and the pipeline stage by stage."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import oracle
+from cohortkit.llm import exact_dedup, near_dedup
+from cohortkit.llm.queries import ORACLE, QUERIES
+from cohortkit.session import written
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_against_sql(spark, name):
+    assert oracle.difference(QUERIES[name](spark, SF), oracle.connect(SF), ORACLE[name]) is None
+
+
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_sharding", "op9_line_dedup"])
+def test_native_plans(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_pipeline_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "exact_dedup", "near_dedup", "packing"]
+    docs = given = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, SF), name)
+        assert docs.columns == given.columns and docs.exceptAll(before).isEmpty()
+        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+        judged = before.join(labels, "doc_id").withColumn("stays", F.col("doc_id").isin(list(kept[name])))
+        if name in ("toxicity", "quality"):
+            clean = judged.where("toxic = 0" if name == "toxicity" else "quality = 1")
+            assert clean.agg(F.avg(F.col("stays").cast("int"))).first()[0] > 0.97
+        texts = before.select("doc_id", exact_dedup.normalised(F.col("text")).alias("t"))
+        if name == "exact_dedup":
+            assert kept[name] == {r.i for r in texts.groupBy("t").agg(F.min("doc_id").alias("i")).collect()}
+        if name == "near_dedup":
+            classes = near_dedup.near_duplicates(before)
+            assert kept[name] == {r.i for r in classes.groupBy("class_id").agg(F.min("doc_id").alias("i")).collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept["near_dedup"]
+    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 4096").count() <= 1
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words here", "en", "s", 1), (4, "some words here", "en", "s", 1), (4, "some words here", "en", "s", 1)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for name, given in (("odd", rows), ("none", [])):
+        spark.createDataFrame(given, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == bool(given)
