@@ -145,7 +145,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             n += len(batch)
         yield pd.DataFrame({"at": np.arange(dim), "sum": total, "n": n})
 
-    sums = nodes.select("unit").mapInPandas(add, "at int, sum double, n bigint").groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("mean")).orderBy("at").collect()
+    sums = nodes.select("unit").mapInPandas(add, "at int, sum double, n bigint").groupBy("at").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("mean")).orderBy("at").collect()
     mean = np.array([r["mean"] or 0.0 for r in sums]) if sums else np.zeros(dim)
 
     signed = _signed(nodes.withColumn("query", F.lit(False)), mean)
