@@ -23,8 +23,8 @@ def slice_bounds(df: DataFrame, order: Sequence[tuple[str, bool]], slices: int |
 
 def slice_number(df: DataFrame, order: Sequence[tuple[str, bool]], bounds: Sequence[tuple]) -> Column:
     """How many bounds a row has reached, by bisection; a function of the row alone."""
-    if not bounds:
-        return F.lit(0)
+    # Without bounds one that no row reaches keeps the number a column, on which slices can be joined.
+    bounds = bounds or [(None,) * len(order)]
     types = dict(df.dtypes)
     listed = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for v, (c, _) in zip(b, order)]) for b in bounds])
 
