@@ -19,7 +19,7 @@ ROUNDS, CHANGED = 5, 0.01
 # Nodes a search keeps per query, nodes it visits per step, steps at most.
 BEAM, VISITS, STEPS = 160, 32, 16
 # Members of one meeting besides the centre's own neighbours; centres or nodes that share a block of work.
-PART, TOGETHER = 32, 1024
+PART, TOGETHER = 32, 512
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
