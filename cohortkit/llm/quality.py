@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     chosen = marked.where(F.pmod(F.xxhash64("_l"), F.lit(1_000_000)) < int(min(1.0, train_docs / max(rows, 1)) * 1_000_000))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     stats = statistics(F.col("text"))
-    table = written(texts.join(chosen, F.col("id") == F.col("_l")).select("label", *[c.alias(n) for n, c in stats.items()]), "statistics")
+    table = written(texts.join(F.broadcast(chosen), F.col("id") == F.col("_l")).select("label", *[c.alias(n) for n, c in stats.items()]), "statistics")
     share = table.agg(F.avg("label").alias("p")).first().p
     if share is None or share in (0.0, 1.0):
         bounded = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
