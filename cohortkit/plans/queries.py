@@ -258,21 +258,27 @@ _BULK = {
         (SELECT cohort, make_date(lookback // 100, lookback % 100, 1) AS s, last_day(make_date(start // 100, start % 100, 1)) AS e FROM cohorts)""",
     "active": """SELECT pharmacy_id, week_id FROM weekly_panel WHERE pat_actn_ind = 1
         UNION SELECT pharmacy_id, week_id FROM overrides JOIN (SELECT DISTINCT week_id FROM calendar) ON week_id BETWEEN start_week_id AND end_week_id""",
-    "needed": f"""SELECT cohort_id, count(c.week_id) * {UNIT_SHARE} // 100 AS n FROM windows LEFT JOIN (SELECT DISTINCT week_id FROM calendar) c
-        ON c.week_id BETWEEN first_week AND last_week GROUP BY cohort_id""",
+    "needed": f"""SELECT cohort_id, s, e, count(c.week_id) * {UNIT_SHARE} // 100 AS n FROM windows LEFT JOIN (SELECT DISTINCT week_id FROM calendar) c
+        ON c.week_id BETWEEN first_week AND last_week GROUP BY ALL""",
     "counted": """SELECT pharmacy_id, cohort_id, s, e, count(*) AS elig_period_cnt FROM active JOIN windows ON week_id BETWEEN first_week AND last_week GROUP BY ALL""",
 }
 
 
+_SQL_QUARTERS = f"""SELECT CAST(row_number() OVER (ORDER BY day) AS INT) AS cohort, {sql_month('day')} AS start, {sql_month("(day - INTERVAL 2 MONTH)")} AS lookback FROM ({_QUARTER_ENDS})"""
+# Months and quarters are both numbered from 1, so cohorts have two windows.
+_MONTHS_AND_QUARTERS = {**_BULK, "cohorts": f"SELECT cohort, start, lookback FROM ({_BULK['cohorts']}) UNION ALL SELECT cohort, start, lookback FROM ({_SQL_QUARTERS})"}
+
+
 @register(
     "panel_stable_units_bulk",
-    with_roles(*_PANEL_ROLES, **_BULK)
+    with_roles(*_PANEL_ROLES, **_MONTHS_AND_QUARTERS)
     + """SELECT t.pharmacy_id, elig_period_cnt, left(trim(coalesce(chnl_cd, 'z')), 1) AS chnl_cd, left(trim(coalesce(store_typ_cd, 'z')), 1) AS store_typ_cd,
-    CAST(s AS VARCHAR) AS stable_period_start, CAST(e AS VARCHAR) AS stable_period_end, t.cohort_id
-    FROM counted t JOIN needed n ON t.cohort_id = n.cohort_id AND elig_period_cnt >= n.n LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id""",
+    CAST(s AS VARCHAR) AS stable_period_start, CAST(e AS VARCHAR) AS stable_period_end, cohort_id
+    FROM counted t JOIN needed n USING (cohort_id, s, e) LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id WHERE elig_period_cnt >= n.n""",
 )
 def panel_stable_units_bulk(spark, d):
-    cohorts = cal.cohort_periods_between(b.date_bounds(spark, d))
+    bounds = b.date_bounds(spark, d)
+    cohorts = cal.cohort_periods_between(bounds).unionByName(cal.cohort_periods_between(bounds, "Q", lookback=3))
     found = panel.stable_units_bulk(
         b.weekly_panel(spark, d), b.calendar(spark, d), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
     )
@@ -308,14 +314,36 @@ def panel_stable_patients(spark, d):
 
 _QUARTERS = {
     **_BULK,
-    "cohorts": f"""SELECT CAST(row_number() OVER (ORDER BY day) AS INT) AS cohort, {sql_month('day')} AS start, {sql_month("(day - INTERVAL 2 MONTH)")} AS lookback FROM ({_QUARTER_ENDS})""",
-    "stable": "SELECT t.pharmacy_id, t.cohort_id, s, e, left(trim(coalesce(chnl_cd, 'z')), 1) AS chnl_cd FROM counted t JOIN needed n ON t.cohort_id = n.cohort_id AND elig_period_cnt >= n.n LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id",
+    "cohorts": _SQL_QUARTERS,
+    "stable": "SELECT t.pharmacy_id, cohort_id, s, e, left(trim(coalesce(chnl_cd, 'z')), 1) AS chnl_cd FROM counted t JOIN needed n USING (cohort_id, s, e) LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id WHERE elig_period_cnt >= n.n",
     "seen": f"SELECT DISTINCT o_custkey AS patient_id, l_suppkey AS pharmacy_id, cohort_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN windows ON {sql_week(SHIP)} BETWEEN first_week AND last_week",
     "unstable": "SELECT patient_id, cohort_id FROM seen p WHERE NOT EXISTS (SELECT 1 FROM stable s WHERE s.pharmacy_id = p.pharmacy_id AND s.cohort_id = p.cohort_id)",
     "kept": "SELECT * FROM seen p WHERE NOT EXISTS (SELECT 1 FROM unstable u WHERE u.patient_id = p.patient_id AND u.cohort_id = p.cohort_id)",
 }
 
 
+_TWO_COHORTS = {
+    **_sql_panel(PATIENT_SHARE),
+    "two": "SELECT pharmacy_id, chnl_cd, stable_period_start, stable_period_end, cohort_id FROM stable UNION ALL SELECT pharmacy_id, chnl_cd, stable_period_start, stable_period_end, 7 FROM stable WHERE pharmacy_id % 2 = 0",
+    "unstable": "SELECT patient_id FROM patient_data p WHERE NOT EXISTS (SELECT 1 FROM two s WHERE s.pharmacy_id = p.pharmacy_id)",
+    "kept": "SELECT * FROM patient_data p WHERE NOT EXISTS (SELECT 1 FROM unstable u WHERE u.patient_id = p.patient_id)",
+}
+
+
+@register(
+    "panel_stable_patients_cohorts",
+    with_roles(*_PANEL_ROLES, "patient_data", **_TWO_COHORTS)
+    + """SELECT cohort_id, patient_id, stable_period_start, stable_period_end, string_agg(DISTINCT chnl_cd, ',' ORDER BY chnl_cd) AS cnls_cds
+    FROM kept k JOIN two s ON k.pharmacy_id = s.pharmacy_id GROUP BY ALL""",
+)
+def panel_stable_patients_cohorts(spark, d):
+    """A panel of two cohorts and patients without a cohort: stable patients come back for each cohort they use."""
+    one = _panel(spark, d, PATIENT_SHARE)
+    two = one.unionByName(one.where(F.col("pharmacy_id") % 2 == 0).withColumn("cohort_id", F.lit(7).cast("bigint")))
+    found = panel.stable_patients(b.patient_data(spark, d), two)
+    return _dates_as_text(found).withColumn("cnls_cds", F.array_join("cnls_cds", ","))
+
+
 @register(
     "panel_stable_patients_bulk",
     with_roles(*_PANEL_ROLES, **_QUARTERS)

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,23 @@ def test_bulk_equals_one_by_one(spark, year2000):
     assert sorted(tuple(r) for r in bulk.collect()) == want and len(want) > 4
 
 
+def test_bulk_windows_that_share_a_cohort(spark, year2000):
+    data = active(spark, {1: 13})
+    local = pd.DataFrame({"cohort": [1, 1, 2, 2], "start": [200001, 200002, 200003, 200003], "lookback": [200001, 200002, 200001, 200001]})
+    got = panel.stable_units_bulk(data, year2000, local)
+    want = [panel.stable_units(data, year2000, r.lookback, r.start, r.cohort).collect() for r in local.drop_duplicates().itertuples()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for rows in want for r in rows) and got.count() == 3
+    with pytest.raises(TypeError):
+        panel.stable_units_bulk(data, year2000, [1])
+
+
+def test_patients_come_back_for_every_cohort(spark):
+    two = _panel(spark).unionByName(_panel(spark, ("R",)).withColumn("cohort_id", F.lit(2).cast("long")))
+    data = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), ("c", 9)], "patient_id string, pharmacy_id long")
+    got = {(r.cohort_id, r.patient_id) for r in panel.stable_patients(data, two).collect()}
+    assert got == {(1, "a"), (2, "a"), (1, "b")}
+
+
 def test_stable_units_match_known_counts(spark):
     """Counts for three months of shipments, with every tenth supplier overridden."""
     d = "/root/testdata/sf0.01"
