@@ -18,7 +18,7 @@ OTHER = regex.compile(r"[^\x00-ɏ]|İ|[\x1c-\x1f]|<\|")
 # Marks that often end a chunk; a run of them is one piece.
 ENDS = ".,;:!?"
 # Chunks kept for good, chunks kept until there are more of them, pieces kept.
-CHUNKS, PASSING, PIECE_CACHE = 500_000, 200_000, 100_000
+CHUNKS, PASSING, PIECE_CACHE = 500_000, 100_000, 100_000
 # Characters looked at together, which bounds the arrays.
 SEGMENT = 500_000
 # Odd factors of the two hashes of a chunk.
