@@ -27,8 +27,11 @@ TOXIC, QUALITY = 0.5, 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples do not mark them as toxic."""
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = toxicity.scorer(docs, index)("text")["score"]
-    return docs.where(score < TOXIC)
+    # A score depends on the text alone; the id spreads the rows of a text with many copies.
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    scored = toxicity.score(docs.select("doc_id", "text", key.alias("_key")), index, more=["_key"])
+    toxic = scored.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id"), "_key").distinct()
+    return docs.join(toxic.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,34 @@ def test_held_out_accuracy(spark):
     held = langid.is_held_out(F.col("doc_id"), 5, 0)
     found = op.score(docs.where(held), op.fit(docs.where(~held), labels)).join(labels, "doc_id")
     assert found.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.97
+
+
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_all_words_count(spark, labelled, monkeypatch, common):
+    """Cosines over all words, also those that no example has, whether tasks hold their counts or they are joined."""
+    monkeypatch.setattr(op, "COMMON", common)
+    docs, labels = labelled
+    more = spark.createDataFrame([(1000 + i, "other " * (1 + i % 3) + "rare" + "abcdefghijklmnopqrst"[i // 2] + " strange nasty") for i in range(40)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(more)
+    index = op.fit(docs, labels, all_docs=every)
+    texts = [r.text for r in every.collect()]
+    seen = op.Counter(t for x in texts for t in set(op.terms(x)))
+    idf = {t: op.math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in seen.items()}
+    weight = idf | {t: index.weight[i] for t, i in index.vocabulary.items() if i < index.n_terms}
+    assert all(w >= idf[t] - 1e-9 for t, w in weight.items())
+
+    def vector(text):
+        v = {t: (1 + op.math.log(n)) * weight[t] for t, n in op.Counter(op.terms(text)).items()}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / length for t, x in v.items()}
+
+    by_id = {str(r.doc_id): vector(r.text) for r in docs.collect()}
+    found = {r.doc_id: r for r in op.score(more, index).collect()}
+    for r in more.collect():
+        v, near = vector(r.text), found[r.doc_id].evidence
+        assert len(near) == op.EVIDENCE
+        assert np.allclose([e.cosine for e in near], [sum(x * by_id[e.id].get(t, 0) for t, x in v.items()) for e in near])
+    # No word of the first depends on the label, and one insult in a long text is not an insult alone.
+    given = spark.createDataFrame([(1, "words number"), (2, "nasty"), (3, "nasty " + " ".join(f"long{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))], "doc_id long, text string")
+    got = {r.doc_id: r.evidence for r in op.score(given, index).collect()}
+    assert len(got[1]) == op.EVIDENCE and got[2][0].cosine > got[3][0].cosine + 0.3
