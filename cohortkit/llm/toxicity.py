@@ -20,8 +20,6 @@ from cohortkit.session import ship_code, written
 
 # Labelled rows in the index and for calibration (expected sizes of the samples, per class at most half).
 INDEX_DOCS, CALIBRATION_DOCS = 4_000, 4_000
-# Examples that a word must occur in, and its least likelihood ratio (G) statistic, to weigh more than its IDF.
-MIN_EXAMPLES, MIN_SIGNAL = 5, 20.0
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = 3
 # Words outside of the examples whose counts every task holds; the counts of all others are joined.
@@ -169,7 +167,6 @@ def signals(bags: list[tuple]) -> dict[str, float]:
     p, n = (np.array([seen[label][t] for t in names], float) for label in (1, 0))
     both, rest = p + n, total - p - n
     g = 2 * (part(p, both, pos) + part(n, both, neg) + part(pos - p, rest, pos) + part(neg - n, rest, neg))
-    g = np.where((both >= MIN_EXAMPLES) & (g >= MIN_SIGNAL), g, 0.0)
     return dict(zip(names, np.maximum(g, 0.0).tolist()))
 
 

@@ -88,3 +88,19 @@ def test_all_words_count(spark, labelled, monkeypatch, common):
     given = spark.createDataFrame([(1, "words number"), (2, "nasty"), (3, "nasty " + " ".join(f"long{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))], "doc_id long, text string")
     got = {r.doc_id: r.evidence for r in op.score(given, index).collect()}
     assert len(got[1]) == op.EVIDENCE and got[2][0].cosine > got[3][0].cosine + 0.3
+
+
+def test_rare_toxic_words_weigh(spark):
+    """Insults that a few examples have each, in texts of common words: none has a G of 20 or five examples."""
+    rows = [(i, 0, {"one": 1, "two": 1}) for i in range(1000)] + [(1000 + i, 1, {"one": 1, f"insult{i // 4}": 1}) for i in range(100)]
+    found = op.signals(rows)
+    assert 15 < found["insult3"] < 20 and found["insult3"] > found["one"] >= 0
+    word = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    dice = np.random.default_rng(1)
+    text = lambda *more: " ".join([*dice.choice(word, 30), *more])
+    toxic = [(i, text("insult" + "abcdefghij"[i // 8]), 1) for i in range(80)]
+    docs = spark.createDataFrame(toxic + [(100 + i, text(), 0) for i in range(400)], "doc_id long, text string, toxic int")
+    given = spark.createDataFrame([(i, text("insult" + "abcdefghij"[i])) for i in range(10)] + [(10 + i, text()) for i in range(10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.score(given, op.fit(docs, docs)).collect()}
+    assert sum(got[i].evidence[0].label for i in range(10)) >= 9
+    assert min(got[i].score for i in range(10) if got[i].evidence[0].label) > max(got[i].score for i in range(10, 20))
