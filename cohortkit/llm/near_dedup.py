@@ -1,4 +1,4 @@
-"""Near duplicates by ProbMinHash sketches of weighted word shingles, banding and exact verification."""
+"""Near duplicates by ProbMinHash sketches of sets of word shingles, banding and exact verification."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ class Sketcher:
         self.hashes: dict[str, int] = {}
 
     def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, shingle hash, weight) of the distinct shingles; a shingle that occurs n times weighs 1 + ln n."""
+        """(text number, shingle hash, weight) of the distinct shingles. All weigh 1, so registers agree with the verified similarity."""
         split = [t.split(" ") if t else [] for t in texts]
         new = set().union(*split).difference(self.hashes)
         self.hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
@@ -88,8 +88,7 @@ class Sketcher:
         begins = np.ones(len(doc), bool)
         begins[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])
         at = np.flatnonzero(begins)
-        times = np.diff(np.append(at, len(doc)))
-        return doc[at], hashed[at], 1.0 + np.log(times)
+        return doc[at], hashed[at], np.ones(len(at))
 
     def registers_of(self, n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The element whose first arrival is earliest, for every register of every text.

@@ -73,3 +73,16 @@ def test_registers_estimate_probability_jaccard():
     sketcher = op.Sketcher(4096)
     rows = [sketcher.registers_of(1, np.zeros((w > 0).sum(), int), elements[w > 0], w[w > 0])[0] for w in (a, b)]
     assert abs((rows[0] == rows[1]).mean() - exact) < 4 * (exact * (1 - exact) / 4096) ** 0.5
+
+
+def test_repeated_passage_keeps_the_band():
+    """Pairs of set similarity above 0.8 where one text repeats a passage 50 times share a band."""
+    shared = 0
+    for i in range(60):
+        passage = [f"p{i}x{j}" for j in range(20)]
+        a = [f"w{i}x{j}" for j in range(104)]
+        texts = [" ".join(a + passage), " ".join(a + passage * 50)]
+        assert op.jaccard(*map(op.shingles, texts)) >= op.SIMILARITY
+        (x, y), _ = op.Sketcher().bands(texts)
+        shared += bool((x == y).any())
+    assert shared >= 59
