@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cohortkit.llm import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from cohortkit.llm import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +128,26 @@ def op9_line_dedup(spark, d):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register(
+    "op13_suffix_dedup",
+    """WITH given AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        starts AS (SELECT doc_id, octet_length(b) AS n, unnest(range(octet_length(b) - 99)) AS s, b FROM given WHERE octet_length(b) >= 100),
+        windows AS (SELECT doc_id, s, row_number() OVER (PARTITION BY b[s + 1:s + 100] ORDER BY doc_id, s) > 1 AS again FROM starts),
+        fresh AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS begins FROM windows WHERE again),
+        numbered AS (SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM fresh),
+        spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS z FROM numbered GROUP BY ALL),
+        listed AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM spans GROUP BY doc_id),
+        cuts AS (SELECT given.doc_id, octet_length(b) AS n, hex(b) AS h, coalesce(a, []) AS a, coalesce(z, []) AS z FROM given LEFT JOIN listed USING (doc_id))
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(len(a) AS BIGINT) AS n_spans,
+        sha256(unhex(list_aggregate(list_transform(range(len(a) + 1),
+            lambda i: CASE WHEN i = 0 THEN h[1:2 * coalesce(a[1], n)] ELSE h[2 * z[i] + 1:2 * coalesce(a[i + 1], n)] END), 'string_agg', ''))) AS kept_sha256
+    FROM cuts""",
+)
+def op13_suffix_dedup(spark, d):
+    found = suffix_dedup.dedup_substrings(table(spark, d, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
