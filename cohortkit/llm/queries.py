@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cohortkit.llm import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from cohortkit.llm import alignment, ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, phrases, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +128,39 @@ def op9_line_dedup(spark, d):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op11_alignment")
+def op11_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+@register(
+    "op12_phrases",
+    r"""WITH given AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM given),
+        words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        sums AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        sizes AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM words),
+        grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM sizes WHERE k <= len(w)),
+        freq AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        cand AS (SELECT lang, k, p AS phrase, f AS a, string_split(p, ' ') AS w FROM freq WHERE k > 1),
+        cuts AS (SELECT *, unnest(range(1, k)) AS c FROM cand),
+        scored AS (SELECT cuts.lang, phrase, a, c, h.f AS l, t.f AS r, n, CAST((1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score FROM cuts
+            JOIN freq h ON h.lang = cuts.lang AND h.p = array_to_string(cuts.w[1:cuts.c], ' ')
+            JOIN freq t ON t.lang = cuts.lang AND t.p = array_to_string(cuts.w[cuts.c + 1:cuts.k], ' ') JOIN sums ON sums.lang = cuts.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        parts AS (SELECT lang, k, a, w, unnest(range(2, k)) AS m FROM cand),
+        inner_phrases AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS p FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM parts)),
+        dropped AS (SELECT DISTINCT best.lang, phrase FROM best JOIN inner_phrases i ON i.lang = best.lang AND i.p = phrase WHERE 100 * i.a >= 100 * best.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best ANTI JOIN dropped USING (lang, phrase) QUALIFY rank <= 2000""",
+)
+def op12_phrases(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
+
+
 @register(
     "op13_suffix_dedup",
     """WITH given AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
