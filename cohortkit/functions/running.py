@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortkit.session import written
+
 SLICE = "_slice"
 
 
@@ -57,13 +59,14 @@ def running_totals(
     column.
 
     ``order`` lists (column, descending) of numbers and must be unique within a group of ``by``; ``lead``
-    needs a single order column. One small job picks the bounds of the slices; a row's slice then depends on
-    the row alone. Each slice sums its own rows and adds the total of the slices before it, so the only
+    needs a single order column. ``df`` is written once, as it is read several times; it should be grouped
+    already. One small job picks the bounds of the slices; a row's slice then depends on the row alone. Each slice sums its own rows and adds the total of the slices before it, so the only
     unsplit window runs over one row per slice.
     """
     if lead and len(order) != 1:
         raise ValueError("lead columns need exactly one order column")
     by = list(by)
+    df = written(df, "totals")
     ordering = [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
     rows = df.withColumn(SLICE, slice_number(df, order, slice_bounds(df, order, slices)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
+from cohortkit.functions import sketches
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,34 @@ BY_PRODUCT = ("ndc",)
 BY_PATIENT = ("patient_id",)
 
 
-def filter_by_keys(feed: DataFrame, key_list: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are in the list. Repeated list entries do not repeat rows."""
-    return feed.join(key_list.select(*keys).distinct(), list(keys), "left_semi").select(*feed.columns)
+def _broadcast_limit(spark) -> int:
+    told = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if told.lstrip("-").isdigit():
+        return int(told)
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told))
+
+
+def list_bits(key_list: DataFrame, keys: Sequence[str], feed: DataFrame) -> DataFrame | None:
+    """Bits of a list that is too large to broadcast, for :func:`filter_by_keys`; None where Spark broadcasts it.
+
+    Also None if the list's columns have other types than the feed's, as then equal keys need not hash alike.
+    """
+    types, own = dict(key_list.dtypes), dict(feed.dtypes)
+    if any(types[k] != own[k] for k in keys) or sketches.estimated_bytes(key_list.select(*keys)) <= _broadcast_limit(key_list.sparkSession):
+        return None
+    return sketches.key_bits(key_list, keys)
+
+
+def filter_by_keys(feed: DataFrame, key_list: DataFrame, keys: Sequence[str], bits: DataFrame | None = None) -> DataFrame:
+    """Rows whose keys are in the list. Repeated list entries do not repeat rows.
+
+    With ``bits`` (see :func:`list_bits`) the scan drops rows whose key is certainly not listed, so that the
+    exact join shuffles little more than the rows it keeps.
+    """
+    rows = feed
+    if bits is not None:
+        rows = sketches.with_maybe(feed, bits, keys).where("_maybe").drop("_maybe")
+    return rows.join(key_list.select(*keys).distinct(), list(keys), "left_semi").select(*feed.columns)
 
 
 def month_bounds(calendar: DataFrame, month_from: int, month_to: int) -> list[Row]:
@@ -120,7 +146,7 @@ def extract_claims(
     columns = gap.columns
     bounds = month_bounds(calendar, month_from, month_to)
     gap, main, enrichment = (
-        filter_by_keys(cut_to_months(feed, bounds, month_from, month_to), key_list, keys) for feed in (gap, main, enrichment)
+        filter_by_keys(cut_to_months(feed, bounds, month_from, month_to), key_list, keys, list_bits(key_list, keys, feed)) for feed in (gap, main, enrichment)
     )
     claims = gap.unionByName(enrich(main, enrichment, columns, domain)).dropDuplicates()
     return claims if columns_out is None else claims.selectExpr(*columns_out)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.functions import bitmaps
 from cohortkit.functions import calendar as cal
 from cohortkit.functions.frames import clean_code, select_existing
-from cohortkit.functions.ranges import join_in_range
 
 
 def _share(time_share) -> Decimal:
@@ -20,18 +20,40 @@ def _share(time_share) -> Decimal:
     return Decimal(repr(min(max(float(time_share), 0.0), 100.0)))
 
 
+def _week_list(calendar: DataFrame, first_week: int, last_week: int) -> list[int]:
+    """The calendar's weeks of a requested range in order, read once: at most one number per week."""
+    return sorted(r[0] for r in cal.periods(calendar, "week_id", first_week, last_week).collect())
+
+
+def _words(count: int) -> list[str]:
+    return [f"_w{j}" for j in range(count)]
+
+
+def _override_words(overrides: DataFrame, weeks: list[int], unit: str) -> DataFrame:
+    """``unit`` and the set of week places that each override covers, without a row per week."""
+    listed = F.array(*[F.lit(w) for w in weeks]).cast("array<bigint>")
+    start, end = F.col("start_week_id"), F.col("end_week_id")
+    # An open interval covers nothing: a null bound leaves its place null.
+    first = F.when(start.isNotNull(), F.size(F.filter(listed, lambda w: w < start)))
+    last = F.when(end.isNotNull(), F.size(F.filter(listed, lambda w: w <= end)) - 1)
+    words = bitmaps.words_for(len(weeks))
+    return overrides.select(unit, *[w.alias(n) for n, w in zip(_words(words), bitmaps.interval_words(first, last, words))])
+
+
 def expand_intervals(overrides: DataFrame, calendar: DataFrame, first_week: int, last_week: int, unit: str = "pharmacy_id") -> DataFrame:
-    """One row per unit and calendar week covered by an override interval, inside the window."""
-    # Distinct integer keys between the two bounds: one per week of the window, so small enough to broadcast.
-    weeks = F.broadcast(cal.periods(calendar, "week_id", first_week, last_week))
-    # An open interval matches no week, but greatest and least would skip its missing bound.
-    closed = overrides.where(F.col("start_week_id").isNotNull() & F.col("end_week_id").isNotNull())
-    clipped = closed.select(
-        unit,
-        F.greatest("start_week_id", F.lit(first_week)).alias("_start"),
-        F.least("end_week_id", F.lit(last_week)).alias("_end"),
-    )
-    return join_in_range(weeks, clipped, "week_id", "_start", "_end").select(unit, "week_id")
+    """One row per unit and calendar week covered by an override interval, inside the window.
+
+    A unit's intervals are united as sets of weeks first, so overlapping and nested ones are expanded once.
+    The weeks of the window are read when called.
+    """
+    weeks = _week_list(calendar, first_week, last_week)
+    spans = _override_words(overrides, weeks, unit)
+    names = spans.columns[1:]
+    place = F.explode(bitmaps.members(names, len(weeks)))
+    week_type = calendar.schema["week_id"].dataType
+    listed = F.array(*[F.lit(w) for w in weeks] or [F.lit(None)]).cast(f"array<{week_type.simpleString()}>")
+    united = spans.groupBy(unit).agg(*bitmaps.union(names)).select(unit, place.alias("_place"))
+    return united.select(unit, F.get(listed, F.col("_place")).alias("week_id"))
 
 
 def _active_weeks(weekly, calendar, overrides, first_week, last_week, unit) -> DataFrame:
@@ -117,28 +139,63 @@ def cohort_windows(cohorts: DataFrame) -> DataFrame:
     return days.select("*", F.inline(F.array(weeks)))
 
 
-# Tasks over which the rows of one week are spread, and copies of each week of a window.
-SPREAD = 16
 _WINDOW = ["cohort_id", "stable_period_start", "stable_period_end"]
 
 
-def window_weeks(calendar: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per distinct window and calendar week in it: at most windows times weeks."""
-    weeks = calendar.select("week_id").distinct()
-    return join_in_range(weeks, windows.distinct(), "week_id", "_first_week", "_last_week").select(*_WINDOW, "week_id")
-
-
-def join_weeks(rows: DataFrame, weeks: DataFrame, spread_by: str) -> DataFrame:
-    """Rows with each window that holds their week. A week has few values, so its rows are spread by another column."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    spread = rows.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
-    return spread.join(weeks.withColumn("_part", parts), ["week_id", "_part"]).drop("_part")
+class Windows:
+    """The distinct windows of a cohort list and the weeks they span, read once: both bounded by the list."""
+
+    def __init__(self, spark: SparkSession, cohorts: DataFrame | pd.DataFrame, calendar: DataFrame):
+        if isinstance(cohorts, pd.DataFrame):
+            cohorts = spark.createDataFrame(cohorts)
+        if not isinstance(cohorts, DataFrame):
+            raise TypeError("cohorts must be a Spark or pandas frame")
+        self.spark = spark
+        found = cohort_windows(cohorts).distinct()
+        self.schema = found.schema
+        rows = found.collect()
+        whole = [r for r in rows if r._first_week is not None and r._last_week is not None]
+        self.rows: list[Row] = sorted(whole, key=lambda r: (r._first_week, r._last_week, str(r.cohort_id)))
+        self.weeks = _week_list(calendar, min(r._first_week for r in self.rows), max(r._last_week for r in self.rows)) if self.rows else []
+
+    def places(self, row: Row) -> list[int]:
+        """Places of a window's weeks in the list of weeks."""
+        return [i for i, w in enumerate(self.weeks) if row._first_week <= w <= row._last_week]
+
+    def in_range(self, weekly: DataFrame) -> DataFrame:
+        """Rows of the weeks that some window needs; plain bounds, so a table partitioned by week is pruned."""
+        if not self.weeks:
+            return weekly.where(F.lit(False))
+        return weekly.where(F.col("week_id").between(self.weeks[0], self.weeks[-1]))
+
+    def by_week(self) -> DataFrame:
+        """Local: each week with its place and the set of windows that hold it."""
+        words = bitmaps.words_for(len(self.rows))
+        held = [[n for n, r in enumerate(self.rows) if r._first_week <= w <= r._last_week] for w in self.weeks]
+        rows = [(w, i, *bitmaps.literal_words(h, words)) for i, (w, h) in enumerate(zip(self.weeks, held))]
+        names = ", ".join(f"_in{j} bigint" for j in range(words))
+        return self.spark.createDataFrame(rows, f"_week int, _place int, {names}")
+
+    def masks(self, time_share) -> DataFrame:
+        """Local, one row with ``all``: each window with its set of weeks and the weeks it needs."""
+        words = bitmaps.words_for(len(self.weeks))
+        rows = []
+        for r in self.rows:
+            places = self.places(r)
+            rows.append((r.cohort_id, r.stable_period_start, r.stable_period_end, int(len(places) * _share(time_share) // 100), bitmaps.literal_words(places, words)))
+        given = self.spark.createDataFrame(rows, "cohort_id bigint, stable_period_start date, stable_period_end date, needed bigint, mask array<bigint>")
+        return given.agg(F.collect_list(F.struct("*")).alias("all"))
+
+    def numbered(self) -> DataFrame:
+        """Local: the windows with their numbers."""
+        rows = [(n, r.cohort_id, r.stable_period_start, r.stable_period_end) for n, r in enumerate(self.rows)]
+        return self.spark.createDataFrame(rows, "_number int, cohort_id bigint, stable_period_start date, stable_period_end date")
 
 
 def stable_units_bulk(
     weekly: DataFrame,
     calendar: DataFrame,
-    cohorts: DataFrame | pd.DataFrame,
+    cohorts: DataFrame | pd.DataFrame | Windows,
     overrides: DataFrame | None = None,
     dimension: DataFrame | None = None,
     time_share=100,
@@ -147,41 +204,64 @@ def stable_units_bulk(
     """:func:`stable_units` for every row (cohort, start, lookback) of ``cohorts``, in one pass.
 
     ``cohorts`` may be a local frame. Each distinct window is judged by itself, also when several share a
-    cohort. The weekly table is read and de-duplicated once; its (unit, week) rows meet the weeks of the
-    windows on the week itself. Weeks that the calendar lacks do not count.
+    cohort. The weeks of a unit are one set of bits, united before the only shuffle, and a window counts what
+    it has in common with them: no row is made per unit, week and window. The windows and their weeks are read
+    when called. Weeks that the calendar lacks do not count.
     """
-    if isinstance(cohorts, pd.DataFrame):
-        cohorts = weekly.sparkSession.createDataFrame(cohorts)
-    if not isinstance(cohorts, DataFrame):
-        raise TypeError("cohorts must be a Spark or pandas frame")
-    windows = cohort_windows(cohorts)
-    in_window = window_weeks(calendar, windows)
-    needed = windows.select(*_WINDOW).distinct().join(
-        in_window.groupBy(*_WINDOW).agg(F.count("week_id").alias("_weeks")), _WINDOW, "left"
-    ).select(*[F.col(c).alias(f"_{c}") for c in _WINDOW], F.floor(F.coalesce("_weeks", F.lit(0)) * F.lit(_share(time_share)) / 100).cast("bigint").alias("_needed"))
-
-    # Scalar subqueries, so a table partitioned by week reads only the weeks some cohort needs.
-    from_week = windows.agg(F.min("_first_week")).scalar()
-    to_week = windows.agg(F.max("_last_week")).scalar()
-    active = weekly.where(F.col("week_id").between(from_week, to_week) & (F.col("pat_actn_ind") == 1)).select(unit, "week_id")
+    windows = cohorts if isinstance(cohorts, Windows) else Windows(weekly.sparkSession, cohorts, calendar)
+    words = bitmaps.words_for(len(windows.weeks))
+    names = _words(words)
+    active = windows.in_range(weekly).where(F.col("pat_actn_ind") == 1)
+    # One local row per week of the range.
+    placed = active.join(F.broadcast(windows.by_week().select("_week", "_place")), F.col("week_id") == F.col("_week"))
+    sets = placed.select(unit, *[w.alias(n) for n, w in zip(names, bitmaps.member_words(F.col("_place"), words))])
     if overrides is not None:
-        weeks = calendar.select(F.col("week_id").alias("_week")).distinct()
-        spans = overrides.select(unit, F.col("start_week_id").alias("_start"), F.col("end_week_id").alias("_end"))
-        spread = join_in_range(weeks, spans, "_week", "_start", "_end")
-        active = active.unionByName(spread.select(unit, F.col("_week").alias("week_id")))
-    placed = active.distinct().repartition(unit)
+        sets = sets.unionByName(_override_words(overrides, windows.weeks, unit))
+    united = sets.groupBy(unit).agg(*bitmaps.union(names)).withColumns({"_weeks": F.array(*names), "_windows": windows.masks(time_share).scalar()})
+    counted = F.transform(
+        "_windows",
+        lambda w: F.struct(*[w[c].alias(c) for c in _WINDOW], bitmaps.count_common(F.col("_weeks"), w["mask"]).cast("bigint").alias("elig_period_cnt"), w["needed"].alias("needed")),
+    )
+    enough = F.filter(counted, lambda w: (w["elig_period_cnt"] > 0) & (w["elig_period_cnt"] >= w["needed"]))
+    stable = united.select(unit, F.explode(enough).alias("_s")).select(unit, *[f"_s.{c}" for c in _WINDOW], "_s.elig_period_cnt")
+    return _with_attributes(stable, dimension, unit)
+
+
+def stable_patients_bulk(
+    patient_weeks: DataFrame, panel: DataFrame, calendar: DataFrame, cohorts: DataFrame | pd.DataFrame | Windows, unit: str = "pharmacy_id", patient: str = "patient_id"
+) -> DataFrame:
+    """For every window, the patients all of whose units in its weeks are in its panel, with their channels.
+
+    ``patient_weeks`` holds (patient, unit, week_id), ``panel`` the rows of :func:`stable_units_bulk`. Sets of
+    windows take the place of rows per window: those that list a unit, those in which a patient used it, and
+    those in which some unit was not listed. They are united per patient and channel, then per patient. Rows
+    without a patient are left out; a row without a unit makes its windows unstable.
+    """
+    windows = cohorts if isinstance(cohorts, Windows) else Windows(panel.sparkSession, cohorts, calendar)
+    words = bitmaps.words_for(len(windows.rows))
+    listed, used, missed = ([f"_{k}{j}" for j in range(words)] for k in ("of", "in", "miss"))
     same = F.lit(True)
+    numbers = windows.numbered().toDF("_number", *[f"_{c}" for c in _WINDOW])
     for c in _WINDOW:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    stable = (
-        join_weeks(placed, in_window, unit)
-        .groupBy(unit, *_WINDOW)
-        .agg(F.count("week_id").alias("elig_period_cnt"))
-        .join(needed, same)
-        .where(F.col("elig_period_cnt") >= F.col("_needed"))
-        .select(unit, *_WINDOW, "elig_period_cnt")
-    )
-    return _with_attributes(stable, dimension, unit)
+    # One local row per window.
+    members = panel.join(F.broadcast(numbers), same).select(F.col(unit).alias("_unit"), F.col("chnl_cd"), *[w.alias(n) for n, w in zip(listed, bitmaps.member_words(F.col("_number"), words))])
+    per_channel = members.groupBy("_unit", "chnl_cd").agg(*bitmaps.union(listed))
+    units = per_channel.groupBy("_unit").agg(F.collect_list(F.struct("chnl_cd", *listed)).alias("_channels"), *bitmaps.union(listed))
+
+    seen = windows.in_range(patient_weeks).where(F.col(patient).isNotNull())
+    placed = seen.join(F.broadcast(windows.by_week().drop("_place")), F.col("week_id") == F.col("_week")).join(units, F.col(unit) == F.col("_unit"), "left")
+    lost = [F.col(u).bitwiseAND(F.bitwise_not(F.coalesce(o, F.lit(0).cast("bigint")))).alias(m) for u, o, m in zip(used, listed, missed)]
+    rows = placed.select(patient, *used, *lost, F.explode_outer("_channels").alias("_c"))
+    hits = [F.coalesce(F.col(u).bitwiseAND(F.col(f"_c.{o}")), F.lit(0).cast("bigint")).alias(u) for u, o in zip(used, listed)]
+    by_channel = rows.select(patient, F.col("_c.chnl_cd").alias("chnl_cd"), *hits, *missed).groupBy(patient, "chnl_cd").agg(*bitmaps.union([*used, *missed]))
+    judged = by_channel.groupBy(patient).agg(F.collect_list(F.struct("chnl_cd", F.array(*used).alias("of"))).alias("_channels"), *bitmaps.union([*used, *missed]))
+    stable = judged.select(patient, "_channels", *[F.col(u).bitwiseAND(F.bitwise_not(m)).alias(u) for u, m in zip(used, missed)])
+    found = stable.select(patient, "_channels", F.explode(bitmaps.members(used, len(windows.rows))).alias("_number"))
+    here = F.filter("_channels", lambda c: c["chnl_cd"].isNotNull() & (F.getbit(F.get(c["of"], F.floor(F.col("_number") / bitmaps.WIDTH).cast("int")), F.pmod("_number", F.lit(bitmaps.WIDTH)).cast("int")) == 1))
+    channels = F.array_sort(F.transform(here, lambda c: c["chnl_cd"]))
+    dated = found.select(patient, "_number", channels.alias("cnls_cds")).join(F.broadcast(windows.numbered()), "_number")
+    return dated.select("cohort_id", patient, "stable_period_start", "stable_period_end", "cnls_cds")
 
 
 def stable_patients(patient_data: DataFrame, panel: DataFrame, unit: str = "pharmacy_id", patient: str = "patient_id", by_cohort: bool = False) -> DataFrame:

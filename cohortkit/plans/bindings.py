@@ -29,6 +29,12 @@ def date_bounds(spark, d) -> DataFrame:
     )
 
 
+def known_bounds(spark, d) -> DataFrame:
+    """:func:`date_bounds` as a local row, for plans that use the calendar several times."""
+    found = date_bounds(spark, d)
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
 def calendar(spark, d) -> DataFrame:
     return cal.calendar_between(date_bounds(spark, d))
 

@@ -10,7 +10,7 @@ from cohortkit.functions.frames import match_column
 from cohortkit.operators.extract import in_months
 from cohortkit.sources import tables
 from cohortkit.sources.readers import resolve
-from cohortkit.sources.writers import beside, create_like, insert_by_name, reads_table, replace_partitions, spread_for_write, swap_in
+from cohortkit.sources.writers import beside, create_like, drop_partitions, insert_watched, reads_table, replace_partitions, swap_in
 
 METHODS = ("INITIAL", "APPEND")
 
@@ -70,11 +70,8 @@ def _load(rows: DataFrame, cut: DataFrame, table: str, period: str, requested: l
     elif sorted((n.lower(), t) for n, t in spark.table(table).dtypes) == sorted((n.lower(), t) for n, t in cut.dtypes):
         replace_partitions(cut, table, period, requested, files)
         kept = {str(v) for v in requested}
-        for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
-            name, value = row.partition.split("=", 1)
-            if value not in kept:
-                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({name} = '{value}')")
-        spark.catalog.refreshTable(table)
+        held = [row.partition.split("=", 1) for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+        drop_partitions(spark, table, match_column(spark.table(table), period), [v for _, v in held if v not in kept])
     else:
         made = beside(table)
         try:
@@ -97,20 +94,20 @@ def add_partition(spark: SparkSession, source: DataFrame | str, table: str, part
 
     INITIAL replaces the named partition, which ends empty without rows, and every other partition the rows
     belong to; running it again gives the same table, and a failing source loses nothing. APPEND adds rows.
+    Statistics are renewed for the partitions that got rows, and only for them.
     """
     method = _method(method)
     rows = resolve(spark, source)
     if method == "INITIAL":
-        replace_partitions(rows, table, partition, [value])
+        filled = replace_partitions(rows, table, partition, [value])
     else:
         create_like(rows, table, partition)
-        insert_by_name(spread_for_write(rows, match_column(rows, partition)), table)
-    tables.analyze(spark, table)
+        filled = insert_watched(rows, table, match_column(rows, partition))
+    tables.analyze_partitions(spark, table, partition, filled)
     return spark.table(table)
 
 
 def save_cohorts(df: DataFrame, table: str) -> DataFrame:
-    """Save a panel or patient result by cohort, replacing the cohorts it holds."""
-    replace_partitions(df, table, "cohort_id")
-    tables.analyze(df.sparkSession, table, "cohort_id")
+    """Save a panel or patient result by cohort, replacing the cohorts it holds, and renew their statistics."""
+    tables.analyze_partitions(df.sparkSession, table, "cohort_id", replace_partitions(df, table, "cohort_id"))
     return df.sparkSession.table(table)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
 from cohortkit.functions import frames
-from cohortkit.operators import extract, metrics, panel, quality, sequences
+from cohortkit.operators import chunks, correlation, extract, metrics, panel, quality, search, sequences, vectors
 from cohortkit.plans import bindings as b
 from cohortkit.plans import collect
 from cohortkit.plans.bindings import ORDERED, SHIP, sql_date_id, sql_month, sql_week, with_roles
@@ -277,10 +277,10 @@ _MONTHS_AND_QUARTERS = {**_BULK, "cohorts": f"SELECT cohort, start, lookback FRO
     FROM counted t JOIN needed n USING (cohort_id, s, e) LEFT JOIN unit_dimension x ON t.pharmacy_id = x.pharmacy_id WHERE elig_period_cnt >= n.n""",
 )
 def panel_stable_units_bulk(spark, d):
-    bounds = b.date_bounds(spark, d)
+    bounds = b.known_bounds(spark, d)
     cohorts = cal.cohort_periods_between(bounds).unionByName(cal.cohort_periods_between(bounds, "Q", lookback=3))
     found = panel.stable_units_bulk(
-        b.weekly_panel(spark, d), b.calendar(spark, d), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
+        b.weekly_panel(spark, d), cal.calendar_between(bounds), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
     )
     return _dates_as_text(found)
 
@@ -352,13 +352,11 @@ def panel_stable_patients_cohorts(spark, d):
 )
 def panel_stable_patients_bulk(spark, d):
     """One cohort per quarter; a patient is judged by the units used in that quarter."""
-    cohorts = cal.cohort_periods_between(b.date_bounds(spark, d), "Q", lookback=3)
-    units = panel.stable_units_bulk(
-        b.weekly_panel(spark, d), b.calendar(spark, d), cohorts, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE
-    )
-    weeks = panel.window_weeks(b.calendar(spark, d), panel.cohort_windows(cohorts)).select("cohort_id", "week_id")
-    seen = panel.join_weeks(b.patient_weeks(spark, d), weeks, "patient_id")
-    found = panel.stable_patients(seen, units, by_cohort=True)
+    bounds = b.known_bounds(spark, d)
+    days = cal.calendar_between(bounds)
+    windows = panel.Windows(spark, cal.cohort_periods_between(bounds, "Q", lookback=3), days)
+    units = panel.stable_units_bulk(b.weekly_panel(spark, d), days, windows, b.overrides(spark, d), b.unit_dimension(spark, d), UNIT_SHARE)
+    found = panel.stable_patients_bulk(b.patient_weeks(spark, d), units, days, windows)
     return _dates_as_text(found).withColumn("cnls_cds", F.array_join("cnls_cds", ","))
 
 
@@ -576,6 +574,15 @@ def table_partitions(spark, d):
     return tables.partition_counts(spark, name, "year_id")
 
 
+@register("table_statistics", f"SELECT CAST(year_id AS VARCHAR) AS partition, count(*) AS rows, true AS has_bytes FROM ({_YEARLY}) GROUP BY year_id")
+def table_statistics(spark, d):
+    """What the catalog holds per partition after two loads, the second one of 1997 alone."""
+    name, rows = work_table(spark, "statistics"), _yearly(spark, d)
+    collect.add_partition(spark, rows.where("year_id <> 1997 OR o_orderkey % 2 = 0"), name, "year_id", 1996)
+    collect.add_partition(spark, rows.where("year_id = 1997"), name, "year_id", 1997)
+    return tables.partition_statistics(spark, name).select("partition", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 # ---- files and source resolution ---------------------------------------------------------------
 
 
@@ -788,3 +795,123 @@ def seq_embedding_matrix(spark, d):
     lines = sequences.load_vectors(spark, path, wanted.select(F.col("token").alias("word")))
     matrix = sequences.embedding_matrix(wanted, lines, MAX_FEATURES, VECTOR_DIM)
     return matrix.select("index", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+# ---- text search, chunks, vectors, correlation ---------------------------------------------------
+
+KEYWORDS = {"english": ["the", "of", "and"], "german": ["und", "der", "in"], "mixed": ["que", "le"], "cased": ["The", "LICENSE"]}
+PHRASES = {"two": ["of", "the"], "repeated": ["the", "the"], "three": ["in", "the", "of"], "spanish": ["de", "la"]}
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _sql_rows(queries: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{name}', {i}, '{term.lower()}')" for name, terms in queries.items() for i, term in enumerate(terms))
+
+
+def _index(spark, d) -> DataFrame:
+    return search.build_index(b.table(spark, d, "documents"), scratch_path(spark, "postings"))
+
+
+@register(
+    "search_terms",
+    f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents)
+    SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits FROM w GROUP BY term""",
+)
+def search_terms(spark, d):
+    return search.term_statistics(_index(spark, d))
+
+
+@register(
+    "search_keywords",
+    f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), q(query, i, term) AS (VALUES {_sql_rows(KEYWORDS)}),
+    hits AS (SELECT query, doc_id, term, count(*) AS n FROM w JOIN q USING (term) GROUP BY ALL)
+    SELECT query, doc_id, count(*) AS n_terms, sum(n) AS n_hits, string_agg(term || '=' || n, ' ' ORDER BY term) AS hits FROM hits
+    GROUP BY query, doc_id HAVING count(*) = (SELECT count(*) FROM q WHERE q.query = hits.query)""",
+)
+def search_keywords(spark, d):
+    found = search.search(_index(spark, d), KEYWORDS)
+    listed = F.array_join(F.transform(F.map_entries("hits"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
+    return found.select("query", F.col("doc").alias("doc_id"), "n_terms", "n_hits", listed.alias("hits"))
+
+
+@register(
+    "search_phrases",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), q(query, i, term) AS (VALUES {_sql_rows(PHRASES)}),
+    p AS (SELECT query, list(term ORDER BY i) AS p FROM q GROUP BY query),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+    SELECT query, doc_id, count(*) AS n_hits FROM places JOIN p ON w[i] = p[1] AND w[i:i + len(p) - 1] = p GROUP BY query, doc_id""",
+)
+def search_phrases(spark, d):
+    return search.search_phrases(_index(spark, d), PHRASES).withColumnRenamed("doc", "doc_id")
+
+
+CHUNK, OVERLAP = 400, 60
+
+
+def _sql_cut(size: int) -> str:
+    """Characters that the next part takes from ``rest``."""
+    best = [f"nullif(length(regexp_extract(left(rest, {size}), '(?s)^.*{s}')), 0)" for s in (r"\n\n", r"\n", " ")]
+    return f"CASE WHEN length(rest) <= {size} THEN length(rest) ELSE coalesce({', '.join(best)}, {size}) END"
+
+
+@register(
+    "text_chunks",
+    rf"""WITH RECURSIVE sections AS (
+        SELECT doc_id, 0 AS pos, '' AS part, text AS rest FROM documents WHERE text <> ''
+        UNION ALL SELECT doc_id, pos + length(part), left(rest, c), substr(rest, c + 1) FROM (SELECT *, {_sql_cut(chunks.SECTION)} AS c FROM sections WHERE rest <> '')),
+    parts AS (
+        SELECT doc_id, pos, '' AS part, part AS rest FROM sections WHERE part <> ''
+        UNION ALL SELECT doc_id, pos + length(part), left(rest, c), substr(rest, c + 1) FROM (SELECT *, {_sql_cut(CHUNK - OVERLAP)} AS c FROM parts WHERE rest <> '')),
+    behind AS (SELECT doc_id, pos, part, substr(text, greatest(pos - {OVERLAP}, 0) + 1, least(pos, {OVERLAP})) AS b FROM parts JOIN documents USING (doc_id) WHERE part <> ''),
+    leads AS (SELECT *, CASE WHEN pos = length(b) THEN b ELSE coalesce(nullif(regexp_extract(b, '(?s)^.*?(?:
+
+|
+| )(.+)$', 1), ''), b) END AS l FROM behind)
+    SELECT doc_id, pos - length(l) AS start, length(l) AS lead, length(l) + length(part) AS n_chars, md5(l || part) AS text_md5 FROM leads""",
+)
+def text_chunks(spark, d):
+    found = chunks.chunk_texts(b.table(spark, d, "documents"), CHUNK, OVERLAP)
+    return found.select("doc_id", "start", "lead", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@register(
+    "vector_topk",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank, vec_id, round(c, 6) AS score FROM s QUALIFY rank <= 5""",
+)
+def vector_topk(spark, d):
+    given = b.table(spark, d, "embeddings")
+    found = vectors.nearest(given, given.where("vec_id % 100 = 0"), 5, skip_self=True)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+_CORR = {
+    "quantity": "l_quantity",
+    "price": "l_extendedprice",
+    "discount": "CASE WHEN l_linestatus = 'O' AND l_quantity < 10 THEN NULL ELSE l_discount END",
+    "balance": "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END",
+    "flag": "l_returnflag",
+    "segment": "c_mktsegment",
+}
+_CODED = ("flag", "segment")
+_SQL_CORR = " UNION ALL ".join(
+    f"SELECT '{x}' AS a, '{y}' AS b, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n, round(corr({x}, {y}), 6) AS corr FROM coded" for x in _CORR for y in _CORR
+)
+
+
+@register(
+    "corr_matrix",
+    f"""WITH given AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _CORR.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+    flags AS (SELECT flag AS v, row_number() OVER (ORDER BY flag) - 1 AS code FROM (SELECT DISTINCT flag FROM given)),
+    segments AS (SELECT segment AS v, row_number() OVER (ORDER BY segment) - 1 AS code FROM (SELECT DISTINCT segment FROM given)),
+    coded AS (SELECT quantity, price, discount, balance, flags.code AS flag, segments.code AS segment FROM given JOIN flags ON flag = flags.v JOIN segments ON segment = segments.v)
+    {_SQL_CORR}""",
+)
+def corr_matrix(spark, d):
+    """Order lines with their customers; the categories are coded in the order of their names."""
+    lines = b.table(spark, d, "lineitem").join(b.table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey")).join(b.table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
+    given = lines.select(*[F.expr(e).alias(c) for c, e in _CORR.items()])
+    found = correlation.correlation_matrix(given, [c for c in _CORR if c not in _CODED], _CODED)
+    return found.select("a", "b", "n", F.round("corr", 6).alias("corr"))

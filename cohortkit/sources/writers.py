@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -90,10 +91,25 @@ def reads_table(df: DataFrame, table: str) -> bool:
 def swap_in(spark: SparkSession, made: str, table: str) -> None:
     """Put a finished table in the place of another one.
 
-    Not every catalog moves the partitions with a renamed table, so their locations are set again.
+    The old one is only renamed until the new one has its name, and goes last; if the change of names fails it
+    gets its own back.
     """
-    spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
-    spark.sql(f"ALTER TABLE {made} RENAME TO {table}")
+    aside = beside(table) if spark.catalog.tableExists(table) else None
+    if aside:
+        _rename(spark, table, aside)
+    try:
+        _rename(spark, made, table)
+    except Exception:
+        if aside and not spark.catalog.tableExists(table):
+            _rename(spark, aside, table)
+        raise
+    if aside:
+        spark.sql(f"DROP TABLE IF EXISTS {aside} PURGE")
+
+
+def _rename(spark: SparkSession, old: str, table: str) -> None:
+    """Not every catalog moves the partitions with a renamed table, so their locations are set again."""
+    spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
     told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
     if "# Partition Information" in told:
         for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
@@ -119,57 +135,84 @@ def save_table(
     analyze: bool = False,
     spark: SparkSession | None = None,
 ) -> int:
-    """Create, append to or overwrite a table, and return its row count.
+    """Create, append to or overwrite a table, and return how many rows were written.
 
     ``source`` is a frame, or with ``spark`` a query or a table name. The partition column is found in any
     letter case and ignored when the frame lacks it. ``upper`` upper-cases the columns; ``files`` bounds the
-    files per partition. With ``cache`` the count is that of the frame, observed while it is written.
+    files per partition. The rows are counted while they are written, so neither the frame nor the table is read
+    again; with or without ``cache``, which is kept for callers. The count of a table that was appended to is
+    that of its statistics (``tables.analyze``).
     """
     df = source if isinstance(source, DataFrame) else resolve(spark, source)
     spark = df.sparkSession
     out = upper_columns(df) if upper else df
     part = match_column(out, partition)
     seen = Observation()
-    watched = out.observe(seen, F.count(F.lit(1)).alias("rows")) if cache else out
+    watched = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = spread_for_write(watched, part, files).write.mode(mode).format(fmt)
     (writer.partitionBy(part) if part else writer).saveAsTable(table)
     spark.catalog.refreshTable(table)
     if analyze:
         spark.sql(f"ANALYZE TABLE {table}{f' PARTITION ({part})' if part else ''} COMPUTE STATISTICS")
-    return (_observed(seen, "rows", out) or 0) if cache else spark.table(table).count()
+    return _observed(seen, "rows", out) or 0
+
+
+def known_rows(spark: SparkSession, table: str) -> int | None:
+    """Rows of the table by its catalog statistics; None without them. Any write drops them."""
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    found = re.search(r"(\d+) rows", told.get("Statistics", ""))
+    return int(found[1]) if found else None
 
 
 def run_insert(spark: SparkSession, table: str, statement: str) -> int:
-    """Run an INSERT statement, refresh and analyze its table, and return the row count."""
+    """Run an INSERT statement, refresh and analyze its table, and return the row count, which the statistics hold."""
     spark.sql(statement)
     spark.catalog.refreshTable(table)
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
-    return spark.table(table).count()
+    rows = known_rows(spark, table)
+    return spark.table(table).count() if rows is None else rows
 
 
 def replace_partitions(
     df: DataFrame, table: str, partition: str, requested: Iterable | None = None, files: int | None = None
-) -> None:
+) -> list:
     """Write ``df`` so that its partitions, and the requested ones, hold exactly its rows.
 
     Other partitions stay as they are. A requested partition without new rows ends empty. The table is
     created when missing. Running it twice gives the same table: new files replace a partition only once
-    the job has succeeded, and the stale partitions are dropped after that.
+    the job has succeeded, and the stale partitions are dropped after that. Returns the partitions written to.
     """
     spark = df.sparkSession
     create_like(df, table, partition)
     own = _partition_of(df, partition)
+    filled = insert_watched(df, table, own, files, overwrite=True)
+    if requested is not None:
+        known = {str(v) for v in filled}
+        drop_partitions(spark, table, partition, [v for v in requested if str(v) not in known])
+    return filled
+
+
+def insert_watched(df: DataFrame, table: str, partition: str, files: int | None = None, overwrite: bool = False) -> list:
+    """Insert and return the partitions that got rows."""
     written = Observation()
     # The set holds one value per written partition, which the catalog has to know anyway.
-    watched = df.observe(written, F.collect_set(own).alias("values"))
-    insert_by_name(spread_for_write(watched, own, files), table, overwrite=True)
-    if requested is not None:
-        filled = {str(v) for v in _observed(written, "values", df) or ()}
-        stale = [v for v in requested if str(v) not in filled]
-        for value in stale:
-            literal = f"'{value}'" if isinstance(value, str) else value
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = {literal})")
-        spark.catalog.refreshTable(table)
+    watched = df.observe(written, F.collect_set(partition).alias("values"), F.count_if(F.col(partition).isNull()).alias("nulls"))
+    insert_by_name(spread_for_write(watched, partition, files), table, overwrite)
+    return [*(_observed(written, "values", df) or ()), *([None] if _observed(written, "nulls", df) else [])]
+
+
+def drop_partitions(spark: SparkSession, table: str, partition: str, values: Iterable) -> None:
+    """Drop partitions by one statement; those that do not exist are passed over."""
+    specs = [f"PARTITION ({partition} = {partition_literal(v)})" for v in values]
+    if specs:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs)}")
+    spark.catalog.refreshTable(table)
+
+
+def partition_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if isinstance(value, str) else str(value)
 
 
 def _observed(written: Observation, name: str, df: DataFrame):

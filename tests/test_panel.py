@@ -91,6 +91,57 @@ def test_bulk_windows_that_share_a_cohort(spark, year2000):
         panel.stable_units_bulk(data, year2000, [1])
 
 
+def test_overlapping_nested_and_open_overrides(spark, year2000):
+    spans = [(1, 20000101, 20000204), (1, 20000120, 20000310), (1, 20000121, 20000125), (2, 20000310, 20000310), (2, 20000310, 20000310), (3, None, 20000331)]
+    spans += [(4, 20000331, 20000107), (5, 19990101, 20000106), (6, 20000109, 20000113), (7, 20000332, 20010101), (None, 20000107, 20000114)]
+    data = spark.createDataFrame(spans, "pharmacy_id long, start_week_id int, end_week_id int")
+    got = panel.expand_intervals(data, year2000, 20000107, 20000331)
+    want = {(u, w) for u, a, z in spans for w in WEEKS if a is not None and z is not None and a <= w <= z}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert dict(got.dtypes)["week_id"] == dict(year2000.dtypes)["week_id"]
+    assert panel.expand_intervals(data, year2000, 20500107, 20500331).count() == 0
+
+
+def test_bulk_with_more_windows_than_one_word_holds(spark, year2000):
+    dice = random.Random(9)
+    weeks = sorted(r.week_id for r in year2000.select("week_id").distinct().collect())
+    rows = [(u, w, int(dice.random() < 0.4 + u / 20)) for u in range(8) for w in weeks] + [(9, 20000102, 1), (None, weeks[3], 1)]
+    cohorts = pd.DataFrame([(n, 200001 + n % 12, 199901 + n % 11) for n in range(70)], columns=["cohort", "start", "lookback"])
+    data = spark.createDataFrame(rows, "pharmacy_id long, week_id int, pat_actn_ind int")
+    got = {(r.pharmacy_id, r.cohort_id): r.elig_period_cnt for r in panel.stable_units_bulk(data, year2000, cohorts, time_share=60).collect()}
+    want = {}
+    for c in cohorts.itertuples():
+        span = [w for w in weeks if cal.week_key(cal.period_start(c.lookback)) <= w <= cal.week_key(cal.period_end(c.start))]
+        for u in {r[0] for r in rows}:
+            n = len({w for x, w, on in rows if x == u and on and w in span})
+            if n and n >= len(span) * 60 // 100:
+                want[u, c.cohort] = n
+    assert got == want and len(want) > 100
+
+
+def test_bulk_patients_against_brute_force(spark, year2000):
+    dice = random.Random(4)
+    cohorts = [(n, 200001 + n % 12, 200001 + n % 12 - (n % 3 if n % 12 >= 2 else 0)) for n in range(66)]
+    windows = panel.Windows(spark, spark.createDataFrame(cohorts, "cohort int, start int, lookback int"), year2000)
+    dates = {n: (cal.period_start(back), cal.period_end(start)) for n, start, back in cohorts}
+    listed = [(u, chr(65 + u % 3), n, *dates[n]) for u in range(6) for n in dates if dice.random() < 0.8]
+    units = spark.createDataFrame(listed, "pharmacy_id long, chnl_cd string, cohort_id long, stable_period_start date, stable_period_end date")
+    seen = [(dice.choice("abcdefg"), dice.choice([0, 1, 2, 3, 4, 5]), dice.choice(WEEKS)) for _ in range(60)] + [("z", None, WEEKS[0]), (None, 1, WEEKS[0]), ("y", 1, 20000102)]
+    data = spark.createDataFrame(seen, "patient_id string, pharmacy_id long, week_id int")
+    want = set()
+    inside = {(u, n): c for u, c, n, *_ in listed}
+    for n, (a, z) in dates.items():
+        used = {}
+        for p, u, w in seen:
+            if p is not None and w in WEEKS and cal.week_key(a) <= w <= cal.week_key(z):
+                used.setdefault(p, set()).add(u)
+        want |= {(n, p, a, z, tuple(sorted({inside[u, n] for u in us}))) for p, us in used.items() if all((u, n) in inside for u in us)}
+    got = {(r.cohort_id, r.patient_id, r.stable_period_start, r.stable_period_end, tuple(r.cnls_cds)) for r in panel.stable_patients_bulk(data, units, year2000, windows).collect()}
+    assert got == want and len(want) > 50
+    none = panel.Windows(spark, spark.createDataFrame([], "cohort int, start int, lookback int"), year2000)
+    assert panel.stable_patients_bulk(data, units, year2000, none).count() == 0
+
+
 def test_patients_come_back_for_every_cohort(spark):
     two = _panel(spark).unionByName(_panel(spark, ("R",)).withColumn("cohort_id", F.lit(2).cast("long")))
     data = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), ("c", 9)], "patient_id string, pharmacy_id long")

@@ -60,12 +60,30 @@ def test_bulk_panel_prunes_weeks(spark, year2000):
     assert "week_id" in scan.split("PartitionFilters")[1].split("]")[0]
 
 
-def test_bulk_panel_shuffles_activity_twice(spark, year2000):
-    """Once to merge equal (unit, week) rows and once to place them by unit; the count needs no more."""
-    rows = spark.range(5).selectExpr("id as pharmacy_id", "20000107 as week_id", "1 as pat_actn_ind")
-    cohorts = spark.createDataFrame([(1, 200003, 200001)], "cohort int, start int, lookback int")
-    text = plan(panel.stable_units_bulk(rows, year2000, cohorts, time_share=1))
-    assert sum("Exchange hashpartitioning(pharmacy_id" in line for line in text.splitlines()) == 2
+def test_bulk_panel_shuffles_units_once(spark, year2000):
+    """One row per unit leaves the only shuffle, however many windows there are."""
+    rows = spark.range(5).repartition(3).selectExpr("id as pharmacy_id", "case when id < 0 then 20000114 else 20000107 end as week_id", "1 as pat_actn_ind")
+    cohorts = [(1, 200003, 200001), (2, 200004, 200001), (3, 200012, 200001), (4, 200006, 200006)]
+    shuffled = []
+    for n in (1, 4):
+        given = spark.createDataFrame(cohorts[:n], "cohort int, start int, lookback int")
+        text = plan(panel.stable_units_bulk(rows, year2000, given, time_share=1))
+        exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 1 and "pharmacy_id" in exchanges[0]
+        assert not any(x in text for x in ("Cartesian", "NestedLoop", "Python"))
+        shuffled.append(exchanges[0].split("[plan_id")[0])
+    assert "Generate" not in text.split("Exchange hashpartitioning")[1]
+
+
+def test_bulk_patients_hold_no_row_per_cohort(spark, year2000):
+    """Generators only list channels and, at the end, the windows of a patient that stays."""
+    cohorts = panel.Windows(spark, spark.createDataFrame([(1, 200003, 200001), (2, 200006, 200004)], "cohort int, start int, lookback int"), year2000)
+    weekly = spark.range(5).repartition(3).selectExpr("id as pharmacy_id", "case when id < 0 then 20000114 else 20000107 end as week_id", "1 as pat_actn_ind")
+    units = panel.stable_units_bulk(weekly, year2000, cohorts, time_share=1)
+    people = spark.range(50).repartition(3).selectExpr("id as patient_id", "id % 5 as pharmacy_id", "case when id < 0 then 20000114 else 20000107 end as week_id")
+    text = plan(panel.stable_patients_bulk(people, units, year2000, cohorts))
+    assert not any(x in text for x in ("Cartesian", "NestedLoop", "Python"))
+    assert not any("cohort_id" in line for line in text.splitlines() if "hashpartitioning(patient_id" in line)
 
 
 def test_feeds_read_only_their_columns_and_push_filters(spark):
@@ -99,6 +117,29 @@ def test_hot_record_is_split(spark, conf, year2000):
     assert "skew=true" in text or "skewed" in text
 
 
-@pytest.mark.parametrize("name", ["extract_by_code_pair", "panel_stable_units", "panel_stable_patients"])
+def test_a_large_list_filters_the_scans(spark, conf):
+    """With broadcasts of the list off, a table of bits of fixed size drops rows before the exact join's shuffle."""
+    before = sorted(map(tuple, QUERIES["extract_by_patient"](spark, SF).collect()))
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    got = QUERIES["extract_by_patient"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == before and before
+    text = plan(got)
+    assert text.count("getbit") >= 3 and "LeftSemi" in text
+    for part in text.split("LeftSemi")[1:4]:
+        assert "bit_or" in part or "getbit" in part or "_bits" in part
+
+
+def test_an_exact_list_decides(spark, conf):
+    """Keys that share a slot with listed ones are dropped by the join."""
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    feed = spark.range(20000).selectExpr("id", "id % 500 as patient_id")
+    listed = spark.range(0, 500, 7).selectExpr("id as patient_id").union(spark.range(3).selectExpr("cast(null as bigint)"))
+    bits = extract.list_bits(listed, ["patient_id"], feed)
+    assert bits is not None and extract.list_bits(listed.selectExpr("cast(patient_id as int) as patient_id"), ["patient_id"], feed) is None
+    got = extract.filter_by_keys(feed, listed, ["patient_id"], bits)
+    assert {r.patient_id for r in got.select("patient_id").distinct().collect()} == set(range(0, 500, 7)) and got.count() == 40 * 72
+
+
+@pytest.mark.parametrize("name", ["extract_by_code_pair", "panel_stable_units", "panel_stable_patients", "panel_stable_units_bulk", "panel_stable_patients_bulk", "vector_topk", "text_chunks", "corr_matrix", "search_keywords"])
 def test_no_python_in_the_plan(spark, name):
     assert "Python" not in plan(QUERIES[name](spark, SF))

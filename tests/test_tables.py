@@ -189,6 +189,71 @@ def test_compact_and_dedupe(spark, rows, partition):
     assert not [t for t in spark.catalog.listTables("t") if t.name.startswith(f"compact_{partition}_".lower())]
 
 
+def _files(spark, name):
+    files = spark.table(name).select("m", F.col("_metadata.file_path").alias("f")).distinct()
+    return {r.m: set(r.f) for r in files.groupBy("m").agg(F.collect_set("f").alias("f")).collect()}
+
+
+def test_compact_leaves_well_sized_partitions(spark, rows):
+    data = frame(spark, [(i, i % 3) for i in range(300)] + [(5, None), (8, None)])
+    writers.save_table(data.where("m = 1"), "t.sizes", "m", files=1)
+    for k in range(3):
+        writers.save_table(data.where(f"(m <> 1 OR m IS NULL) AND floor(id / 3) % 3 = {k}"), "t.sizes", "m", files=1)
+    before, held = _files(spark, "t.sizes"), rows(spark.table("t.sizes"))
+    assert sorted(map(repr, tables.compact(spark, "t.sizes", "m"))) == ["0", "2", "None"]
+    after = _files(spark, "t.sizes")
+    assert rows(spark.table("t.sizes")) == held
+    assert after[1] == before[1] and {m: len(f) for m, f in after.items()} == dict.fromkeys(before, 1)
+    # Nothing is left to do, and a target below the sizes asks for more files.
+    assert tables.compact(spark, "t.sizes", "m") == [] and _files(spark, "t.sizes") == after
+    assert tables.compact(spark, "t.sizes", "m", files_per_partition=1) == []
+
+
+def test_compact_packs_to_a_target(spark):
+    data = spark.range(40_000).selectExpr("id", "sha2(string(id), 256) as note", "cast(id % 2 as int) as m")
+    for k in range(8):
+        writers.save_table(data.where(f"floor(id / 2) % 8 = {k}"), "t.packed", "m", files=1)
+    target = 400_000
+    assert sorted(tables.compact(spark, "t.packed", "m", target_bytes=target)) == [0, 1]
+    sizes = spark.table("t.packed").select("m", "_metadata.file_path", "_metadata.file_size").distinct().collect()
+    assert all(target / 3 < r.file_size < 1.5 * target for r in sizes) and len(sizes) < 16
+    assert spark.table("t.packed").distinct().count() == 40_000
+
+
+def test_dedupe_leaves_partitions_without_repeated_rows(spark, rows):
+    data = frame(spark, [(i, m) for m in (1, 2, None) for i in range(50)])
+    writers.save_table(data, "t.repeated", "m", files=1)
+    writers.save_table(data.where("m = 2 AND id < 9"), "t.repeated", "m", files=1)
+    before = _files(spark, "t.repeated")
+    assert tables.dedupe(spark, "t.repeated", "m") == [2]
+    after = _files(spark, "t.repeated")
+    assert rows(spark.table("t.repeated")) == rows(data) and after[1] == before[1] and after[None] == before[None]
+    assert tables.dedupe(spark, "t.repeated", "m") == []
+    writers.save_table(data.where("m IS NULL"), "t.repeated", "m")
+    assert tables.dedupe(spark, "t.repeated", "m") == [None] and rows(spark.table("t.repeated")) == rows(data)
+
+
+def test_statistics_of_written_partitions_only(spark, rows):
+    data = frame(spark, [(i, i % 3) for i in range(30)] + [(1, None)])
+    writers.replace_partitions(data, "t.counted", "m")
+    told = lambda: {r.partition: r.rows for r in tables.partition_statistics(spark, "t.counted").collect()}
+    assert told() == {"0": None, "1": None, "2": None, None: None}
+    collect.add_partition(spark, data.where("m = 1 AND id < 9"), "t.counted", "m", 1)
+    assert told() == {"0": None, "1": 3, "2": None, None: None}
+    collect.add_partition(spark, data.where("m = 2 OR m IS NULL"), "t.counted", "m", 2, method="APPEND")
+    # Spark counts the bytes, not the rows, of the partition without a value.
+    assert told() == {"0": None, "1": 3, "2": 20, None: None}
+    assert all((r.bytes or 0) > 0 for r in tables.partition_statistics(spark, "t.counted").where("rows IS NOT NULL").collect())
+
+
+def test_a_failing_swap_leaves_the_old_table(spark, rows):
+    writers.save_table(frame(spark, [(1, 1)]), "t.stays", "m")
+    with pytest.raises(Exception, match="made_nowhere"):
+        writers.swap_in(spark, "t.made_nowhere", "t.stays")
+    assert rows(spark.table("t.stays")) == [(1, 1)]
+    assert [r[1] for r in spark.sql("SHOW TABLES IN t LIKE 'stays*'").collect()] == ["stays"]
+
+
 def test_upkeep(spark, rows):
     data = frame(spark, [(1, 1), (2, 2)])
     writers.create_like(data.select("m", "id"), "t.upkeep", "m")
