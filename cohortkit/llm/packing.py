@@ -79,7 +79,7 @@ def layout(tokens: DataFrame, window: int = WINDOW, packet: int = PACKET, target
     stream of packets, by round and source, is cut into windows, so only the last one can be short. When a
     queue with a target share ends, the others go on.
     """
-    meta = tokens.select("row", "source", "n", F.xxhash64("id").alias("h"))
+    meta = tokens.select("row", "source", "n", F.xxhash64("id", "row").alias("h"))
     size = meta.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     slices = max(1, math.ceil(size.rows / SLICE_ROWS))
     placed = meta.withColumn("slice", F.pmod(F.col("h"), F.lit(slices)))
@@ -124,7 +124,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, packet: int = PACKET,
     After any window a source is off its share of the tokens by less than a packet and a quantum, while its
     queue lasts. ``targets`` gives shares by source; the rest keep their natural ones. A null source is a
     source. Rows that share an id are packed one by one; an empty table gives no rows; other columns are not
-    read. Queues follow the hash of the id. Runs jobs when called.
+    read. Queues follow the hash of the id and the row, so rows that share an id lie in many slices. A very long
+    text is encoded ``words.SEGMENT`` characters at a time. Runs jobs when called.
     """
     width = words.load(path).dtype
     tokens = tokenize(docs, path, id_col, text_col, source_col)

@@ -80,7 +80,8 @@ class Slots:
 class WordTokenizer:
     """Same ids as ``Tokenizer.encode``: blanks end every piece, so a text is encoded chunk by chunk.
 
-    Chunks are found and looked up for many texts at once. New pieces go through the tokenizer's model in one
+    Chunks are found and looked up for many texts at once, by two hashes; their bytes are compared with those of
+    the entry found. New pieces go through the tokenizer's model in one
     call; each ends with a token of a word's end. A chunk with other characters goes through the tokenizer
     whole. Ids are kept and returned as little-endian numbers, of two bytes if the vocabulary allows it, else
     four.
@@ -102,6 +103,9 @@ class WordTokenizer:
         self.pieces: dict[str, list[int]] = {}
         self.kept, self.passing = Slots(CHUNKS.bit_length() + 1), Slots(PASSING.bit_length() + 2)
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        # The bytes of every entry, for the comparison on a hit: length, first and last eight, all of a longer one.
+        self.length, self.head, self.tail = np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.long: dict[int, bytes] = {}
         self.ids = np.zeros(4096, self.dtype)
         self.entries = self.used = 0
         # What the table for good held when it was full.
@@ -133,8 +137,8 @@ class WordTokenizer:
             return (word.lower(), chunk[len(word) :]) if len(word) < len(chunk) else (word.lower(),)
         return PIECES.findall(chunk.lower())
 
-    def learn(self, chunks: list[str], first: np.ndarray, second: np.ndarray) -> None:
-        """Add new chunks with their hashes."""
+    def learn(self, chunks: list[str], first: np.ndarray, second: np.ndarray, place: bool = True) -> np.ndarray:
+        """Add new chunks with their hashes, and return their entries; without ``place`` they cannot be looked up."""
         split = [self.split_chunk(c) for c in chunks]
         unknown = list({p for s in split if s for p in s}.difference(self.pieces))
         if unknown:
@@ -154,10 +158,32 @@ class WordTokenizer:
         self.size[entry] = sizes
         self.start[entry] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
+        while len(self.length) < self.entries + len(lists):
+            self.length, self.head, self.tail = (np.resize(x, 2 * len(x)) for x in (self.length, self.head, self.tail))
+        for e, chunk in zip(entry.tolist(), chunks):
+            data = chunk.encode()
+            self.length[e] = len(data)
+            self.head[e], self.tail[e] = int.from_bytes(data[:8], "little"), int.from_bytes(data[-8:], "little")
+            if len(data) > 16:
+                self.long[e] = data
         self.entries, self.used = self.entries + len(lists), self.used + len(flat)
-        (self.kept if self.full is None else self.passing).add(first, second, entry)
-        if self.full is None and self.entries >= CHUNKS:
-            self.full = self.entries, self.used
+        if place:
+            (self.kept if self.full is None else self.passing).add(first, second, entry)
+            if self.full is None and self.entries >= CHUNKS:
+                self.full = self.entries, self.used
+        return entry
+
+    def differs(self, entry: np.ndarray, joined: bytes, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Whether the bytes of chunks are others than those of their entries; true for entry -1."""
+        size = stops - starts
+        eight = np.ndarray((len(data) + 1,), "<u8", joined + bytes(8), 0, (1,))
+        mask = ~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+        head = eight[starts] & mask
+        tail = np.where(size > 8, eight[np.maximum(stops - 8, 0)], head)
+        out = (entry < 0) | (self.length[entry] != size) | (self.head[entry] != head) | (self.tail[entry] != tail)
+        for i in np.flatnonzero(~out & (size > 16)).tolist():
+            out[i] = self.long[entry[i]] != joined[starts[i] : stops[i]]
+        return out
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
         """Two hashes of every chunk, from sums over prefixes of the data."""
@@ -195,6 +221,7 @@ class WordTokenizer:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.full is not None and self.entries - self.full[0] > PASSING:
+            self.long = {e: x for e, x in self.long.items() if e < self.full[0]}
             self.entries, self.used = self.full
             self.passing = Slots(PASSING.bit_length() + 2)
         parts = [t.encode() for t in texts]
@@ -217,6 +244,11 @@ class WordTokenizer:
             slots = self.kept if self.full is None else self.passing
             self.learn(chunks, first[new], second[new])
             entry[missing] = slots.find(first[missing], second[missing])
+        # Hashes only find an entry; where its bytes are others, the chunk gets ids of its own.
+        wrong = np.flatnonzero(self.differs(entry, joined, data, starts, stops))
+        if len(wrong):
+            chunks = [joined[a:b].decode() for a, b in zip(starts[wrong].tolist(), stops[wrong].tolist())]
+            entry[wrong] = self.learn(chunks, first[wrong], second[wrong], place=False)
         sizes = self.size[entry].astype(np.int64)
         done = np.cumsum(sizes)
         flat = np.repeat(self.start[entry] - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)

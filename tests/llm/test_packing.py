@@ -28,6 +28,47 @@ def test_same_ids_as_the_library(library, monkeypatch):
             assert got == want
 
 
+def test_chunks_with_equal_hashes_get_their_own_ids(library):
+    """Polynomials modulo 2^64 with odd factors cannot tell these two strings apart."""
+    one, other = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    texts = [f"x {one} y", f"{other} z", f"{one} {other}", other, one]
+    coder = words.WordTokenizer(PATH)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    for h in coder.hashes(data, np.array([0, 1024]), np.array([1024, 2048])):
+        assert h[0] == h[1]
+    for _ in range(2):
+        assert [x.tolist() for x in coder.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_first_hash_alone_is_shared(library, monkeypatch):
+    """Different chunks under one first hash, and under both."""
+    texts = [f"word{i} other{i % 9}" for i in range(200)] + ["w" * 20 + str(i) for i in range(30)]
+    plain = words.WordTokenizer.hashes
+    for keep in (1, 0):
+        monkeypatch.setattr(words.WordTokenizer, "hashes", lambda self, *a: [h * np.uint64(k) for h, k in zip(plain(self, *a), (0, keep))])
+        coder = words.WordTokenizer(PATH)
+        assert [x.tolist() for x in coder.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_very_long_text(library, monkeypatch):
+    text = " ".join(f"Some words, number {i}" for i in range(40_000))
+    assert len(text) > words.SEGMENT
+    assert words.WordTokenizer(PATH).encode_batch([text, "a", "x" * 700_000])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_third_of_the_rows_share_a_null_id(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 8)
+    rows = [(None if i % 3 == 0 else i, f"text number {i} " * (i % 5), "s") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    tokens = packing.tokenize(docs, PATH).selectExpr("row", "source", "n", "id")
+    parts = tokens.selectExpr("id", "pmod(xxhash64(id, row), 30) as slice").where("id IS NULL").distinct()
+    assert parts.count() > 20
+    pieces = packing.pack(docs, PATH, window=128, packet=32).collect()
+    assert sum(p.length for p in pieces) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    ends = sorted((p.sequence_id, p.offset, p.offset + p.length) for p in pieces)
+    assert all(a[2] == b[1] if a[0] == b[0] else a[2] == 128 and b[1] == 0 for a, b in zip(ends, ends[1:]))
+
+
 def check(pieces, rows, library, window):
     """Every id once, gapless full windows but the last; returns tokens by (window, source)."""
     by_doc, by_window, shares = defaultdict(list), defaultdict(list), defaultdict(int)
