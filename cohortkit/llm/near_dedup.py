@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.llm.components import components
@@ -15,12 +15,13 @@ from cohortkit.session import ship_code, written
 
 # Fixed values of the contract: words of a shingle, least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-# Of two sets of that similarity at least this share of the summed sizes is common.
-LEAST_SHARE = SIMILARITY / (1 + SIMILARITY)
-# Bands and registers of a band: a pair at the least similarity shares a band with probability 0.9993.
-BANDS, ROWS = 24, 6
-# Further rounds of centres while the open pairs outnumber the open places by this factor.
-CENTRE_ROUNDS, OPEN_FACTOR = 2, 4
+# Of two sets of that similarity at most this share of the summed sizes is in one of them alone.
+MOST_APART = (1 - SIMILARITY) / (1 + SIMILARITY)
+# Long shingles weigh up to this much more in the sketch, LETTERS characters and beyond the most.
+EXTRA, LETTERS = 0.1, 50
+# Bands and registers of a band: a pair of sets at the least similarity has at least 0.784 of the weights in common
+# and shares a band with probability 0.996 at least, 0.998 if its weights are alike; one at 0.5 does with 0.13.
+BANDS, ROWS = 36, 8
 # Rows sketched at once, words kept by the cache of hashes.
 BATCH, CACHE = 1_000, 300_000
 # A text with at least 1/HOT_SHARE of all rows is spread over SPREAD tasks; there are at most HOT_SHARE of them.
@@ -65,7 +66,11 @@ class Sketcher:
         self.hashes: dict[str, int] = {}
 
     def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, shingle hash, weight) of the distinct shingles. All weigh 1, so registers agree with the verified similarity."""
+        """(text number, shingle hash, weight) of the distinct shingles.
+
+        A shingle weighs the same in every text, by the length of its words: rare wording counts for more, and how
+        often a text repeats it does not matter, as in the verified similarity of sets.
+        """
         split = [t.split(" ") if t else [] for t in texts]
         new = set().union(*split).difference(self.hashes)
         self.hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
@@ -80,15 +85,17 @@ class Sketcher:
         last = np.repeat(np.cumsum(lengths), counts)
         hashed = np.zeros(len(doc), np.uint64)
         padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+        letters = np.concatenate([[0], np.cumsum(np.fromiter((len(w) for s in split for w in s), np.int64, len(words)))])
+        weight = 1 + EXTRA * np.minimum(letters[np.minimum(first + SHINGLE, last)] - letters[first], LETTERS) / LETTERS
         for j in range(SHINGLE):
             hashed = hashed * _BASE + np.where(first + j < last, padded[first + j], np.uint64(0)) + _GOLDEN
         hashed = _mix(hashed)
         order = np.lexsort((hashed, doc))
-        doc, hashed = doc[order], hashed[order]
+        doc, hashed, weight = doc[order], hashed[order], weight[order]
         begins = np.ones(len(doc), bool)
         begins[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])
         at = np.flatnonzero(begins)
-        return doc[at], hashed[at], np.ones(len(at))
+        return doc[at], hashed[at], weight[at]
 
     def registers_of(self, n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The element whose first arrival is earliest, for every register of every text.
@@ -144,26 +151,52 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return written(rows.select("id", text_key(F.col("text")).alias("key"), made("text").alias("_s")).select("id", "key", "_s.*"), "sketches")
 
 
+class Sets:
+    """The shingle sets of the last texts."""
+
+    def __init__(self):
+        self.seen: dict[str, set[str]] = {}
+
+    def of(self, text: str) -> set[str]:
+        if text not in self.seen:
+            if len(self.seen) >= 64:
+                self.seen.clear()
+            self.seen[text] = shingles(text)
+        return self.seen[text]
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    first = texts.select(F.col("key").alias("a"), F.col("text").alias("_text_a"))
+    second = texts.select(F.col("key").alias("b"), F.col("text").alias("_text_b"))
+    return pairs.join(second, "b").join(first, "a")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Add ``similarity``, the exact Jaccard similarity of the shingle sets, to pairs (a, b) of keys."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        seen: dict[str, set[str]] = {}
+        sets = Sets()
+        for left, right in batches:
+            yield pd.Series([jaccard(sets.of(a), shingles(b)) for a, b in zip(left, right)], dtype=float)
+
+    return _with_texts(pairs, texts).withColumn("similarity", F.pandas_udf(run, "double")("_text_a", "_text_b")).drop("_text_a", "_text_b")
 
-        def of(text: str) -> set[str]:
-            if text not in seen:
-                if len(seen) >= 64:
-                    seen.clear()
-                seen[text] = shingles(text)
-            return seen[text]
 
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``similarity`` and ``apart``, the hashes of the shingles that only one of the two texts has, to pairs."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        sets = Sets()
         for left, right in batches:
-            yield pd.Series([jaccard(of(a), shingles(b)) for a, b in zip(left, right)], dtype=float)
+            similar, apart = [], []
+            for a, b in zip(left, right):
+                x, y = sets.of(a), shingles(b)
+                similar.append(jaccard(x, y))
+                apart.append(np.array([xxhash.xxh64_intdigest(s) for s in x ^ y], np.uint64).view(np.int64))
+            yield pd.DataFrame({"similarity": similar, "apart": apart})
 
-    first = texts.select(F.col("key").alias("a"), F.col("text").alias("_text_a"))
-    second = texts.select(F.col("key").alias("b"), F.col("text").alias("_text_b"))
-    both = pairs.join(second, "b").join(first, "a")
-    return both.withColumn("similarity", F.pandas_udf(run, "double")("_text_a", "_text_b")).drop("_text_a", "_text_b")
+    found = F.pandas_udf(run, "similarity double, apart array<bigint>")("_text_a", "_text_b")
+    return _with_texts(pairs, texts).withColumn("_f", found).select(*pairs.columns, "_f.*")
 
 
 def _within(x: str, y: str) -> Column:
@@ -180,11 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids class_id is null. Rows that repeat id and text are all kept when their id is. An empty table
     gives no rows; other columns are not read. Runs jobs when called.
 
-    In every bucket all nodes are compared with one of them, then with further ones while that leaves many
-    pairs open. Where the verified links still leave the nodes of a bucket in several components, all pairs
-    across components are compared too, except those that a bound rules out: their sizes, the shingles they
-    share with any open text, or their distances from the bucket's first centre (Jaccard distance is a metric). So no pair that shares a band is left undecided that could
-    change a class, and the pairs inside a large group of copies are not made.
+    The sketch is of weighted shingles (see ``Sketcher.elements``), the link rule is of plain sets; so many bands
+    are used that sets at the least similarity meet with the probability stated there. In every bucket all
+    nodes are compared with one of them, its centre. Where these links leave the nodes of a bucket in several
+    components, further pairs are found by what sets nodes apart from their centre (see ``crossing_pairs``). So
+    no pair that shares a band is left undecided that could change a class, and neither the pairs inside a
+    large group of copies nor those of a crowd of merely similar texts are made. A very long text is one row
+    of its task; its sets grow with it.
     """
     sketches = sketch(docs, id_col, text_col)
     nodes = written(sketches.where(F.col("size") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
@@ -194,36 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sizes = nodes.select(F.col("key").alias("a"), F.col("size").alias("size_a"))
     stars = members.where(F.col("key") != F.col("centre")).select(F.col("centre").alias("a"), F.col("key").alias("b"), F.col("size").alias("size_b")).distinct().join(sizes, "a")
-    pairs = written(stars, "pairs")
     wanted = members.select("key").distinct()
     texts = docs.select(normalised(F.col(text_col)).alias("text")).withColumn("key", text_key(F.col("text")))
     # Copies are merged before and after they are shuffled; the join is the same at every size.
     needed = written(texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "key", "left_semi"), "texts")
-    checked = written(verify(pairs.where(_within("size_a", "size_b")), needed).select("a", "b", "similarity"), "stars")
-    star_links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-
-    links, labelled, mixed = _more_centres(_open_places(members, star_links, needed), star_links, needed)
-    known = pairs.join(checked, ["a", "b"], "left").select(
-        F.col("a").alias("centre"),
-        F.col("b").alias("key"),
-        (1 - F.coalesce("similarity", F.least("size_a", "size_b") / F.greatest("size_a", "size_b"))).alias("nearest"),
-        (1 - F.coalesce("similarity", F.lit(0.0))).alias("farthest"),
-    )
-    # The centre itself is decided against every node of its bucket.
-    open_nodes = written(labelled.join(mixed, ["band", "bucket"], "left_semi").join(known, ["centre", "key"]), "open")
-
-    def side(mark: str) -> DataFrame:
-        return open_nodes.select("band", "bucket", *[F.col(c).alias(f"{mark}_{c}") for c in ("key", "size", "shared", "component", "nearest", "farthest")])
-
-    reach = 1 - SIMILARITY + 1e-9
-    crossing = side("x").join(side("y"), ["band", "bucket"]).where(
-        (F.col("x_component") < F.col("y_component"))
-        & _within("x_size", "y_size")
-        & (F.least("x_shared", "y_shared") >= LEAST_SHARE * (F.col("x_size") + F.col("y_size")) - 1e-9)
-        & (F.col("x_nearest") - F.col("y_farthest") <= reach)
-        & (F.col("y_nearest") - F.col("x_farthest") <= reach)
-    ).select(F.col("x_key").alias("a"), F.col("y_key").alias("b")).distinct()
-    across = verify(crossing, needed).where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    checked = written(differences(stars, needed).withColumn("star", F.monotonically_increasing_id()), "stars")
+    links = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    component = written(components(links).withColumnRenamed("node", "key"), "components")
+    across = verify(crossing_pairs(members, checked, component), needed).where(F.col("similarity") >= SIMILARITY).select("a", "b")
     final = components(links.unionByName(across))
 
     named = nodes.select("key", "rows").join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).select("key", "rows", "class")
@@ -233,56 +246,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _attach(sketches, classes, id_col)
 
 
-def _open_places(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members, with ``shared``, that can still be linked to another component of their bucket.
-
-    ``shared`` counts the shingles of a node that also occur in another node of an undecided bucket. Two nodes
-    have at most as many in common as either shares at all, so a node whose changes are its own cannot be
-    linked, however often its bucket is met.
-    """
-    place = ["band", "bucket"]
-    component = components(links).withColumnRenamed("node", "key")
-    labelled = written(members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key")), "labelled")
-    mixed = labelled.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("_least")).where(F.col("low") < F.col("high"))
-    undecided = written(labelled.join(mixed.select(*place, "_least"), place).drop("component"), "undecided")
-
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([np.array([xxhash.xxh64_intdigest(s) for s in shingles(t)], np.uint64).view(np.int64) for t in batch], dtype=object)
-
-    hashed = texts.join(undecided.select("key").distinct(), "key", "left_semi").select("key", F.pandas_udf(run, "array<bigint>")("text").alias("s"))
-    each = written(hashed.select("key", F.explode("s").alias("s")), "shingles")
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1).select("s")
-    shared = each.join(common, "s").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
-    return undecided.join(shared, "key").where(F.col("shared") >= LEAST_SHARE * (F.col("size") + F.col("_least")) - 1e-9).drop("_least")
-
-
-def _more_centres(members: DataFrame, links: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, members with their component, and the (band, bucket) whose members lie in several components.
+def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with one centre, in different components, that can still be similar enough.
 
-    Each round picks one more centre in every such bucket, another one in each band, and compares it with the
-    members of other components: as many pairs as places. It ends when the pairs that are open are few.
+    With |xy| for the number of shingles that only one of x and y has, x and y are similar enough when |xy| <=
+    (|x| + |y|) / 9. A node x that is not linked to its centre c has |xc| > (|x| + |c|) / 9. As |xy| is |xc| + |yc|
+    less twice what these differences have in common, two nodes of which one is not linked must share more than
+    (|yc| + (|c| - |y|) / 9) / 2 of them, seen from y, the one that may be linked; seen from x that leaves
+    (|xc| - (|x| + |c|) / 9) / 2. Two sets that share t members share one among the first |set| - t + 1 of each, in
+    any fixed order: here the rarest come first, as in a crowd most differences belong to a single node. So
+    pairs meet on these few members alone. The order is that of ``h``, which names centre and shingle.
     """
     place = ["band", "bucket"]
-    turn = 0
-    while True:
-        component = components(links).withColumnRenamed("node", "key")
-        labelled = written(members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key")), "labelled")
-        # First the node with the fewest shingles of its own, as most others derive from its like; then any.
-        own = (F.col("size") - F.col("shared")) / F.col("size") if turn == 0 else F.lit(0.0)
-        drawn = F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "band", "key").alias("draw"), "key", "component", "size")
-        parts = labelled.groupBy(*place, "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("centre"))
-        buckets = parts.groupBy(*place).agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.min("centre").alias("centre")
-        ).where(F.col("parts") > 1)
-        mixed = written(buckets.select(*place, "n", "inside", F.col("centre.key").alias("a"), F.col("centre.component").alias("_component"), F.col("centre.size").alias("_size")), "mixed")
-        open_pairs = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("places")).first()
-        if turn == CENTRE_ROUNDS or open_pairs.pairs <= OPEN_FACTOR * open_pairs.places:
-            return links, labelled, mixed.select(*place)
-        met = labelled.join(mixed, place).where((F.col("component") != F.col("_component")) & _within("size", "_size"))
-        pairs = written(met.select("a", F.col("key").alias("b")).distinct(), "pairs")
-        more = verify(pairs, texts).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-        links = written(links.unionByName(more), "links")
-        turn += 1
+    labelled = members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = labelled.groupBy(*place).agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select(*place)
+    undecided = members.join(mixed, place, "left_semi").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    apart = F.size("apart")
+    own = (apart + (F.col("size_a") - F.col("size_b")) * MOST_APART) / 2
+    other = (apart - (F.col("size_a") + F.col("size_b")) * MOST_APART) / 2
+    nodes = written(
+        stars.join(undecided, ["a", "b"], "left_semi")
+        .join(component.withColumnRenamed("key", "b"), "b", "left")
+        .select(
+            "star",
+            F.col("b").alias("key"),
+            F.col("size_b").alias("size"),
+            F.coalesce("component", "b").alias("component"),
+            (F.col("similarity") >= SIMILARITY).alias("linked"),
+            apart.alias("n"),
+            # Rounding may only let more members in.
+            (apart - F.floor(own - 1e-6)).alias("few"),
+            (apart - F.greatest(F.lit(1), F.ceil(other - 1e-6)) + 1).alias("many"),
+            F.transform("apart", lambda s: F.xxhash64("a", s)).alias("apart"),
+        ),
+        "open",
+    )
+    met = Window.partitionBy("h")
+    each = nodes.select("star", "n", "few", F.when(F.col("linked"), F.col("few")).otherwise(F.greatest("few", "many")).alias("most"), F.explode("apart").alias("h"))
+    # Members of a single node take the first places and meet nothing.
+    shared = each.withColumn("nodes", F.count(F.lit(1)).over(met)).where(F.col("nodes") > 1)
+    ranked = Window.partitionBy("star").orderBy("nodes", "h")
+    rank = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("star")) + F.row_number().over(ranked)
+    first = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select("star", "h", (F.col("rank") <= F.col("few")).alias("short"))
+    told = nodes.select("star", "key", "size", "component", "linked", "n")
+    rows = written(first.join(told, "star"), "prefixes")
+
+    def side(mark: str, these: DataFrame) -> DataFrame:
+        return these.select("h", *[F.col(c).alias(f"{mark}_{c}") for c in ("star", "key", "size", "component", "linked", "n", "short")])
+
+    limit = (F.col("x_size") + F.col("y_size")) * MOST_APART + 1e-6
+    found = side("x", rows.where("short")).join(side("y", rows.where("NOT linked")), "h").where(
+        (F.col("x_linked") | (F.col("y_short") & (F.col("x_star") < F.col("y_star"))))
+        & (F.col("x_component") != F.col("y_component"))
+        & _within("x_size", "y_size")
+        & (F.abs(F.col("x_n") - F.col("y_n")) <= limit)
+    )
+    return found.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def _attach(sketches: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
