@@ -8,7 +8,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -19,11 +18,11 @@ from pyspark.sql import functions as F
 from cohortkit.session import ship_code, written
 
 # Labelled rows in the index and for calibration (expected sizes of the samples, per class at most half).
-INDEX_DOCS, CALIBRATION_DOCS = 4_000, 4_000
+INDEX_DOCS, CALIBRATION_DOCS = 1_600, 2_000
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = 3
 # Words outside of the examples whose counts every task holds; the counts of all others are joined.
-COMMON = 200_000
+COMMON = 100_000
 # Words counted by a task before it passes them on.
 FLUSH = 500_000
 LETTERS = regex.compile(r"\p{L}+")
@@ -205,29 +204,6 @@ def _common(counts: DataFrame) -> dict[str, int]:
     return dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist()))
 
 
-class Finder:
-    """Counts the words of a vocabulary in a text, in one pass over its characters."""
-
-    def __init__(self, vocabulary):
-        self.automaton = ahocorasick.Automaton()
-        for term in vocabulary:
-            self.automaton.add_word(term, term)
-        self.empty = not len(self.automaton)
-        if not self.empty:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if not text or self.empty:
-            return out
-        low = text.lower()
-        for end, term in self.automaton.iter(low):
-            start = end - len(term) + 1
-            if not (start and low[start - 1].isalpha()) and not low[end + 1 : end + 2].isalpha():
-                out[term] += 1
-        return out
-
-
 def build_index(rows: list[tuple], weight_of: dict[str, float], others: dict[str, float] | None = None) -> Index:
     """Index of (id, label, {term: count}) rows by the weights of all their terms; rows without words carry no evidence.
 
@@ -284,11 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, index_docs: int = INDEX_DOCS, calibr
 
     ``docs`` are the rows to learn labels from; ``all_docs`` (else ``docs``) those that count for the IDF. A word
     weighs its IDF, times the root of 1 + G where G tells how much its presence in the examples depends on the label
-    (0 for words that no example has). No word is left out. Without labelled rows of both classes, or without words, the
+    (0 for words that no example has). No word is left out. A row with both labels counts as toxic. Without labelled rows of both classes, or without words, the
     index is empty.
     """
     ship_code(docs.sparkSession)
-    marked = labels.select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["_l"])
+    marked = labels.select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("_l").agg(F.max("label").alias("label"))
     ids = docs.select(F.col(id_col).alias("id"))
     labelled = written(marked.select(F.col("_l").alias("id"), "label").join(ids, "id", "left_semi"), "labelled")
     # No more rows than the two parameters ask for, so they can go to every task.
@@ -345,7 +321,13 @@ def _judged(rows: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
         vocabulary, mark = index.vocabulary, TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
+            # Texts that are equal are searched once per batch.
+            same: dict[str | None, tuple] = {}
             for text in batch:
+                if text in same:
+                    out.append((mark, *same[text]))
+                    mark += 1
+                    continue
                 counts = Counter(terms(text))
                 numbers = [vocabulary.get(t, -1) for t in counts]
                 at, n = np.array(numbers, np.int64), np.fromiter(counts.values(), np.int64, len(counts))
@@ -353,7 +335,8 @@ def _judged(rows: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
                 weights = index.weights(at[numbered], n[numbered])
                 found, products = index.nearest(at[numbered], weights)
                 rest = [t for t, i in zip(counts, numbers) if i < 0]
-                out.append((mark, found, products, float((weights**2).sum()), rest, n[~numbered]))
+                same[text] = found, products, float((weights**2).sum()), rest, n[~numbered]
+                out.append((mark, *same[text]))
                 mark += 1
             yield pd.DataFrame(out, columns=["mark", "found", "products", "square", "rest", "times"])
 
@@ -385,8 +368,8 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     ``evidence`` holds the nearest examples with a common word; their ids are given as text. Null and empty
     texts, and texts without a word of the examples, get the share of toxic rows among such labelled texts.
-    Repeated rows are scored one by one; an empty table gives no rows; other columns are not read. Runs jobs
-    when called.
+    Repeated rows get equal scores, row by row; an empty table gives no rows; other columns are not read. A very
+    long text is one row of its task: its words are counted whole. Runs jobs when called.
     """
     kept = [id_col, *(more or [])]
     rows = docs.select(*kept, F.col(text_col).alias("_text"))

@@ -23,12 +23,6 @@ def test_search_is_exact():
         assert np.allclose(cosines, every[best]) and np.allclose(every[found], cosines)
 
 
-def test_words_are_found_whole():
-    finder = op.Finder(["bad", "badly", "é"])
-    assert finder.counts("Bad badly, BAD-é xbad bad1 bady bad") == {"bad": 4, "badly": 1, "é": 1}
-    assert finder.counts(None) == {} and op.Finder([]).counts("bad") == {}
-
-
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "concat('plain words number ', id, case when id % 4 = 0 then ' nasty nasty' else ' kind' end) as text", "'k' as label")
@@ -44,6 +38,14 @@ def test_scores_and_evidence(spark, labelled):
     assert got[1].score > 0.9 > 0.1 > got[2].score and all(e.label == 1 for e in got[1].evidence) and got[3].evidence == []
 
 
+def test_a_row_with_both_labels_is_toxic(spark, labelled):
+    docs, labels = labelled
+    both = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0).cast("int")))
+    texts = spark.createDataFrame([(1, "so nasty"), (2, "so kind")], "doc_id long, text string")
+    scores = [sorted((r.doc_id, round(r.score, 9)) for r in op.score(texts, op.fit(docs, given)).collect()) for given in (labels, both.repartition(7))]
+    assert scores[0] == scores[1]
+
+
 def test_no_labels_one_class_and_no_rows(spark, labelled):
     docs, labels = labelled
     for given in (labels.limit(0), labels.where("toxic = 0"), labels.selectExpr("doc_id", "cast(null as int) as toxic")):
