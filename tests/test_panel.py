@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortkit.functions import calendar as cal
-from cohortkit.functions.ranges import join_in_range
 from cohortkit.operators import panel
 from cohortkit.plans import bindings as b
 
@@ -222,10 +221,3 @@ def test_more_share_fewer_units(spark, year2000):
     data = active(spark, {i: i for i in range(1, 14)})
     counts = [panel.stable_units(data, year2000, START, END, time_share=s).count() for s in (0, 25, 50, 75, 100)]
     assert counts == sorted(counts, reverse=True) and counts[-1] == 1
-
-
-def test_range_join_against_brute_force(spark):
-    points = [(p,) for p in (19991231, 20000101, 20000615, 20001231, 20010101)]
-    spans = [(1, 19990101, 20000101), (2, 20000616, 20001230), (3, 20001231, 20020101), (4, 20000501, 20000401)]
-    got = join_in_range(spark.createDataFrame(points, "p int"), spark.createDataFrame(spans, "i int, s int, e int"), "p", "s", "e")
-    assert sorted((r.p, r.i) for r in got.collect()) == sorted((p, i) for (p,) in points for i, s, e in spans if s <= p <= e)
