@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import pandas as pd
 import regex
@@ -175,8 +175,9 @@ class Encoder:
     def stream(self, blocks: Iterable[str]) -> Iterator[int]:
         """Ids of a text that arrives in blocks, each as soon as it is stable, in constant memory.
 
-        A match ends for good when it does not reach into the last TAIL characters; a run longer than a
-        block goes to the transducer part by part. Special tokens are ordinary text here.
+        A space between two other characters starts a piece of its own, so a block is encoded up to its last
+        one. Without one, a match ends for good when it does not reach into the last TAIL characters; a run
+        longer than a block goes to the transducer part by part. Special tokens are ordinary text here.
         """
         held, run, piece = "", None, None
         for block in chain(blocks, [None]):
@@ -184,6 +185,9 @@ class Encoder:
             held += block or ""
             final = len(held) if last else len(held) - TAIL
             while at < final:
+                if run is None and (cut := self._last_cut(held, at, final)) > at:
+                    yield from self._plain(held[at:cut])
+                    at = cut
                 if run is not None:
                     end = match.end() if (match := run.match(held, at)) else at
                     # The last blank of a run belongs to what follows it, or stands alone.
@@ -210,6 +214,26 @@ class Encoder:
             held = held[at:]
 
 
+    @staticmethod
+    def _last_cut(text: str, start: int, stop: int) -> int:
+        """The last space of ``text[start:stop]`` with other characters than blanks beside it, else ``start``."""
+        cut = text.rfind(" ", start + 1, stop)
+        while cut > start and (text[cut - 1].isspace() or cut + 1 >= len(text) or text[cut + 1].isspace()):
+            cut = text.rfind(" ", start + 1, cut)
+        return max(cut, start)
+
+    def tokens(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text block by block, in constant memory besides the text; special tokens become their ids."""
+        parts = self.merges.split_special.split(text) if any(t in text for t in self.merges.special) else [text]
+        for part in parts:
+            if part in self.merges.special:
+                yield [self.merges.special[part]]
+                continue
+            ids = self.stream(part[i : i + BLOCK] for i in range(0, len(part), BLOCK))
+            while some := list(islice(ids, BLOCK)):
+                yield some
+
+
 class Decoder:
     """Ids in, text out: bytes of a character that is not complete yet are held back."""
 
@@ -263,7 +287,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Digests of encoding and decoding, without moving ids out of the worker.
 
     ``id_col``, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8). The same rows as
-    ``encode`` followed by ``decode``.
+    ``encode`` followed by ``decode``. A text goes through the transducer block by block and its ids are hashed
+    and decoded as they come, so a very long text needs no more memory than its characters.
     """
     ship_code(docs.sparkSession)
 
@@ -272,12 +297,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         names = _names(path)
         rows = []
         for text in texts:
-            ids = coder.encode(text or "")
-            machine, hashed = Decoder(coder.merges), sha256()
-            for i in range(0, len(ids), BLOCK):
-                hashed.update(machine.feed(ids[i : i + BLOCK]).encode())
-            hashed.update(machine.close().encode())
-            rows.append((len(ids), sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashed.hexdigest()))
+            machine, n = Decoder(coder.merges), 0
+            listed, decoded = sha256(), sha256()
+            for ids in coder.tokens(text or ""):
+                listed.update(((("," if n else "") + ",".join(map(names.__getitem__, ids)))).encode())
+                decoded.update(machine.feed(ids).encode())
+                n += len(ids)
+            decoded.update(machine.close().encode())
+            rows.append((n, listed.hexdigest(), decoded.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = F.pandas_udf(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

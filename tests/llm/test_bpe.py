@@ -46,6 +46,18 @@ def test_stream_in_blocks(library, coder, monkeypatch):
             assert list(coder.stream(text[i : i + size] for i in range(0, len(text), size))) == ids(library, text), (text, size)
 
 
+def test_tokens_block_by_block(library, coder, monkeypatch):
+    """Special tokens at and across the borders of blocks, and texts without a place to cut."""
+    monkeypatch.setattr(bpe, "BLOCK", 40)
+    dice = random.Random(4)
+    texts = HARD + ["y" * n + "<|endoftext|>" + " z" * n for n in (0, 1, 27, 28, 39, 40, 41)] + ["<|endoftext|>" * 9, "<|endoftext|", "a <|endoftext|> b"]
+    texts += [noise(dice, 60) + dice.choice(["<|endoftext|>", "x y ", ""]) + noise(dice, 60) for _ in range(300)]
+    for text in texts:
+        parts = list(coder.tokens(text))
+        assert [i for p in parts for i in p] == ids(library, text), text
+        assert all(len(p) <= 40 for p in parts)
+
+
 def test_transducer_holds_little(library, coder):
     stream, dice, given, held = bpe.Transducer(coder.merges), random.Random(3), [], 0
     text = "".join(dice.choice("abcde") for _ in range(20_000))
