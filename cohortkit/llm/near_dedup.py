@@ -255,7 +255,8 @@ def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -
     (|yc| + (|c| - |y|) / 9) / 2 of them, seen from y, the one that may be linked; seen from x that leaves
     (|xc| - (|x| + |c|) / 9) / 2. Two sets that share t members share one among the first |set| - t + 1 of each, in
     any fixed order: here the rarest come first, as in a crowd most differences belong to a single node. So
-    pairs meet on these few members alone. The order is that of ``h``, which names centre and shingle.
+    pairs meet on these few members alone; a pair's own t, which its sizes tell, rules most meetings out. The order
+    is that of ``h``, which names centre and shingle.
     """
     place = ["band", "bucket"]
     labelled = members.join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -287,12 +288,12 @@ def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -
     shared = each.withColumn("nodes", F.count(F.lit(1)).over(met)).where(F.col("nodes") > 1)
     ranked = Window.partitionBy("star").orderBy("nodes", "h")
     rank = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("star")) + F.row_number().over(ranked)
-    first = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select("star", "h", (F.col("rank") <= F.col("few")).alias("short"))
+    first = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select("star", "h", "rank", (F.col("rank") <= F.col("few")).alias("short"))
     told = nodes.select("star", "key", "size", "component", "linked", "n")
     rows = written(first.join(told, "star"), "prefixes")
 
     def side(mark: str, these: DataFrame) -> DataFrame:
-        return these.select("h", *[F.col(c).alias(f"{mark}_{c}") for c in ("star", "key", "size", "component", "linked", "n", "short")])
+        return these.select("h", *[F.col(c).alias(f"{mark}_{c}") for c in ("star", "key", "size", "component", "linked", "n", "rank", "short")])
 
     limit = (F.col("x_size") + F.col("y_size")) * MOST_APART + 1e-6
     found = side("x", rows.where("short")).join(side("y", rows.where("NOT linked")), "h").where(
@@ -300,6 +301,7 @@ def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -
         & (F.col("x_component") != F.col("y_component"))
         & _within("x_size", "y_size")
         & (F.abs(F.col("x_n") - F.col("y_n")) <= limit)
+        & (F.greatest(F.col("x_rank") - F.col("x_n"), F.col("y_rank") - F.col("y_n")) < 1 - (F.col("x_n") + F.col("y_n") - limit) / 2)
     )
     return found.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
