@@ -204,9 +204,12 @@ def _within(x: str, y: str) -> Column:
     return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, class_id (least id of its class), kept (whether it is that one).
 
+    ``with_keys`` adds ``key`` (``text_key`` of the normalised text) and ``class_key`` (one key that names the class,
+    also where ids are null; null for texts without words).
+
     Two texts are linked when they share a band and the Jaccard similarity of their sets of ``SHINGLE``
     words is at least ``SIMILARITY``; a class is what links connect. Texts with the same normalised words
     are one node. Texts without words are alone, each row in its own class. Null ids come last; in a class of
@@ -242,8 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.select("key", "rows").join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).select("key", "rows", "class")
     least = sketches.groupBy("key").agg(F.min("id").alias("least"))
     ids = named.join(least, "key").groupBy("class").agg(F.min("least").alias("class_id"))
-    classes = written(named.join(ids, "class").select("key", "rows", "class_id"), "classes")
-    return _attach(sketches, classes, id_col)
+    classes = written(named.join(ids, "class").select("key", "rows", "class_id", F.col("class").alias("class_key")), "classes")
+    return _attach(sketches, classes, id_col, ["key", "class_key"] if with_keys else [])
 
 
 def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -> DataFrame:
@@ -306,13 +309,13 @@ def crossing_pairs(members: DataFrame, stars: DataFrame, component: DataFrame) -
     return found.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
-def _attach(sketches: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+def _attach(sketches: DataFrame, classes: DataFrame, id_col: str, more: list[str]) -> DataFrame:
     """Give every row the class of its text; the few texts with very many rows are spread over tasks."""
     rows = classes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
     hot = [bytes(r.key) for r in classes.where((F.col("rows") * HOT_SHARE >= rows) & (F.col("rows") > 1)).select("key").collect()]
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     part = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
     parts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
-    found = sketches.select("id", "key", "size").withColumn("part", part).join(classes.select("key", "class_id").withColumn("part", parts), ["key", "part"], "left")
+    found = sketches.select("id", "key", "size").withColumn("part", part).join(classes.select("key", "class_id", "class_key").withColumn("part", parts), ["key", "part"], "left")
     class_id = F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), class_id.alias("class_id"), class_id.eqNullSafe(F.col("id")).alias("kept"))
+    return found.select(F.col("id").alias(id_col), class_id.alias("class_id"), class_id.eqNullSafe(F.col("id")).alias("kept"), *more)

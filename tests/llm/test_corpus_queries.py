@@ -53,6 +53,20 @@ def test_pipeline_stages(spark):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 4096").count() <= 1
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also where ids are null or repeat, and where whole rows repeat."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = "some words that are long enough to be shingles of five words each and then some more of them here"
+    rows = [(None, "t"), (None, "t"), (None, "u"), (5, "v"), (5, "v"), (5, "w"), (7, "t "), (8, "x  y"), (9, "x y"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(None, "t"), (7, "t "), (None, "u"), (5, "v"), (5, "w"), (8, "x  y"), (3, None)], key=repr)
+    rows = [(None, words), (None, words), (None, words + " end"), (6, "lone text of one kind"), (6, "lone text of one kind"), (2, words + " of two"), (1, ""), (None, None), (None, "z z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(2, words + " of two"), (6, "lone text of one kind"), (1, ""), (None, None), (None, "z z")], key=repr)
+
+
 def test_pipeline_over_odd_rows(spark, tmp_path):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words here", "en", "s", 1), (4, "some words here", "en", "s", 1), (4, "some words here", "en", "s", 1)]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
