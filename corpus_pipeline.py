@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -40,20 +40,35 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.add_score(docs, ensemble, "_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
 
 
-def _stay(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept by some decision."""
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+def _one_each(docs: DataFrame, key: Column, chosen: DataFrame, others: Column) -> DataFrame:
+    """The rows of ``docs`` that (id, key) of ``chosen`` names, each pair once, and those where ``others`` holds.
+
+    ``rows`` of ``chosen`` tells how many rows a pair has. Only pairs with several rows are looked at again; the
+    key spreads the rows of an id, null included.
+    """
+    marked = docs.withColumn("_key", key)
+    named = chosen.select(F.col("id").alias("_id"), F.col("key").alias("_k"), "rows").hint("merge")
+    found = marked.join(named, marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").where(F.col("rows").isNotNull() | others)
+    once = found.where(F.col("rows").isNull() | (F.col("rows") == 1))
+    repeated = found.where(F.col("rows") > 1).dropDuplicates(["_id", "_key"])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the least id."""
-    return _stay(docs, exact_dedup.exact_dedup(docs))
+    """One row of each group of equal texts: one with the least id, null ids last. Of rows that also share it, one stays."""
+    key = F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    kept = exact_dedup.exact_dedup(docs).where("kept")
+    chosen = kept.groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    return _one_each(docs, key, chosen, F.lit(False))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least id."""
-    return _stay(docs, near_dedup.near_duplicates(docs))
+    """One row of each class of near duplicates: one with the least id, null ids last. Texts without words all stay."""
+    text = near_dedup.normalised(F.col("text"))
+    kept = near_dedup.near_duplicates(docs, with_keys=True).where("kept AND class_key IS NOT NULL")
+    counted = kept.groupBy("class_key", F.col("doc_id").alias("id"), "key").agg(F.count(F.lit(1)).alias("rows"))
+    first = counted.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "rows")).alias("c"))
+    return _one_each(docs, near_dedup.text_key(text), first.select("c.id", "c.key", "c.rows"), text == "")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
