@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortkit.session import ship_code, written
 
 # Labelled rows in the index and for calibration (expected sizes of the samples, per class at most half).
-INDEX_DOCS, CALIBRATION_DOCS = 1_600, 2_000
+INDEX_DOCS, CALIBRATION_DOCS = 1_000, 2_000
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = 3
 # Words outside of the examples whose counts every task holds; the counts of all others are joined.
@@ -26,11 +26,14 @@ COMMON = 100_000
 # Words counted by a task before it passes them on.
 FLUSH = 500_000
 LETTERS = regex.compile(r"\p{L}+")
+# The same for texts of ASCII alone: what is no letter becomes a space.
+ASCII_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
 def terms(text: str | None) -> list[str]:
     """Lower-case words of letters."""
-    return LETTERS.findall((text or "").lower())
+    low = (text or "").lower()
+    return low.encode().translate(ASCII_LETTERS).decode().split() if low.isascii() else LETTERS.findall(low)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

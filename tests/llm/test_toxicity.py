@@ -23,6 +23,11 @@ def test_search_is_exact():
         assert np.allclose(cosines, every[best]) and np.allclose(every[found], cosines)
 
 
+def test_words_of_ascii_texts():
+    for text in (None, "", "Don't 12a_b\x00C\n\tx--Y\x1fz", "".join(map(chr, range(128))), "é" + "".join(map(chr, range(128)))):
+        assert op.terms(text) == op.LETTERS.findall((text or "").lower())
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "concat('plain words number ', id, case when id % 4 = 0 then ' nasty nasty' else ' kind' end) as text", "'k' as label")
