@@ -53,3 +53,18 @@ def test_plan_has_no_cross_join_and_no_python(spark):
     data = spark.createDataFrame(clustered(60), "vec_id long, embedding array<double>")
     plan = op.nearest(data, data.where("vec_id < 5"), 2)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Cartesian", "NestedLoop", "Python", "Pandas"))
+
+
+def test_vectors_of_other_lengths_and_names_as_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [3.0, 4.0]), ("d", [0.0, 2.0, 0.0]), ("e", [2.0, 0.0]), ("f", [1.0])]
+    data = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    for clusters in (None, 1, 6):
+        got = sorted((r["query"], r["rank"], r.id, round(r.score, 9)) for r in op.nearest(data, data, 2, skip_self=True, clusters=clusters).collect())
+        assert got == [("a", 1, "e", 1.0), ("a", 2, "c", 0.6), ("b", 1, "d", 0.0), ("c", 1, "a", 0.6), ("c", 2, "e", 0.6), ("d", 1, "b", 0.0), ("e", 1, "a", 1.0), ("e", 2, "c", 0.6)]
+
+
+def test_a_block_gives_only_the_best_and_keeps_ties():
+    units = np.array([[1.0, 0.0]] * 500 + [[0.0, 1.0]])
+    ids = np.arange(501)[::-1]
+    row, col, score = op.best_of_block(np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([-math.inf, 0.5]), np.array([1, -1]), units, ids, 3)
+    assert row.tolist() == [0, 0, 0, 1] and ids[col].tolist() == [2, 3, 4, 0] and score.tolist() == [1.0] * 4
