@@ -7,12 +7,16 @@ building nor searching brings all its postings together. Searches read the index
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from cohortkit.session import ship_code
+
 # A word: letters and digits, in lower case.
 WORD = r"[\p{L}\p{N}]+"
 # Documents of a block (ids next to each other), folders of terms, tasks that share a folder's blocks.
@@ -30,6 +34,47 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def postings(docs: np.ndarray, words: pa.ListArray) -> pa.RecordBatch:
+    """term, block, docs, n_hits of some documents, whose words come in order: one row per term and block."""
+    # Documents in the order of their ids, so that one stable sort by term leaves their words in order.
+    by_id = np.argsort(docs, kind="stable")
+    docs, words = docs[by_id], words.take(pa.array(by_id))
+    sizes = words.value_lengths().to_numpy()
+    terms = words.flatten().dictionary_encode()
+    code, doc = terms.indices.to_numpy(), np.repeat(docs, sizes)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(code, kind="stable") if (np.diff(docs) > 0).all() else np.lexsort((pos, doc, code))
+    code, doc, pos = code[order], doc[order], pos[order]
+    block = doc // BLOCK_DOCS
+    first = np.ones(len(doc), bool)
+    new_doc, new_row = first.copy(), first
+    new_doc[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    new_row[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+    steps = np.diff(pos, prepend=0)
+    steps[new_doc] = pos[new_doc]
+    held, rows = np.flatnonzero(new_doc), np.flatnonzero(new_row)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(held, len(doc)), pa.int32()), pa.array(steps, pa.int32()))
+    pairs = pa.StructArray.from_arrays([pa.array(doc[held] - block[held] * BLOCK_DOCS, pa.int32()), lists], ["at", "steps"])
+    grouped = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(held, rows), len(held)), pa.int32()), pairs)
+    hits = pa.array(np.diff(np.append(rows, len(doc))), pa.int64())
+    return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[rows])), pa.array(block[rows], pa.int64()), grouped, hits], ["term", "block", "docs", "n_hits"])
+
+
+def _places(steps: Column) -> Column:
+    return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda done, x: done + x))
+
+
+def _merged(docs: Column) -> Column:
+    """Sorted postings with one entry per document; entries meet only if an id is repeated."""
+
+    def entry(at: Column) -> Column:
+        places = F.sort_array(F.flatten(F.transform(F.filter(docs, lambda d: d["at"] == at), lambda d: _places(d["steps"]))))
+        return F.transform(F.array(places), lambda p: F.struct(at.alias("at"), F.transform(p, lambda x, i: x - F.coalesce(F.get(p, i - 1), F.lit(0))).alias("steps")))[0]
+
+    ids = F.array_distinct(docs["at"])
+    return F.when(F.size(ids) == F.size(docs), docs).otherwise(F.transform(ids, entry))
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the index of ``docs`` at ``path``, partitioned by term folder, and return it.
 
@@ -38,19 +83,21 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise ValueError(f"id column {id_col!r} must hold whole numbers")
-    places = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    block = F.floor(F.col("doc") / BLOCK_DOCS)
-    placed = places.withColumns({"block": block, "folder": folder_of(F.col("term")), "part": F.pmod(block, F.lit(PARTS)).cast("int")})
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield postings(batch.column(0).to_numpy(), batch.column(1))
+
+    ship_code(docs.sparkSession)
+    # A row per term, block and batch of documents is shuffled, not one per word.
+    made = given.mapInArrow(run, "term string, block bigint, docs array<struct<at:int,steps:array<int>>>, n_hits bigint")
+    placed = made.withColumns({"folder": folder_of(F.col("term")), "part": F.pmod("block", F.lit(PARTS)).cast("int")})
     # Terms are grouped where the one shuffle put them: by folder and part of the blocks.
-    keys = ["folder", "part", "term", "block"]
-    per_doc = placed.repartition("folder", "part").groupBy(*keys, "doc").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    steps = F.transform("places", lambda p, i: p - F.coalesce(F.get("places", i - 1), F.lit(0)))
-    posting = F.struct((F.col("doc") - F.col("block") * BLOCK_DOCS).cast("int").alias("at"), steps.alias("steps"))
-    rows = per_doc.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(posting)).alias("docs"),
-        F.count(F.lit(1)).cast("int").alias("n_docs"),
-        F.sum(F.size("places")).cast("bigint").alias("n_hits"),
+    found = placed.repartition("folder", "part").groupBy("folder", "part", "term", "block").agg(
+        F.sort_array(F.flatten(F.collect_list("docs"))).alias("docs"), F.sum("n_hits").cast("bigint").alias("n_hits")
     )
+    rows = found.withColumn("docs", _merged(F.col("docs"))).withColumn("n_docs", F.size("docs"))
     rows.sortWithinPartitions("folder", "term", "block").drop("part").write.partitionBy("folder").parquet(path)
     return read_index(docs.sparkSession, path)
 

@@ -71,3 +71,24 @@ def test_ids_must_be_numbers_and_an_empty_table(spark, tmp_path):
     empty = op.build_index(spark.createDataFrame([], "doc_id int, text string"), str(tmp_path / "y"))
     assert op.search(empty, {"q": ["a"]}).count() == 0 and op.term_statistics(empty).count() == 0
     assert op.search(empty, {}).count() == 0
+
+
+def test_repeated_ids_and_ids_of_all_sizes(spark, tmp_path):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(3, "a b a"), (3, "b a"), (big, "a a"), (-big, "b a"), (4, "a")], "doc_id long, text string").repartition(5)
+    index = op.build_index(docs, str(tmp_path / "z"))
+    assert {r.term: (r.n_docs, r.n_hits) for r in op.term_statistics(index).collect()} == {"a": (4, 7), "b": (2, 3)}
+    assert {(r.doc, r.n_hits) for r in op.search(index, {"q": ["a"]}).collect()} == {(3, 3), (big, 2), (-big, 1), (4, 1)}
+    assert {(r.doc, r.n_hits) for r in op.search_phrases(index, {"q": ["a", "a"]}).collect()} >= {(big, 1)}
+
+
+def test_words_are_grouped_before_they_are_shuffled():
+    import numpy as np
+    import pyarrow as pa
+
+    found = op.postings(np.array([5, 4096, 1]), pa.array([["x", "y", "x"], ["x"], ["x"]])).to_pylist()
+    assert sorted((r["term"], r["block"], [(d["at"], d["steps"]) for d in r["docs"]], r["n_hits"]) for r in found) == [
+        ("x", 0, [(1, [0]), (5, [0, 2])], 3),
+        ("x", 1, [(0, [0])], 1),
+        ("y", 0, [(5, [1])], 1),
+    ]
