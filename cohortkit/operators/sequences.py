@@ -20,6 +20,9 @@ PERCENTILES = (75, 80, 90, 95, 98)
 # Tasks over which the places of one token are spread, and copies of each vocabulary entry.
 SPREAD = 8
 
+# A vocabulary of at most so many words is sent to every task, so that no token has to move to meet it.
+BROADCAST_WORDS = 100_000
+
 
 def length_percentiles(texts: DataFrame, text: str = "text", percents: Sequence[float] = PERCENTILES, truncate: bool = False) -> DataFrame:
     """Length percentiles over all sequences, interpolated; ``truncate`` cuts them to whole numbers."""
@@ -73,10 +76,14 @@ def encode(texts: DataFrame, order: str, max_words: int | None, max_length: int,
     marked = F.concat(F.array(F.lit("")), F.split(F.lower(text), r"\|"))
     parts = texts.select(order, F.posexplode(F.coalesce(marked, F.array(F.lit("")))).alias("_pos", "token"))
     placed = F.when(F.col("index").isNotNull(), F.shiftleft(F.col("_pos").cast("bigint"), 32) + F.col("index"))
+    if max_words is not None and max_words <= BROADCAST_WORDS:
+        joined = parts.join(F.broadcast(known), "token", "left")
+    else:
+        spread = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        joined = parts.withColumn("_part", F.pmod(F.xxhash64(order, "_pos"), F.lit(SPREAD)).cast("int")).join(spread, ["token", "_part"], "left")
     # The tokens of one document come from one row, so the regrouped array is no larger than that row.
     found = (
-        parts.withColumn("_part", F.pmod(F.xxhash64(order, "_pos"), F.lit(SPREAD)).cast("int"))
-        .join(known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["token", "_part"], "left")
+        joined
         .where((F.col("_pos") == 0) | F.col("index").isNotNull())
         .groupBy(order)
         .agg(F.sort_array(F.collect_list(placed)).alias("_seq"), F.count_if(F.col("_pos") == 0).alias("_docs"))

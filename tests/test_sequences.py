@@ -76,6 +76,21 @@ def test_against_brute_force(spark, vocabulary_size):
     assert seqs(sequences.encode(data, "doc", 9, 7)) == want
 
 
+def test_tokens_stay_where_a_bounded_vocabulary_can_go_to_them(spark):
+    data = texts(spark, ["b|a", "A|c|b|a", None])
+    words = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, index long")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        few, many = (sequences.encode(data, "doc", n, 3, vocab=words) for n in (3, sequences.BROADCAST_WORDS + 1))
+        plans = ["SortMergeJoin" in x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+        assert plans == [False, True]
+        assert seqs(few) == [(2, 1, 0), (1, 2, 1), (0, 0, 0)] and seqs(many) == [(2, 1, 0), (3, 2, 1), (0, 0, 0)]
+    finally:
+        spark.conf.set(key, usual)
+
+
 def test_vectors_and_matrix(spark, tmp_path):
     path = tmp_path / "vectors.txt"
     path.write_text("a 1 2\nb 3 4.5 \t\na 5 6\n")
