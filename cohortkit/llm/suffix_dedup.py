@@ -30,6 +30,8 @@ ANCHOR = 40
 BLOCK_BYTES, BLOCK_DOCS, SEGMENT, SORT_BYTES = 2**21, 20_000, 2**22, 2**20
 # Rows of an anchor from which its contexts are dealt to several owners; the share of blocks that tells so.
 HOT_ROWS, SAMPLE = 4096, 8
+# Window starts of one piece of a context of such an anchor.
+PIECE = 8
 # Factors of the hash of an anchor.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -91,6 +93,12 @@ def rank_documents(blocks: DataFrame) -> DataFrame:
 
 def anchors(data: np.ndarray, ends: np.ndarray, match: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, first window, windows) of the runs of windows with one anchor, in parts; no window crosses an end."""
+    for h, begin, n, _ in anchor_runs(data, ends, match):
+        yield h, begin, n
+
+
+def anchor_runs(data: np.ndarray, ends: np.ndarray, match: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``anchors``, and where the anchor of each run starts."""
     inside = match - ANCHOR + 1
     for at in range(0, max(0, len(data) - match + 1), SEGMENT):
         part = data[at : at + SEGMENT + match - 1]
@@ -120,7 +128,23 @@ def anchors(data: np.ndarray, ends: np.ndarray, match: int) -> Iterator[tuple[np
         fresh = np.ones(len(starts), bool)
         fresh[1:] = (chosen[starts[1:]] != chosen[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)
         begins = np.flatnonzero(fresh)
-        yield mixed[chosen[starts[begins]]].astype(np.int64), starts[begins] + at, np.diff(np.append(begins, len(starts)))
+        places = chosen[starts[begins]]
+        yield mixed[places].astype(np.int64), starts[begins] + at, np.diff(np.append(begins, len(starts))), places + at
+
+
+def pieces(begin: np.ndarray, n: np.ndarray, place: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first window, windows, first and last byte of the core) of runs cut into at most ``PIECE`` windows each.
+
+    Cut by the distance from window to anchor, so equal windows lie in pieces with equal cores: the bytes that all
+    windows at those distances share.
+    """
+    far, near = place - begin, place - begin - n + 1
+    many = far // PIECE - near // PIECE + 1
+    run = np.repeat(np.arange(len(n)), many)
+    least = (far[run] // PIECE - (np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many))) * PIECE
+    most = np.minimum(least + PIECE - 1, match - ANCHOR)
+    first, last = np.minimum(far[run], most), np.maximum(near[run], least)
+    return run, place[run] - first, first - last + 1, place[run] - least, place[run] - most + match
 
 
 def _unpack(row: dict) -> tuple[bytes, np.ndarray]:
@@ -157,19 +181,33 @@ def hot_slots(blocks: DataFrame, match: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(blocks: DataFrame, ranks: DataFrame, hot: tuple[np.ndarray, np.ndarray], match: int) -> DataFrame:
-    """(h, c, rank, block, s, n, salt): anchor, hash of the context, document, first window, windows.
+    """(h, c, rank, block, s, n, salt, core): anchor, hash of the context, document, first window, windows.
 
     Equal contexts of a block are merged here: the first one goes on, the others are covered at once. Rows
-    without ``h`` are such covers, with ``s`` as their first byte and ``n`` as their length.
+    without ``h`` are such covers, with ``s`` as their first byte and ``n`` as their length. Contexts of a hot
+    anchor go in pieces: ``salt`` deals them by content, ``core`` is the hash of what equal windows share.
     """
     slots, owners = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c", "rank", "block", "s", "n", "salt"]
+        names = ["h", "c", "rank", "block", "s", "n", "salt", "core"]
         for row in _rows(batches):
             data, edges = _unpack(row)
             view, ranked = memoryview(data), np.asarray(row["ranks"], np.int64)
-            for h, begin, n in anchors(np.frombuffer(data, np.uint8), edges[1:-1], match):
+            for h, begin, n, place in anchor_runs(np.frombuffer(data, np.uint8), edges[1:-1], match):
+                found, is_hot = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+                if len(slots):
+                    slot = (h >> 44) & 0xFFFFF
+                    found = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+                    is_hot = slots[found] == slot
+                core = np.zeros(len(h), np.int64)
+                if is_hot.any():
+                    cut, cold = np.flatnonzero(is_hot), ~is_hot
+                    of, a, b, x, y = pieces(begin[cut], n[cut], place[cut], match)
+                    shared = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) | 1 for i, j in zip(x.tolist(), y.tolist())), np.uint64, len(of)).astype(np.int64)
+                    of = cut[of]
+                    h, found, is_hot = (np.concatenate([v[cold], v[of]]) for v in (h, found, is_hot))
+                    begin, n, core = np.concatenate([begin[cold], a]), np.concatenate([n[cold], b]), np.concatenate([core[cold], shared])
                 stop = (begin + n - 1 + match).tolist()
                 c = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begin.tolist(), stop)), np.uint64, len(h)).astype(np.int64)
                 doc = np.searchsorted(edges, begin, "right") - 1
@@ -178,16 +216,10 @@ def contexts(blocks: DataFrame, ranks: DataFrame, hot: tuple[np.ndarray, np.ndar
                 first = np.ones(len(h), bool)
                 first[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
                 go, rest = order[first], order[~first]
-                slot = (h[go] >> 44) & 0xFFFFF
-                found = np.searchsorted(slots, slot)
-                is_hot = np.zeros(len(go), bool)
-                if len(slots):
-                    found = np.minimum(found, len(slots) - 1)
-                    is_hot = slots[found] == slot
-                salt = np.where(is_hot, (c[go] & 0xFFFF) % owners[found] + 1 if len(slots) else 0, 0)
+                salt = np.where(is_hot[go], (c[go] & 0xFFFF) % owners[found[go]] + 1 if len(slots) else 0, 0)
                 block = np.full(len(h), row["block"], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[go], c[go], rank[go], block[: len(go)], s[go].astype(np.int32), n[go].astype(np.int32), salt)], names
+                    [pa.array(x) for x in (h[go], c[go], rank[go], block[: len(go)], s[go].astype(np.int32), n[go].astype(np.int32), salt, core[go])], names
                 )
                 if len(rest):
                     # Covers of one document that touch become one.
@@ -196,11 +228,11 @@ def contexts(blocks: DataFrame, ranks: DataFrame, hot: tuple[np.ndarray, np.ndar
                     r, a, b = merge(r, a, b)
                     none = pa.nulls(len(r), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [none, none, *(pa.array(x) for x in (r, block[: len(r)], a.astype(np.int32), (b - a).astype(np.int32), r))], names
+                        [none, none, *(pa.array(x) for x in (r, block[: len(r)], a.astype(np.int32), (b - a).astype(np.int32), r, r))], names
                     )
 
     given = blocks.join(ranks, "block").select("block", "sizes", "data", "ranks")
-    return given.mapInArrow(run, "h bigint, c bigint, rank bigint, block bigint, s int, n int, salt bigint")
+    return given.mapInArrow(run, "h bigint, c bigint, rank bigint, block bigint, s int, n int, salt bigint, core bigint")
 
 
 def merge(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,8 +329,8 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray, start: np.ndarray, ma
 def sort_contexts(found: DataFrame, match: int) -> DataFrame:
     """(rank, block, s, n, digest): covers of windows that also start earlier in another context of the anchor.
 
-    Contexts of an anchor that were dealt to several owners, or fill more than one sort, come back window by
-    window as well: each window that is first in its sort, with a digest, for the owners to be merged.
+    Contexts that share anchor and core but fill more than one sort come back window by window as well: each
+    window that is first in its sort, with a digest, for the sorts to be merged.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +350,7 @@ def sort_contexts(found: DataFrame, match: int) -> DataFrame:
                 [pa.array(rank[who]), pa.array(block[who]), pa.array((start[who] + a).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.nulls(len(who), pa.binary())],
                 names,
             )
-            split = np.array([r["salt"] > 0 or (r["h"], r["salt"]) in cut for r in held])
+            split = np.array([(r["h"], r["core"]) in cut for r in held])
             go = ~later & split[owner]
             if go.any():
                 who, at = owner[go], offset[go]
@@ -329,19 +361,19 @@ def sort_contexts(found: DataFrame, match: int) -> DataFrame:
                 )
 
         for row in (r for batch in batches for r in batch.to_pylist()):
-            same = bool(held) and (held[-1]["h"], held[-1]["salt"]) == (row["h"], row["salt"])
+            same = bool(held) and (held[-1]["h"], held[-1]["core"]) == (row["h"], row["core"])
             if size >= SORT_BYTES and (not same or size >= 2 * SORT_BYTES):
                 if same:
-                    cut.add((row["h"], row["salt"]))
+                    cut.add((row["h"], row["core"]))
                 yield from emit()
                 held, size = [], 0
-                cut = {k for k in cut if k == (row["h"], row["salt"])}
+                cut = {k for k in cut if k == (row["h"], row["core"])}
             held.append(row)
             size += len(row["part"])
         if held:
             yield from emit()
 
-    keys = ["h", "salt"]
+    keys = ["h", "core"]
     dealt = found.select(*keys, "rank", "block", "s", "part").repartition(*keys).sortWithinPartitions(*keys, "rank", "s")
     return dealt.mapInArrow(run, "rank bigint, block bigint, s int, n int, digest binary")
 
@@ -358,15 +390,15 @@ def _parts(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
                 some = rows[k : k + 10_000]
                 begins = [at[w["rank"]] + w["s"] for w in some]
                 part = [data[a : a + w["n"]] for a, w in zip(begins, some)]
-                columns = [pa.array([w[c] for w in some], t) for c, t in (("h", pa.int64()), ("salt", pa.int64()), ("rank", pa.int64()))]
+                columns = [pa.array([w[c] for w in some], t) for c, t in (("h", pa.int64()), ("core", pa.int64()), ("rank", pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array([row["block"]] * len(some), pa.int64()), pa.array([w["s"] for w in some], pa.int32()), pa.array(part, pa.binary())],
-                    ["h", "salt", "rank", "block", "s", "part"],
+                    ["h", "core", "rank", "block", "s", "part"],
                 )
 
-    grouped = wanted.groupBy("block").agg(F.collect_list(F.struct("h", "salt", "rank", "s", "n")).alias("wanted"))
+    grouped = wanted.groupBy("block").agg(F.collect_list(F.struct("h", "core", "rank", "s", "n")).alias("wanted"))
     given = blocks.join(grouped, "block").select("block", "sizes", "data", "ranks", "wanted")
-    return given.mapInArrow(run, "h bigint, salt bigint, rank bigint, block bigint, s int, part binary")
+    return given.mapInArrow(run, "h bigint, core bigint, rank bigint, block bigint, s int, part binary")
 
 
 def _results(blocks: DataFrame, covers: DataFrame, id_col: str) -> DataFrame:
@@ -426,11 +458,14 @@ def dedup_substrings(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id"
     )
     is_cover = F.col("h").isNull() | ~F.col("first")
     kept = judged.where(is_cover | F.col("mixed")).select(
-        "h", "salt", "rank", "block", "s", F.when(F.col("h").isNull(), F.col("n")).otherwise(F.col("n") + match - 1).alias("n"), is_cover.alias("cover")
+        "h", "core", "rank", "block", "s", F.when(F.col("h").isNull(), F.col("n")).otherwise(F.col("n") + match - 1).alias("n"), is_cover.alias("cover")
     )
     rows = written(kept, "contexts")
+    # Pieces of a hot anchor are all different by now; one whose core no other has needs no sorting.
+    hot = rows.where("NOT cover AND core != 0").withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("h", "core")) - 1)
+    wanted = rows.where("NOT cover AND core = 0").unionByName(hot.where("others > 0").drop("others"))
     ranked = blocks.join(ranks, "block")
-    sorted_windows = written(sort_contexts(_parts(ranked, rows.where(~F.col("cover"))), match), "windows")
+    sorted_windows = written(sort_contexts(_parts(ranked, wanted), match), "windows")
     of_window = Window.partitionBy("digest").orderBy("rank", "s")
     merged = sorted_windows.where(F.col("digest").isNotNull()).withColumn("again", F.row_number().over(of_window) > 1).where("again")
     place = ["rank", "block", "s", "n"]

@@ -77,3 +77,34 @@ def test_repeated_rows_and_an_empty_table(spark):
     assert op.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         op.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 30)
+
+
+def test_windows_of_a_frequent_anchor_are_not_sent_one_by_one(spark, monkeypatch):
+    dice = random.Random(9)
+    word = lambda n: "".join(dice.choice("abcdefghij ") for _ in range(n))
+    line, twin = word(70), word(300)
+    rows = [(i, word(dice.randint(60, 150)) + line + word(dice.randint(60, 150))) for i in range(400)]
+    rows += [(i, twin[dice.randint(0, 90) : 150] + line + twin[150 : dice.randint(210, 300)]) for i in range(400, 440)]
+    monkeypatch.setattr(op, "HOT_ROWS", 3)
+    monkeypatch.setattr(op, "SAMPLE", 1)
+    made, written = {}, op.written
+    monkeypatch.setattr(op, "written", lambda df, name="scratch": made.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(result(op.dedup_substrings(docs))) == brute(rows, 100)
+    # The pieces that have company are sorted in one place; none of their windows needs a digest.
+    assert made["windows"].where("digest IS NOT NULL").count() == 0
+    assert made["contexts"].where("core != 0").count() > 400
+
+
+def test_a_group_beyond_one_sort_is_still_merged(spark, monkeypatch):
+    dice = random.Random(11)
+    word = lambda n: "".join(dice.choice("abcdefghij ") for _ in range(n))
+    line, tails = word(95), [word(60) for _ in range(30)]
+    rows = [(i, line + dice.choice(tails)[: dice.randint(4, 60)] + word(20)) for i in range(200)]
+    monkeypatch.setattr(op, "SORT_BYTES", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 100)
+    for hot in (3, 4096):
+        monkeypatch.setattr(op, "HOT_ROWS", hot)
+        monkeypatch.setattr(op, "SAMPLE", 1)
+        assert sorted(result(op.dedup_substrings(docs))) == want
