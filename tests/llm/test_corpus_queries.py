@@ -53,6 +53,20 @@ def test_pipeline_stages(spark):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 4096").count() <= 1
 
 
+def test_statistics_are_computed_once_for_all_rules(spark, monkeypatch):
+    names = list(corpus_pipeline.quality.statistics(F.lit("")))
+    rules = [(((n, 0.1, 0.9),), 0.5) for n in names] + [(((n, 0.2, 0.8), ("chars", 10.0, 5000.0)), -0.5) for n in names]
+    ensemble = corpus_pipeline.quality.RuleEnsemble(-1.0, rules)
+    monkeypatch.setattr(corpus_pipeline.quality, "fit", lambda *_: ensemble)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.drop_low_quality(spark, docs, SF)
+    patterns = sum("regexp_replace" in str(c) for c in corpus_pipeline.quality.statistics(F.lit("")).values())
+    assert 0 < kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= patterns
+    scored = written(corpus_pipeline.quality.add_score(docs, ensemble, "_quality"), "scored")
+    want = scored.where(F.col("_quality") >= corpus_pipeline.QUALITY).drop("_quality")
+    assert kept.exceptAll(want).isEmpty() and want.exceptAll(kept).isEmpty() and not want.isEmpty()
+
+
 def test_one_row_of_each_group_stays(spark):
     """Also where ids are null or repeat, and where whole rows repeat."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
