@@ -50,7 +50,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Graph:
-    """Written tables: nodes (node, unit), members (node, id, vector), edges (node, near: array of (score, node))."""
+    """Written tables: nodes (node, unit), members (node, id, vector), edges (node, unit, near: array of (score, node))."""
 
     nodes: DataFrame
     members: DataFrame
@@ -151,17 +151,17 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     signed = _signed(nodes.withColumn("query", F.lit(False)), mean)
     start = _merge_near(_blocks(signed, START, queries=False), DEGREE)
     # The place of a node in the first order, from 0 to 1, by its signature.
-    place = signed.where("order = 0").select(F.col("node").alias("id"), (F.col("sign") / float(2**BITS)).alias("place"))
-    edges = written(start.join(place, "id").select(F.col("id").alias("node"), "near", F.transform("near", lambda x: F.lit(True)).alias("fresh"), "place"), "edges")
+    place = signed.where("order = 0").select(F.col("node").alias("id"), "unit", (F.col("sign") / float(2**BITS)).alias("place"))
+    edges = written(start.join(place, "id").select(F.col("id").alias("node"), "unit", "near", F.transform("near", lambda x: F.lit(True)).alias("fresh"), "place"), "edges")
     total = max(1, nodes.count())
     for _ in range(ROUNDS):
-        edges, changed = _descend(nodes, edges)
+        edges, changed = _descend(edges, total)
         if changed < CHANGED * DEGREE * total:
             break
     return Graph(nodes, members, edges, mean, dim)
 
 
-def _descend(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+def _descend(edges: DataFrame, total: int) -> tuple[DataFrame, int]:
     """One round: the neighbours of every node meet, and each keeps the nearest it has met.
 
     A centre's neighbours are those it lists and those that list it. The latter are dealt into parts of about
@@ -169,21 +169,24 @@ def _descend(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     that came in the last round are skipped, as all their pairs have met. About ``TOGETHER`` meetings of
     centres that lie close in the first order share a block of work, to which each vector comes once.
     """
-    total = max(1, nodes.count())
     blocks = -(-total // TOGETHER)
-    listed = edges.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near.node").alias("other"), F.col("x.fresh").alias("fresh"))
+    listed = edges.select("node", "place", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", "place", F.col("x.near.node").alias("other"), F.col("x.fresh").alias("fresh"))
     degrees = listed.groupBy(F.col("other").alias("centre")).agg((F.floor((F.count(F.lit(1)) - 1) / PART) + 1).alias("parts"))
-    back = listed.select(F.col("other").alias("centre"), F.col("node").alias("member"), "fresh").join(degrees, "centre")
-    dealt = back.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).select("centre", "part", "member", "fresh")
-    forth = listed.select(F.col("node").alias("centre"), F.col("other").alias("member"), "fresh").join(degrees, "centre", "left")
-    own = forth.select("centre", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)).alias("part"), "member", "fresh")
-    place = edges.select(F.col("node").alias("centre"), "place")
-    met = dealt.unionByName(own).repartition("centre", "part").groupBy("centre", "part", "member").agg(F.max("fresh").alias("fresh"))
-    lists = met.groupBy("centre", "part").agg(F.collect_list("member").alias("members"), F.collect_list("fresh").alias("fresh"), F.max("fresh").alias("any")).where("any")
+    # Both ways at once, so that they meet the degrees in one join; only the centre's own rows tell its place.
+    ways = F.array(
+        F.struct(F.col("node").alias("centre"), F.col("other").alias("member"), F.lit(True).alias("own"), "place"),
+        F.struct(F.col("other").alias("centre"), F.col("node").alias("member"), F.lit(False).alias("own"), F.lit(None).cast("double").alias("place")),
+    )
+    both = listed.select(F.explode(ways).alias("x"), "fresh").select("x.*", "fresh").join(degrees, "centre", "left")
+    last = F.coalesce("parts", F.lit(1).cast("bigint")) - 1
+    dealt = F.when(F.col("own"), F.sequence(F.lit(0).cast("bigint"), last)).otherwise(F.array(F.pmod(F.xxhash64("member"), last + 1)))
+    met = both.select("centre", F.explode(dealt).alias("part"), "member", "fresh", "place").repartition("centre", "part")
+    once = met.groupBy("centre", "part", "member").agg(F.max("fresh").alias("fresh"), F.max("place").alias("place"))
+    lists = once.groupBy("centre", "part").agg(F.collect_list("member").alias("members"), F.collect_list("fresh").alias("fresh"), F.max("fresh").alias("any"), F.max("place").alias("place"))
     block = F.pmod(F.floor(F.col("place") * blocks) + F.col("part") * 7919, F.lit(blocks)).cast("int")
-    meetings = written(lists.join(place, "centre").select(block.alias("block"), "members", "fresh"), "meetings")
-    state = edges.select(F.col("node").alias("member"), F.when(F.size("near") >= DEGREE, F.element_at("near", -1)["score"]).alias("worst"))
-    guests = meetings.select(F.col("block").alias("home"), F.explode("members").alias("member")).distinct().join(nodes.withColumnRenamed("node", "member"), "member").join(state, "member", "left")
+    meetings = written(lists.where("any AND place IS NOT NULL").select(block.alias("block"), "members", "fresh"), "meetings")
+    state = edges.select(F.col("node").alias("member"), "unit", F.when(F.size("near") >= DEGREE, F.element_at("near", -1)["score"]).alias("worst"))
+    guests = meetings.select(F.col("block").alias("home"), F.explode("members").alias("member")).distinct().join(state, "member")
 
     def run(meet: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         if not len(meet):
@@ -214,9 +217,9 @@ def _descend(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     found = written(grouped.applyInPandas(run, "id bigint, other bigint, score float"), "found")
     old = edges.select(F.col("node").alias("id"), F.explode("near").alias("x")).select("id", F.col("x.node").alias("other"), F.col("x.score").alias("score"))
     merged = _merge_near(old.unionByName(found), DEGREE)
-    before = edges.select(F.col("node").alias("id"), F.transform("near", lambda x: x["node"]).alias("had"), "place")
+    before = edges.select(F.col("node").alias("id"), "unit", F.transform("near", lambda x: x["node"]).alias("had"), "place")
     marked = merged.join(before, "id", "left").select(
-        F.col("id").alias("node"), "near", F.transform("near", lambda x: ~F.coalesce(F.array_contains("had", x["node"]), F.lit(False))).alias("fresh"), "place"
+        F.col("id").alias("node"), "unit", "near", F.transform("near", lambda x: ~F.coalesce(F.array_contains("had", x["node"]), F.lit(False))).alias("fresh"), "place"
     )
     result = written(marked, "edges")
     changed = result.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("n")).first().n or 0
@@ -249,25 +252,25 @@ def search(graph: Graph, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     asked = written(asked.withColumn("unit", _pack(F.col("vector"))), "queries")
     both = graph.nodes.select("node", "unit", F.lit(False).alias("query")).unionByName(asked.select(F.col("id").alias("node"), "unit", F.lit(True).alias("query")))
     entry = _blocks(_signed(both, graph.mean), START, queries=True)
-    beam = written(_merge_near(entry, BEAM).select("id", "near", F.array().cast("array<bigint>").alias("visited")), "beam")
+    none = F.array().cast("array<bigint>")
+    beam = _stepped(_merge_near(entry, BEAM).join(asked.select("id", "unit"), "id").withColumn("visited", none))
     forth = graph.edges.select("node", F.explode("near").alias("x")).select("node", F.col("x.node").alias("other"))
     ways = written(forth.unionByName(forth.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "ways")
     blocks = -(-max(1, graph.nodes.count()) // TOGETHER)
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
     homes = written(graph.nodes.select(block, "node", "unit"), "homes")
     for _ in range(STEPS):
-        nodes = F.transform("near", lambda x: x["node"])
-        step = written(beam.select("id", F.slice(F.array_except(nodes, F.col("visited")), 1, VISITS).alias("next"), "near", "visited"), "visits")
-        front = step.select("id", F.explode("next").alias("node"))
+        front = beam.select("id", F.explode("next").alias("node"))
         if front.isEmpty():
             break
-        reached = front.join(ways, "node").select("id", F.col("other").alias("node")).distinct()
-        floor = F.when(F.size("near") >= BEAM, F.element_at("near", -1)["score"])
-        asking = step.join(asked.select("id", "unit"), "id").select("id", "unit", floor.alias("worst"))
-        scored = _scores(reached.select("id", "node", block), asking, homes)
-        held = step.select("id", F.explode("near").alias("x")).select("id", F.col("x.node").alias("other"), F.col("x.score").alias("score"))
-        merged = _merge_near(held.unionByName(scored), BEAM)
-        beam = written(merged.join(step.select("id", F.array_union("visited", "next").alias("visited")), "id"), "beam")
+        reached = front.join(ways, "node").select("id", F.col("other").alias("node"))
+        found = _scores(reached.select("id", "node", block), beam, homes)
+        best = found.groupBy("id").agg(F.collect_list(F.struct("score", (-F.col("other")).alias("behind"))).alias("found"))
+        # What was found is not in the beam yet, and no node is found twice.
+        held = F.transform("near", lambda x: F.struct(x["score"].alias("score"), (-x["node"]).alias("behind")))
+        joined = beam.join(best, "id", "left").withColumn("all", F.when(F.col("found").isNull(), held).otherwise(F.concat(held, "found")))
+        near = F.transform(F.slice(F.sort_array("all", asc=False), 1, BEAM), lambda x: F.struct(x["score"].alias("score"), (-x["behind"]).alias("node")))
+        beam = _stepped(joined.select("id", "unit", near.alias("near"), "visited"))
 
     few = Window.partitionBy("node").orderBy("id")
     # k + 1 least ids of a node are enough: they tie, and one may be the query itself.
@@ -280,12 +283,23 @@ def search(graph: Graph, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scores(pairs: DataFrame, asking: DataFrame, homes: DataFrame) -> DataFrame:
-    """(id, other, score) of pairs (id, node, block) whose cosine is above the query's worst one so far.
+def _stepped(beam: DataFrame) -> DataFrame:
+    """The beam (id, unit, near, visited) written with ``next``, the nodes to visit now, which count as visited."""
+    nodes = F.transform("near", lambda x: x["node"])
+    ahead = beam.withColumn("next", F.slice(F.array_except(nodes, F.col("visited")), 1, VISITS))
+    return written(ahead.select("id", "unit", "near", F.array_union("visited", "next").alias("visited"), "next"), "beam")
+
+
+def _scores(pairs: DataFrame, beam: DataFrame, homes: DataFrame) -> DataFrame:
+    """(id, other, score) of pairs (id, node, block) new to the query's beam whose cosine is above its worst one so far.
 
     The vector of a query comes once to every block of nodes in which it has pairs.
     """
-    visits = pairs.groupBy("block", "id").agg(F.collect_list("node").alias("nodes")).join(asking, "id")
+    worst = F.when(F.size("near") >= BEAM, F.element_at("near", -1)["score"])
+    asking = beam.select("id", "unit", worst.alias("worst"), F.transform("near", lambda x: x["node"]).alias("held"))
+    # Dealt by query, the pairs need no further shuffle to be grouped and to meet the queries.
+    asked = pairs.repartition("id").groupBy("block", "id").agg(F.collect_set("node").alias("nodes")).join(asking, "id")
+    visits = asked.select("block", "id", "unit", "worst", F.array_except("nodes", "held").alias("nodes")).where(F.size("nodes") > 0)
 
     def run(visit: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         if not len(visit):

@@ -47,3 +47,21 @@ def test_small_tables(spark, n):
     found = ann.nearest(data, data, 5, skip_self=True).collect()
     assert len(found) == n * max(0, n - 1)
     assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 0] == list(range(1, n))
+
+
+def test_shuffles_of_a_round_and_of_a_step(spark, monkeypatch):
+    """The driver plans and tracks every shuffle of every round, so each table is written with few of them."""
+    seen = []
+    plain = ann.written
+
+    def counted(df, name="scratch"):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return plain(df, name)
+
+    monkeypatch.setattr(ann, "written", counted)
+    dice = np.random.default_rng(3)
+    data = spark.createDataFrame([(i, dice.normal(size=8).astype(np.float32).tolist(), 0.0) for i in range(400)], SCHEMA)
+    ann.nearest(data, data.where("vec_id % 50 = 0"), 5, skip_self=True)
+    most = {name: max(n for other, n in seen if other == name) for name, _ in seen}
+    assert most["meetings"] <= 3 and most["found"] <= 5 and most["beam"] <= 8
+    assert "visits" not in most
