@@ -126,6 +126,14 @@ def enrich(main: DataFrame, enrichment: DataFrame, columns: Sequence[str], domai
     return main.join(added, match, "left").select(*output)
 
 
+def _merged_by_month(claims: DataFrame, months: int) -> DataFrame:
+    """``dropDuplicates`` whose shuffle deals the rows of a month into parts by their hash: four for each shuffle partition in all."""
+    parts = max(1, -(-4 * int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, months)))
+    dealt = claims.withColumn("_part", F.pmod(F.xxhash64(*claims.columns), F.lit(parts)))
+    # Equal rows share their month and part, so merging them needs no shuffle after this one.
+    return dealt.repartition("month_id", "_part").dropDuplicates().drop("_part")
+
+
 def extract_claims(
     gap: DataFrame,
     main: DataFrame,
@@ -137,36 +145,39 @@ def extract_claims(
     month_from: int,
     month_to: int,
     columns_out: Sequence[str] | None = None,
+    by_month: bool = False,
 ) -> DataFrame:
     """Claims of the listed keys in the months, without repeated rows, then cut to ``columns_out``.
 
     ``columns_out`` are columns or SQL expressions; they are applied after equal rows are merged, so
-    they may bring equal rows back.
+    they may bring equal rows back. With ``by_month`` the shuffle that merges equal rows deals them out by month
+    too, so that a table by month may be written without another one (see ``collect.store_extract``).
     """
     columns = gap.columns
     bounds = month_bounds(calendar, month_from, month_to)
     gap, main, enrichment = (
         filter_by_keys(cut_to_months(feed, bounds, month_from, month_to), key_list, keys, list_bits(key_list, keys, feed)) for feed in (gap, main, enrichment)
     )
-    claims = gap.unionByName(enrich(main, enrichment, columns, domain)).dropDuplicates()
+    claims = gap.unionByName(enrich(main, enrichment, columns, domain))
+    claims = _merged_by_month(claims, len(bounds)) if by_month else claims.dropDuplicates()
     return claims if columns_out is None else claims.selectExpr(*columns_out)
 
 
-def dx_by_diagnosis(gap, main, enrichment, diag_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, diag_list, BY_DIAGNOSIS, domain, calendar, month_from, month_to, columns_out)
+def dx_by_diagnosis(gap, main, enrichment, diag_list, domain, calendar, month_from, month_to, columns_out=None, by_month=False) -> DataFrame:
+    return extract_claims(gap, main, enrichment, diag_list, BY_DIAGNOSIS, domain, calendar, month_from, month_to, columns_out, by_month)
 
 
-def dx_by_procedure(gap, main, enrichment, proc_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, proc_list, BY_PROCEDURE, domain, calendar, month_from, month_to, columns_out)
+def dx_by_procedure(gap, main, enrichment, proc_list, domain, calendar, month_from, month_to, columns_out=None, by_month=False) -> DataFrame:
+    return extract_claims(gap, main, enrichment, proc_list, BY_PROCEDURE, domain, calendar, month_from, month_to, columns_out, by_month)
 
 
-def dx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out)
+def dx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None, by_month=False) -> DataFrame:
+    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out, by_month)
 
 
-def rx_by_product(gap, main, enrichment, ndc_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, ndc_list, BY_PRODUCT, domain, calendar, month_from, month_to, columns_out)
+def rx_by_product(gap, main, enrichment, ndc_list, domain, calendar, month_from, month_to, columns_out=None, by_month=False) -> DataFrame:
+    return extract_claims(gap, main, enrichment, ndc_list, BY_PRODUCT, domain, calendar, month_from, month_to, columns_out, by_month)
 
 
-def rx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None) -> DataFrame:
-    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out)
+def rx_by_patient(gap, main, enrichment, patient_list, domain, calendar, month_from, month_to, columns_out=None, by_month=False) -> DataFrame:
+    return extract_claims(gap, main, enrichment, patient_list, BY_PATIENT, domain, calendar, month_from, month_to, columns_out, by_month)

@@ -56,7 +56,7 @@ def collect_periods(
     return spark.table(table)
 
 
-def _load(rows: DataFrame, cut: DataFrame, table: str, period: str, requested: list, method: str, files: int | None) -> None:
+def _load(rows: DataFrame, cut: DataFrame, table: str, period: str, requested: list, method: str, files: int | None, spread: bool = True) -> None:
     """Replace the requested partitions; with INITIAL drop the other ones once the new rows are written.
 
     A table with other columns is replaced by a new one that is written beside it first.
@@ -66,26 +66,29 @@ def _load(rows: DataFrame, cut: DataFrame, table: str, period: str, requested: l
     if reads_table(rows, table):
         raise ValueError(f"the source reads {table}, which it would replace")
     if method == "APPEND" or not tables.exists(spark, table):
-        replace_partitions(cut, table, period, requested, files)
+        replace_partitions(cut, table, period, requested, files, spread)
     elif sorted((n.lower(), t) for n, t in spark.table(table).dtypes) == sorted((n.lower(), t) for n, t in cut.dtypes):
-        replace_partitions(cut, table, period, requested, files)
+        replace_partitions(cut, table, period, requested, files, spread)
         kept = {str(v) for v in requested}
         held = [row.partition.split("=", 1) for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
         drop_partitions(spark, table, match_column(spark.table(table), period), [v for _, v in held if v not in kept])
     else:
         made = beside(table)
         try:
-            replace_partitions(cut, made, period, requested, files)
+            replace_partitions(cut, made, period, requested, files, spread)
         except Exception:
             tables.drop(spark, made)
             raise
         swap_in(spark, made, table)
 
 
-def store_extract(claims: DataFrame, table: str, calendar: DataFrame, month_from: int, month_to: int, method: str = "INITIAL", files: int | None = None) -> DataFrame:
-    """Put extracted claims, already cut to the months, into a table by month, as ``collect_periods`` does."""
+def store_extract(claims: DataFrame, table: str, calendar: DataFrame, month_from: int, month_to: int, method: str = "INITIAL", files: int | None = None, by_month: bool = False) -> DataFrame:
+    """Put extracted claims, already cut to the months, into a table by month, as ``collect_periods`` does.
+
+    ``by_month`` tells that they were extracted so, and need not be shuffled for the write unless ``files`` is given.
+    """
     requested = [r[0] for r in cal.periods(calendar, "month_id", month_from, month_to).collect()]
-    _load(claims, claims, table, "month_id", requested, method, files)
+    _load(claims, claims, table, "month_id", requested, method, files, spread=files is not None or not by_month)
     return claims.sparkSession.table(table)
 
 

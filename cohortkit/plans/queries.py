@@ -427,8 +427,8 @@ def _sql_extract(keys: tuple[str, ...], rx: bool) -> str:
     )
 
 
-def _by_pair(spark, d) -> DataFrame:
-    return extract.dx_by_diagnosis(*b.feeds(spark, d), b.diagnosis_list(spark, d), b.DIAGNOSIS, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX)
+def _by_pair(spark, d, by_month: bool = False) -> DataFrame:
+    return extract.dx_by_diagnosis(*b.feeds(spark, d), b.diagnosis_list(spark, d), b.DIAGNOSIS, b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, _OUT_DX, by_month)
 
 
 @register("extract_by_code_pair", _sql_extract(extract.BY_DIAGNOSIS, False))
@@ -458,7 +458,7 @@ def extract_rx_by_patient(spark, d):
 
 @register("extract_stored", _sql_extract(extract.BY_DIAGNOSIS, False))
 def extract_stored(spark, d):
-    return collect.store_extract(_by_pair(spark, d), work_table(spark, "extract_stored"), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH)
+    return collect.store_extract(_by_pair(spark, d, True), work_table(spark, "extract_stored"), b.calendar(spark, d), FIRST_MONTH, LAST_MONTH, by_month=True)
 
 
 # ---- period loads and partition replacement ----------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from cohortkit.operators import extract
 from cohortkit.plans import bindings as b
 from cohortkit.plans import collect
+from cohortkit.sources import writers
 
 GAP = "claim_id long, svc_nbr int, diag_cd_posn_nbr int, diag_cd string, diag_vers_typ_id int, patient_id long, note string, load_dt date, pat_age_yr_nbr int, week_id int, month_id int"
 MAIN = GAP.replace("load_dt date, pat_age_yr_nbr int", "main_load_dt date")
@@ -27,10 +28,10 @@ def added_row(claim, age=50, code="A", month=M, week=W):
 
 @pytest.fixture
 def run(spark, year2000):
-    def extracted(gap, main, added, codes=(("A", 9),), out=None, by=extract.dx_by_diagnosis, first=M, last=M):
+    def extracted(gap, main, added, codes=(("A", 9),), out=None, by=extract.dx_by_diagnosis, first=M, last=M, **more):
         frames = spark.createDataFrame(gap, GAP), spark.createDataFrame(main, MAIN), spark.createDataFrame(added, GAP)
         keys = spark.createDataFrame(list(codes), "diag_cd string, diag_vers_typ_id int" if by is extract.dx_by_diagnosis else "patient_id long")
-        return by(*frames, keys, b.DIAGNOSIS, year2000, first, last, out)
+        return by(*frames, keys, b.DIAGNOSIS, year2000, first, last, out, **more)
 
     return extracted
 
@@ -97,6 +98,24 @@ def test_store_extract_replaces_its_months(spark, run, year2000, rows):
         collect.store_extract(again, "t.claims", year2000, M, M, method="MERGE")
 
 
+def test_extract_by_month_is_stored_without_another_shuffle(spark, run, year2000, rows, monkeypatch):
+    """The shuffle that merges equal rows also serves the write."""
+    plans = []
+    plain = writers.insert_by_name
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *more)
+
+    monkeypatch.setattr(writers, "insert_by_name", seen)
+    gap = [gap_row(i % 40, month=200001 + i % 2, week=(W, 20000211)[i % 2]) for i in range(200)]
+    claims = run(gap, [main_row(7), main_row(8)], [added_row(8)], last=200002, by_month=True)
+    plain_rows = run(gap, [main_row(7), main_row(8)], [added_row(8)], last=200002)
+    stored = collect.store_extract(claims, "t.claims_by_month", year2000, M, 200002, by_month=True)
+    assert rows(stored, *plain_rows.columns) == rows(plain_rows) and stored.count() == 42
+    assert "REBALANCE" not in plans[0] and plans[0].count("Exchange hashpartitioning(month_id") == 1
+
+
 def test_hot_record_is_not_paired_copy_by_copy(run):
     """Many copies of one record in both feeds stay one output row."""
     got = run([], [main_row(1)] * 500, [added_row(1)] * 500)
