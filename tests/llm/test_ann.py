@@ -61,7 +61,11 @@ def test_shuffles_of_a_round_and_of_a_step(spark, monkeypatch):
     monkeypatch.setattr(ann, "written", counted)
     dice = np.random.default_rng(3)
     data = spark.createDataFrame([(i, dice.normal(size=8).astype(np.float32).tolist(), 0.0) for i in range(400)], SCHEMA)
-    ann.nearest(data, data.where("vec_id % 50 = 0"), 5, skip_self=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ann.nearest(data, data.where("vec_id % 50 = 0"), 5, skip_self=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     most = {name: max(n for other, n in seen if other == name) for name, _ in seen}
     assert most["meetings"] <= 3 and most["found"] <= 5 and most["beam"] <= 8
     assert "visits" not in most
