@@ -1,8 +1,15 @@
+import tracemalloc
+from collections import Counter
+from itertools import product
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortkit.llm import langid, toxicity as op
+from cohortkit import session
+from cohortkit.llm import langid, toxicity as op, words
 
 SF = "/root/testdata/sf0.1"
 
@@ -28,6 +35,26 @@ def test_words_of_ascii_texts():
         assert op.terms(text) == op.LETTERS.findall((text or "").lower())
 
 
+def test_counting_gives_back_what_other_stages_kept_and_holds_few_words():
+    """A worker that packed before holds no tokenizer while it counts, and passes words on before there are many."""
+    coder = words.load(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.load(public_tokenizers.path("word_bpe_49k.json")) is coder and session._KEPT
+    every = ["".join(x) for x in product("abcdefghijklmnopqrstuvwxyz", repeat=4)][:450_000]
+    batch = pa.RecordBatch.from_pydict({"text": [None, ""] + [" ".join(["common", *every[at : at + 300]]) for at in range(0, len(every), 300)]})
+    tracemalloc.start()
+    sizes = []
+    for part in op.counted(iter([batch])):
+        assert not session._KEPT
+        sizes.append(part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = Counter()
+    for part in op.counted(iter([batch])):
+        total.update(dict(zip(part["term"].to_pylist(), part["n"].to_pylist())))
+    assert total.pop(None) == 1502 and total.pop("common") == 1500 and total == dict.fromkeys(every, 1)
+    assert len(sizes) > 2 and max(sizes) <= op.FLUSH + 301 and peak < 60e6
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "concat('plain words number ', id, case when id % 4 = 0 then ' nasty nasty' else ' kind' end) as text", "'k' as label")
